@@ -1,0 +1,38 @@
+"""Ordered scan: a per-key fold over sorted rows in constant memory.
+
+Some rules depend on the last *kept* row and cannot be written as a window. Rows are hash
+partitioned by key and sorted inside the partition, then streamed through a small function in
+Arrow batches; no group is ever gathered, only the state of the current key is held.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], schema: str,
+                 make_step: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+                 finish: bool = False) -> DataFrame:
+    """Streams the batches of each partition through one step object.
+
+    `make_step()` returns a callable that maps one batch to output rows and keeps the open key
+    between batches; with `finish` it is called once more with None at the end.
+    """
+    sorted_df = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = make_step()
+        for batch in batches:
+            if len(batch):
+                out = step(batch)
+                if len(out):
+                    yield out
+        if finish:
+            out = step(None)
+            if out is not None and len(out):
+                yield out
+
+    return sorted_df.mapInPandas(run, schema)
