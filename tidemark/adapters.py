@@ -215,3 +215,33 @@ def mentions(spark: SparkSession, folder: str) -> DataFrame:
                     broker.alias("broker"), (F.col("event_id") % 7 == 6).alias("foreign"),
                     (F.ceil(F.col("value") / 50.0) * 50).cast("double").alias("target"),
                     direction.alias("direction"), F.date_trunc("second", "ts").alias("pub"))
+
+
+def treasury_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Treasury disclosures: detail lines, a total line, and for one in three only a blank total."""
+    k = F.col("s_suppkey")
+    line = lambda m, q: F.struct(F.lit(m).alias("acqs_mth1"), q.alias("trmend_qy"))
+    qty = F.format_number((k * 7) % 2000, 0)
+    rows = F.array(line("장내 직접취득", F.lit("10")), line("총계", F.when(k % 3 == 0, F.lit("-")).otherwise(qty)),
+                   line("소계", F.lit("99")))
+    return (spark.read.parquet(f"{folder}/supplier.parquet")
+            .select(k.cast("string").alias("corp_code"), F.lit(1999).alias("year"), F.explode(rows).alias("r"))
+            .select("corp_code", "year", "r.*"))
+
+
+def company_list(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return spark.read.parquet(f"{folder}/supplier.parquet").select(
+        k.cast("string").alias("corp_code"), ticker_of(k).alias("ticker"), F.col("s_name").alias("corp_name"),
+        F.when(k % 8 == 0, "64992").when(k % 8 == 1, "651").when(k % 8 == 2, "21101").when(k % 8 == 3, "26110")
+        .when(k % 8 == 4, "").when(k % 8 == 5, None).otherwise(F.concat((F.lit(20) + k % 12).cast("string"), F.lit("111"))).alias("induty_code"))
+
+
+def finance_lines(q: DataFrame) -> DataFrame:
+    """Balance-sheet lines of annual reports; every sixth company holds finance receivables."""
+    big = F.col("corp_code").cast("long") % 6 == 0
+    line = lambda nm, x: F.struct(F.lit(nm).alias("account_nm"), F.format_number(F.round(x, 0), 0).alias("thstrm_amount"))
+    rows = F.array(line("금융업채권", F.when(big, F.col("assets") * 0.5).otherwise(F.lit(0.0))), line("재고자산", F.col("assets") * 0.2),
+                   line("금융리스 채권", F.when(big, F.col("assets") * 0.1).otherwise(F.lit(0.0))))
+    return q.where("quarter = 4").select("ticker", F.col("year").alias("bsns_year"), "reprt_code", F.lit("BS").alias("sj_div"),
+                                         F.explode(rows).alias("r")).select("ticker", "bsns_year", "reprt_code", "sj_div", "r.*")
