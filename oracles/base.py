@@ -32,7 +32,7 @@ def with_ctes(query: str) -> str:
     sql = query.strip()
     if order:
         sql = "WITH " + ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in order) + "\n" + sql
-    return re.sub(r"\basof\b", '"asof"', sql)  # a keyword in DuckDB
+    return re.sub(r'(?<!")\basof\b(?!")', '"asof"', sql)  # a keyword in DuckDB
 
 
 def r(expr: str, n: int = 6, name: str | None = None) -> str:

@@ -127,27 +127,26 @@ RAW_ACCOUNTS = [
 
 def raw_statements(q: DataFrame) -> DataFrame:
     """Statement rows with amounts as text, as filed."""
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(sj).alias("sj_div"), F.lit(aid).alias("account_id"),
+                     F.lit(nm).alias("account_nm"), F.lit(field in spec.FLOW_FIELDS).alias("flow"),
+                     F.col(field).alias("amount"))
+            for i, (field, sj, aid, nm) in enumerate(RAW_ACCOUNTS)]
+    d = q.select("ticker", "corp_code", F.col("year").alias("bsns_year"), "quarter", "reprt_code",
+                 F.when(F.col("corp_code").endswith("9"), "OFS").otherwise("CFS").alias("fs_div"),
+                 "currency", F.explode(F.array(*rows)).alias("r"))
+    d = d.select(*[x for x in d.columns if x != "r"], "r.*")
+
     def text(col: Column) -> Column:
         n = F.round(col, 0)
         body = F.format_number(F.abs(n), 0)
-        return (F.when(n.isNull(), "-").when((n < 0) & (F.col("quarter") % 2 == 0), F.concat(F.lit("("), body, F.lit(")")))
-                 .when(n < 0, F.concat(F.lit("-"), body)).otherwise(body))
-
-    rows = []
-    for i, (field, sj, aid, nm) in enumerate(RAW_ACCOUNTS):
-        amount = text(F.col(field))
-        half = text(F.col(field) / 2)
-        accumulated = field in spec.FLOW_FIELDS
-        annual = F.col("quarter") == 4
-        this = F.when(annual, amount).otherwise(half) if accumulated else amount
-        add = F.when(annual, F.lit("")).otherwise(amount) if accumulated else F.lit("")
-        rows.append(F.struct(F.lit(i).alias("ord"), F.lit(sj).alias("sj_div"), F.lit(aid).alias("account_id"),
-                             F.lit(nm).alias("account_nm"), this.alias("thstrm_amount"),
-                             add.alias("thstrm_add_amount")))
-    return (q.select("ticker", "corp_code", F.col("year").alias("bsns_year"), "quarter", "reprt_code",
-                     F.when(F.col("corp_code").endswith("9"), "OFS").otherwise("CFS").alias("fs_div"),
-                     "currency", F.explode(F.array(*rows)).alias("r"))
-             .select("ticker", "corp_code", "bsns_year", "reprt_code", "fs_div", "currency", "r.*"))
+        wrapped = F.when(F.col("quarter") % 2 == 0, F.concat(F.lit("("), body, F.lit(")"))).otherwise(
+            F.concat(F.lit("-"), body))
+        return F.when(n.isNull(), "-").when(n < 0, wrapped).otherwise(body)
+
+    part = F.col("flow") & (F.col("quarter") != 4)
+    return (d.withColumn("thstrm_amount", text(F.when(part, F.col("amount") / 2).otherwise(F.col("amount"))))
+            .withColumn("thstrm_add_amount", F.when(part, text(F.col("amount"))).otherwise(""))
+            .drop("quarter", "flow", "amount"))
 
 
 def filing_list(q: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Registered queries: one per operator or job, each over whole tables.
 
 Every query names its output columns with a type letter, so results are rounded and typed the
-same way on both sides of a comparison: f double (six decimals), i long, s string, b boolean,
+same way on both sides of a comparison: f rounded double, i long, s string, b boolean,
 d ISO date text, a joined array.
 """
 
@@ -24,10 +24,19 @@ METRICS_DATE = "2000-06-05"
 GRADE_DATES = ("1999-03-05", "1999-04-05")
 
 
+def rounded(x):
+    """Six decimals, fewer for large values. The cut points sit a little beside the middle, so a
+    value that ends exactly on a five is not decided by the last bit of a sum."""
+    x = x.cast("double")
+    a = F.abs(x)
+    return (F.when(a < 1e5, F.round(x + 3.1e-8, 6)).when(a < 1e9, F.round(x + 3.1e-4, 2))
+             .otherwise(F.round(x + 31.0, -3))) + F.lit(0.0)
+
+
 def shape(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     def one(name: str, kind: str):
         x = F.col(name)
-        x = {"f": lambda: F.round(x.cast("double"), 6) + F.lit(0.0), "i": lambda: x.cast("long"),
+        x = {"f": lambda: rounded(x), "i": lambda: x.cast("long"),
              "d": lambda: F.date_format(x, "yyyy-MM-dd"), "b": lambda: x.cast("boolean"),
              "a": lambda: F.array_join(x, "|")}.get(kind, lambda: x.cast("string"))()
         return x.alias(name)
@@ -207,7 +216,10 @@ def _(w):
 
 @query("track_assignment", "ticker:s track:s track_reason:s debt_ratio:f has_finance_segment:b stability_distorted:b finance_asset_ratio:f")
 def _(w):
-    annual = strategies.latest_annual(w.fin_quarterly)
+    # one company in five is shown with six times its liabilities
+    heavy = F.col("corp_code").cast("long") % 5 == 1
+    annual = strategies.latest_annual(w.fin_quarterly).withColumn(
+        "liabilities", F.when(heavy, F.col("liabilities") * 6.0).otherwise(F.col("liabilities")))
     # lines named like finance assets: one in six companies books half its assets there
     rows = adapters.finance_lines(w.fin_quarterly)
     fin = strategies.finance_asset_sum(rows).join(annual.select("ticker", "year"), ["ticker", "year"]).select("ticker", "finance_assets")

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL_DOUBLE = F.lit(None).cast("double")
 
 
 def c(x: str | Column) -> Column:

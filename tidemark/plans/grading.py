@@ -31,21 +31,27 @@ def with_peer(d: DataFrame, p: Params, date: str = "asof") -> DataFrame:
             .drop("_members"))
 
 
-def _members(track: str | None, columns: list[str]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(cat).alias("cat"), F.lit(m).alias("metric"), F.lit(float(w)).alias("w"),
-                 F.lit(s).alias("sign"), F.col(m).cast("double").alias("value"))
-        for cat, ms in track_categories(track).items() for m, w, s in ms if m in columns])
+def _role() -> Column:
+    """Constant map 'track|metric' -> (category, weight, sign) for every metric that counts."""
+    entries = {}
+    for track in (spec.GENERAL, spec.FINANCE, spec.PHARMA, spec.HOLDING):
+        for cat, ms in track_categories(track).items():
+            for m, w, sign in ms:
+                entries[f"{track}|{m}"] = F.struct(F.lit(cat).alias("cat"), F.lit(float(w)).alias("w"),
+                                                   F.lit(sign).alias("sign"))
+    return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
 
 
 def metric_rows(d: DataFrame, date: str, ids: list[str]) -> DataFrame:
     """Long rows of the metrics that count for the track of each row; NULL values drop out."""
-    arr = F.when(F.col("track") == spec.FINANCE, _members(spec.FINANCE, d.columns))
-    for t in (spec.PHARMA, spec.HOLDING):
-        arr = arr.when(F.col("track") == t, _members(t, d.columns))
-    arr = arr.otherwise(_members(None, d.columns))
-    return (d.select(*ids, "track", "peer", F.explode(arr).alias("m"))
-             .select(*ids, "track", "peer", "m.*").where(F.col("value").isNotNull()))
+    names = dict.fromkeys(m for t in (None, *spec.TRACK_CATEGORIES) for ms in track_categories(t).values()
+                          for m, _, _ in ms if m in d.columns)
+    arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])
+    known = F.when(F.col("track").isin(*spec.TRACK_CATEGORIES), F.col("track")).otherwise(spec.GENERAL)
+    rows = (d.select(*ids, "track", "peer", known.alias("_set"), F.explode(arr).alias("m"))
+             .select(*ids, "track", "peer", "_set", "m.*").where(F.col("value").isNotNull()))
+    rows = rows.withColumn("_role", _role()[F.concat_ws("|", "_set", "metric")])
+    return rows.where(F.col("_role").isNotNull()).select(*ids, "track", "peer", "metric", "value", "_role.*")
 
 
 def grade(d: DataFrame, p: Params, *, date: str = "asof", key: str = "ticker") -> DataFrame:
