@@ -31,7 +31,8 @@ def with_ctes(query: str) -> str:
     need(query)
     sql = query.strip()
     if order:
-        sql = "WITH " + ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in order) + "\n" + sql
+        stored = lambda n: "" if re.search(rf"\b{n}\b", CTES[n]) else "MATERIALIZED "
+        sql = "WITH RECURSIVE " + ",\n".join(f"{n} AS {stored(n)}(\n{CTES[n]}\n)" for n in order) + "\n" + sql
     return re.sub(r'(?<!")\basof\b(?!")', '"asof"', sql)  # a keyword in DuckDB
 
 

@@ -497,3 +497,288 @@ SELECT strategy, gate, count(*) AS months, count(*) FILTER (WHERE gone + come >
   SELECT strategy, gate, asof, ticker, bool_or(o) AS in_old, bool_or(NOT o) AS in_new FROM (
    SELECT strategy, gate, asof, ticker, true AS o FROM old_runs UNION ALL SELECT strategy, gate, asof, ticker, false FROM runs) GROUP BY ALL) GROUP BY ALL) GROUP BY 1, 2
 """
+
+# ---- raw documents ----------------------------------------------------------------------------------
+BODY["statement_json"] = """
+SELECT ticker, bsns_year, reprt_code, count(*) AS n_rows, max(ord) AS last_ord, arg_min(account_nm, ord) AS first_name FROM raw_rows
+WHERE CAST(corp_code AS BIGINT) % 11 <> 5 GROUP BY 1, 2, 3
+"""
+
+
+def _brk(x: str) -> str:
+    from tidemark.adapters import BROKERS
+    return "[" + ", ".join(f"'{b}'" for b in BROKERS) + f"][CAST({x} % 7 AS INTEGER) + 1]"
+
+
+_word = "CASE event_type WHEN 'click' THEN ' 상향' WHEN 'error' THEN ' 하향' WHEN 'signup' THEN ' 신규 제시' WHEN 'view' THEN ' 유지' ELSE '' END"
+cte("ev", f"""
+SELECT event_id, ts, user_id, event_type, value, lpad(CAST(user_id AS VARCHAR), 6, '0') AS ticker, '종목' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS nm,
+  '종목' || lpad(CAST(user_id + 1 AS VARCHAR), 6, '0') AS other, {_brk('event_id')} AS broker, CAST(ceil(value / 50e0) AS BIGINT) AS a, {_word} AS word, event_id % 6 AS shape FROM events
+""")
+BODY["news_pages"] = """
+SELECT ticker AS query, link AS article, title FROM (
+ SELECT *, 'http://news/' || CAST(event_id // 2 AS VARCHAR) AS link,
+  CASE shape WHEN 0 THEN broker || ', ' || nm || ' 목표주가 ' || a || '만원으로' || word WHEN 1 THEN nm || ' 실적 전망' WHEN 2 THEN '이번주 7종목 추천' WHEN 3 THEN other || ' 호조'
+   WHEN 4 THEN nm || ' 주목' ELSE nm || ' ' || broker || ' 목표주가 ' || a || '만원 제시' END AS title FROM ev)
+WHERE event_id % 20 <> 0 QUALIFY row_number() OVER (PARTITION BY ticker, link ORDER BY event_id % 7, event_id) = 1
+"""
+
+# ---- style and verdicts --------------------------------------------------------------------------------
+cte("bask0", "\nUNION ALL ".join(f"SELECT asof, ticker, '{s}' AS style, {c} AS x, (SELECT count(*) FROM panel q WHERE q.asof = p.asof) AS n FROM panel p WHERE {c} IS NOT NULL"
+                               for s, c in (("value", "valuation_score"), ("growth", "growth_score"))))
+cte("bask", f"""
+SELECT asof, style, ticker FROM (SELECT *, row_number() OVER (PARTITION BY asof, style ORDER BY x DESC, ticker) AS pos, count(*) OVER (PARTITION BY asof, style) AS scored FROM bask0)
+WHERE scored >= {P.style_min_scored} AND pos <= greatest({P.style_min}, floor(n * {P.style_top_pct}e0))
+""")
+BODY["style_baskets"] = "SELECT * FROM bask"
+cte("pm", "SELECT asof, lead(asof) OVER (ORDER BY asof) AS nxt FROM (SELECT DISTINCT asof FROM panel)")
+cte("bret", """
+SELECT b.asof, b.style, b.ticker, arg_max(p.close_adj, p.date) / arg_min(p.close_adj, p.date) - 1 AS ret FROM bask b JOIN pm ON pm.asof = b.asof
+JOIN prices p ON p.ticker = b.ticker AND p.date BETWEEN b.asof AND pm.nxt GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND arg_min(p.close_adj, p.date) > 0
+""")
+cte("spread", """
+SELECT *, value_ret - growth_ret AS spread FROM (
+SELECT pm.asof, pm.nxt AS to, (SELECT avg(ret) * 100e0 FROM bret r WHERE r.asof = pm.asof AND style = 'value') AS value_ret,
+  (SELECT avg(ret) * 100e0 FROM bret r WHERE r.asof = pm.asof AND style = 'growth') AS growth_ret,
+  (SELECT count(*) FROM bask r WHERE r.asof = pm.asof AND style = 'value') AS n_value, (SELECT count(*) FROM bask r WHERE r.asof = pm.asof AND style = 'growth') AS n_growth
+FROM pm WHERE nxt IS NOT NULL)
+""".replace(" AS to,", ' AS "to",'))
+BODY["style_spread"] = "SELECT * FROM spread"
+BODY["style_regime"] = """
+SELECT *, 50 + CASE tilt WHEN 'value' THEN 10 WHEN 'growth' THEN -10 ELSE 0 END AS alloc_value, 35 + CASE tilt WHEN 'growth' THEN 10 WHEN 'value' THEN -10 ELSE 0 END AS alloc_growth, 15 AS alloc_momentum
+FROM (SELECT w AS "window", count(*) AS months, sum(spread) AS spread, sum(value_ret) AS value_ret, sum(growth_ret) AS growth_ret,
+  CASE WHEN round(sum(spread), 10) >= 3 THEN 'value' WHEN round(sum(spread), 10) <= -3 THEN 'growth' END AS tilt
+ FROM (SELECT *, row_number() OVER (ORDER BY asof DESC) AS rn FROM spread WHERE spread IS NOT NULL), (SELECT unnest([3, 6, 12]) AS w) WHERE rn <= w GROUP BY 1)
+"""
+BODY["style_stats"] = "SELECT count(*) AS months, avg(spread) AS mean_spread, avg(CASE WHEN spread > 0 THEN 1e0 ELSE 0e0 END) * 100e0 AS value_won_pct FROM spread WHERE spread IS NOT NULL"
+from tidemark.catalog import GRADE_DATES  # noqa: E402
+
+D0, D1 = (f"DATE '{d}'" for d in GRADE_DATES)
+cte("brd", f"SELECT b.ticker, b.track, b.sector, CASE WHEN b.quality_score - a.quality_score <= -{P.breadth_drop}e0 THEN 1e0 ELSE 0e0 END AS worse FROM panel b JOIN panel a ON a.ticker = b.ticker WHERE a.asof = {D0} AND b.asof = {D1} AND a.quality_score IS NOT NULL AND b.quality_score IS NOT NULL")
+BODY["breadth"] = """
+SELECT track, NULL AS sector, avg(worse) AS worse_share, count(*) AS n FROM brd GROUP BY track UNION ALL SELECT NULL, sector, avg(worse), count(*) FROM brd GROUP BY sector
+UNION ALL SELECT NULL, NULL, avg(worse), count(*) FROM brd
+"""
+cte("vh", f"SELECT ticker, asof AS month, CASE WHEN score >= 70 THEN 'buy' WHEN score >= 60 THEN 'hold' WHEN score >= 40 THEN 'defer' ELSE 'out' END AS code FROM prepared WHERE strategy = 'growth' AND asof < {D1}")
+cte("hb", """
+SELECT ticker, arg_max(code, month) IN ('buy', 'hold', 'trim') AS held, count(*) FILTER (WHERE run) AS defer_months
+FROM (SELECT *, bool_and(code = 'defer') OVER (PARTITION BY ticker ORDER BY month DESC) AS run FROM vh) GROUP BY 1
+""")
+BODY["held_before"] = "SELECT * FROM hb"
+_core = [("roe", 1), ("operating_margin", 1), ("ocf_to_ni", 1), ("debt_ratio", -1)]
+cte("hurt", f"SELECT b.ticker, b.track, b.sector, list_filter([{', '.join(f'CASE WHEN a.{m} <> 0 AND (b.{m} - a.{m}) / abs(a.{m}) * {s} < -0.25e0 THEN {chr(39)}{m}{chr(39)} END' for m, s in _core)}], lambda x: x IS NOT NULL) AS hurt FROM (SELECT * FROM panel WHERE asof = {D1}) b LEFT JOIN (SELECT * FROM panel WHERE asof = {D0}) a ON a.ticker = b.ticker")
+BODY["verdicts"] = f"""
+SELECT *, CASE WHEN score IS NULL THEN 'na' WHEN NOT gate_pass THEN leave_sell WHEN score >= 78 THEN 'buy' WHEN score >= 62 THEN CASE WHEN held THEN 'hold' ELSE 'watch' END
+  WHEN score >= 52 THEN CASE WHEN NOT held THEN 'watch' WHEN defer THEN 'defer' ELSE 'trim' END ELSE leave_sell END AS code FROM (
+ SELECT *, defer_reason IS NOT NULL AS defer, CASE WHEN NOT held THEN 'out' WHEN defer_reason IS NOT NULL THEN 'defer' ELSE 'sell' END AS leave_sell FROM (
+  SELECT h.ticker, s.score, s.gate_pass, h.hurt, coalesce(b.held, false) AS held, b.defer_months,
+   CASE WHEN coalesce(b.defer_months, 0) >= 6 THEN NULL WHEN t.w >= 0.4e0 THEN 'market' WHEN x.w >= 0.5e0 THEN 'sector' WHEN len(hurt) = 0 THEN 'fundamentals' END AS defer_reason
+  FROM hurt h JOIN (SELECT * FROM scored WHERE asof = {D1} AND strategy = 'growth') s ON s.ticker = h.ticker LEFT JOIN hb b ON b.ticker = h.ticker
+  LEFT JOIN (SELECT track, avg(worse) AS w FROM brd GROUP BY 1) t ON t.track = h.track LEFT JOIN (SELECT sector, avg(worse) AS w FROM brd GROUP BY 1) x ON x.sector = h.sector))
+"""
+cte("band0", f"""
+SELECT p.ticker, p.date, p.close_adj * m.shares_out / nullif(f.net_income_parent_ttm, 0) AS per, p.close_adj * m.shares_out / nullif(f.equity_parent - coalesce(f.hybrid_capital, 0), 0) AS pbr
+FROM (SELECT * FROM prices WHERE date <= DATE '{METRICS_DATE}') p JOIN metrics_latest m ON m.ticker = p.ticker
+ASOF LEFT JOIN (SELECT * FROM ttm QUALIFY row_number() OVER (PARTITION BY ticker, rcept_dt ORDER BY period DESC) = 1) f ON f.ticker = p.ticker AND p.date >= f.rcept_dt
+""")
+cte("band1", "SELECT *, arg_max(per, date) FILTER (WHERE per IS NOT NULL) OVER (PARTITION BY ticker) AS cper, arg_max(pbr, date) FILTER (WHERE pbr IS NOT NULL) OVER (PARTITION BY ticker) AS cpbr FROM band0")
+BODY["valuation_band"] = """
+SELECT b.*, CASE WHEN m.per > 0 AND per_p75 <> 0 THEN m.price_asof * per_p75 / m.per END AS exit_price FROM (
+ SELECT ticker, count(*) AS days, """ + ", ".join(f"CASE WHEN count(per) > 60 THEN quantile_cont(per, {q}) END AS per_p{n}" for q, n in ((0.25, 25), (0.5, 50), (0.75, 75))) + """,
+  CASE WHEN count(per) > 60 THEN avg(CASE WHEN per < cper THEN 1e0 WHEN per >= cper THEN 0e0 END) * 100e0 END AS per_pos,
+  CASE WHEN count(pbr) > 60 THEN avg(CASE WHEN pbr < cpbr THEN 1e0 WHEN pbr >= cpbr THEN 0e0 END) * 100e0 END AS pbr_pos FROM band1 GROUP BY 1) b JOIN metrics_latest m ON m.ticker = b.ticker
+"""
+BODY["contributions"] = "\nUNION ALL ".join(f"SELECT ticker, '{c}' AS category, {w} AS weight, {c}_score AS score, {c}_score * {w}e0 / 100e0 AS points FROM panel WHERE asof = {D1}" for c, w in spec.STRATEGY_WEIGHTS["value"].items())
+BODY["best_strategy"] = f"""
+SELECT ticker, arg_max(strategy, (score, CASE WHEN strategy = 'value' THEN 1 ELSE 0 END)) AS strategy, max(score) AS score, count(*) AS n_passed FROM scored WHERE asof = {D1} AND gate_pass AND score IS NOT NULL GROUP BY 1
+"""
+BODY["strategy_duplicates"] = "SELECT * FROM scored WHERE gate_pass QUALIFY count(*) OVER (PARTITION BY asof, ticker) > 1"
+_secn = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in spec.SECTOR_NAMES.items())
+BODY["sector_ranking"] = f"""
+SELECT sector_name, count(*) AS n, avg(score) AS mean_score, arg_max(ticker, (score, ticker)) AS top_name, max(score) AS top_score FROM (
+ SELECT s.*, CASE WHEN code = '' THEN '미분류' ELSE coalesce(CASE substr(code, 1, 2) {_secn} END, 'KSIC ' || substr(code, 1, 2)) END AS sector_name
+ FROM scored s JOIN (SELECT c.ticker, coalesce(CASE k % 8 WHEN 0 THEN '64992' WHEN 1 THEN '651' WHEN 2 THEN '21101' WHEN 3 THEN '26110' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE CAST(20 + k % 12 AS VARCHAR) || '111' END, '') AS code FROM corps c) f
+ ON f.ticker = s.ticker WHERE s.asof = {D1} AND strategy = 'value' AND score IS NOT NULL) GROUP BY 1 HAVING count(*) >= 3 ORDER BY mean_score DESC, sector_name LIMIT 5
+"""
+
+# ---- consensus ------------------------------------------------------------------------------------------
+cte("m0", """
+SELECT event_id AS mention_id, ticker, broker, event_id % 7 = 6 AS "foreign", CAST(a * 50 AS DOUBLE) AS target,
+  CASE event_type WHEN 'click' THEN '상향' WHEN 'error' THEN '하향' WHEN 'signup' THEN '신규' WHEN 'view' THEN '유지' END AS direction, date_trunc('second', ts) AS pub FROM ev
+""")
+cte("eprices", "SELECT ticker, CAST(ts AS DATE) AS date, round(sum(value), 2) / count(*) + 60e0 AS close_adj FROM ev GROUP BY 1, 2")
+cte("elast", "SELECT ticker, arg_max(close_adj, date) AS price FROM eprices GROUP BY 1")
+
+
+def anchors_sql(name: str, src: str) -> None:
+    """Greedy anchors by recursion: the next kept mention is the first one fifteen days on."""
+    gap = P.mention_dedupe_days + 1
+    cte(f"{name}_a", f"""
+SELECT ticker, broker, target, min(pub) AS at FROM {src} GROUP BY 1, 2, 3 UNION ALL
+SELECT a.ticker, a.broker, a.target, min(m.pub) FROM {name}_a a JOIN {src} m ON m.ticker = a.ticker AND m.broker = a.broker AND m.target = a.target AND m.pub >= a.at + INTERVAL {gap} DAY GROUP BY 1, 2, 3
+""")
+    cte(name, f"""
+SELECT m.*, (SELECT count(*) FROM {src} c WHERE c.ticker = m.ticker AND c.broker = m.broker AND c.target = m.target AND c.pub >= m.pub AND c.pub < m.pub + INTERVAL {gap} DAY) AS copies
+FROM {src} m JOIN {name}_a a ON a.ticker = m.ticker AND a.broker = m.broker AND a.target = m.target AND a.at = m.pub
+QUALIFY row_number() OVER (PARTITION BY m.ticker, m.broker, m.target, m.pub ORDER BY m.mention_id) = 1
+""")
+
+
+def representatives_sql(name: str, src: str) -> None:
+    """Base mention, then later agreeing mentions folded in time order by recursion."""
+    cte(f"{name}_w", f"SELECT * FROM {src} WHERE pub >= TIMESTAMP '2024-01-31' - INTERVAL {P.mention_window_days} DAY AND NOT \"foreign\"")
+    cte(f"{name}_b", f"SELECT * FROM {name}_w QUALIFY row_number() OVER (PARTITION BY ticker, broker ORDER BY copies >= 2 DESC, pub DESC, mention_id DESC) = 1")
+    cte(f"{name}_c", f"""
+SELECT w.ticker, w.broker, w.mention_id, w.target, w.direction, row_number() OVER (PARTITION BY w.ticker, w.broker ORDER BY w.pub, w.mention_id) AS rn
+FROM {name}_w w JOIN {name}_b b ON b.ticker = w.ticker AND b.broker = w.broker WHERE b.copies >= 2 AND w.pub > b.pub AND w.direction IN ('상향', '하향')
+""")
+    take = "abs(c.target / f.target - 1) > 1e-9 AND (c.direction = '상향') = (c.target > f.target)"
+    cte(f"{name}_f", f"""
+SELECT ticker, broker, mention_id, target, CAST(0 AS BIGINT) AS rn FROM {name}_b UNION ALL
+SELECT f.ticker, f.broker, CASE WHEN {take} THEN c.mention_id ELSE f.mention_id END, CASE WHEN {take} THEN c.target ELSE f.target END, c.rn
+FROM {name}_f f JOIN {name}_c c ON c.ticker = f.ticker AND c.broker = f.broker AND c.rn = f.rn + 1
+""")
+    cte(name, f"""
+SELECT w.* FROM {name}_w w JOIN (SELECT * FROM {name}_f QUALIFY row_number() OVER (PARTITION BY ticker, broker ORDER BY rn DESC) = 1) f
+ON f.ticker = w.ticker AND f.broker = w.broker AND f.mention_id = w.mention_id
+""")
+
+
+def consensus_sql(name: str, src: str, rep: str) -> None:
+    n = P.min_brokers
+    cte(name, f"""
+SELECT o.ticker, coalesce(r.n, 0) AS n_brokers, coalesce(f.n, 0) AS n_foreign, l.price, CASE WHEN r.n >= {n} THEN med END AS median_target,
+  CASE WHEN r.n >= {n} AND price <> 0 THEN (med / price - 1) * 100e0 END AS upside, CASE WHEN r.n >= {n} THEN (q3 - q1) / med * 100e0 END AS dispersion,
+  CASE WHEN r.n >= {n} THEN (ups - downs) / CAST(r.n AS DOUBLE) END AS revision
+FROM (SELECT DISTINCT ticker FROM {src}) o
+LEFT JOIN (SELECT ticker, count(*) AS n, median(target) AS med, quantile_cont(target, 0.25) AS q1, quantile_cont(target, 0.75) AS q3,
+  count(*) FILTER (WHERE direction = '상향') AS ups, count(*) FILTER (WHERE direction = '하향') AS downs FROM {rep} GROUP BY 1) r ON r.ticker = o.ticker
+LEFT JOIN (SELECT ticker, count(DISTINCT broker) AS n FROM {src} WHERE "foreign" AND pub >= TIMESTAMP '2024-01-31' - INTERVAL {P.mention_window_days} DAY GROUP BY 1) f ON f.ticker = o.ticker
+LEFT JOIN elast l ON l.ticker = o.ticker
+""")
+
+
+anchors_sql("dd", "m0")
+representatives_sql("rp", "dd")
+consensus_sql("cs", "dd", "rp")
+_pub = "strftime(pub, '%Y-%m-%d %H:%M:%S') AS pub"
+BODY["mention_dedupe"] = f"SELECT * REPLACE ({_pub}) FROM dd"
+BODY["representatives"] = "SELECT * FROM rp"
+BODY["consensus"] = "SELECT * FROM cs"
+_band = f"ratio IS NULL OR ratio BETWEEN {P.band_low}e0 AND {P.band_high}e0"
+
+
+def band_sql(src: str) -> str:
+    return f"""
+SELECT *, {_band} AS kept FROM (SELECT o.*, o.target / p.close_adj AS ratio FROM (SELECT *, CAST(pub + INTERVAL 9 HOUR AS DATE) AS d FROM {src}) o
+ASOF LEFT JOIN eprices p ON p.ticker = o.ticker AND o.d >= p.date)
+"""
+
+
+cte("band_all", band_sql("m0"))
+BODY["asof_price"] = f"SELECT * REPLACE ({_pub}) FROM band_all"
+cte("mb", "SELECT *, 'n' || CAST(mention_id // 3 AS VARCHAR) AS link FROM m0 QUALIFY row_number() OVER (PARTITION BY ticker, mention_id // 3, broker, target ORDER BY mention_id DESC) = 1")
+anchors_sql("bdd", "mb")
+cte("bmark", band_sql("bdd"))
+cte("bkept", "SELECT * FROM bmark WHERE kept")
+representatives_sql("brp", "bkept")
+consensus_sql("bcs", "bkept", "brp")
+cte("batch", """
+SELECT c.ticker, c.name, coalesce(a.n, 0) AS articles, coalesce(a.span, 0) AS span_days, coalesce(m.reports, 0) AS reports, coalesce(m.band_drop, 0) AS band_drop, coalesce(m.single, 0) AS single,
+  l.price, coalesce(b.n_brokers, 0) AS n_brokers, coalesce(b.n_foreign, 0) AS n_foreign, b.median_target, b.upside, b.dispersion, b.revision
+FROM (SELECT DISTINCT ticker, nm AS name FROM ev UNION ALL SELECT '999999', 'none') c
+LEFT JOIN (SELECT ticker, count(DISTINCT mention_id // 3) AS n, floor((epoch(TIMESTAMP '2024-01-31') - epoch(min(pub))) / 86400) AS span FROM m0 GROUP BY 1) a ON a.ticker = c.ticker
+LEFT JOIN (SELECT ticker, count(*) FILTER (WHERE kept) AS reports, count(*) FILTER (WHERE NOT kept) AS band_drop, count(*) FILTER (WHERE kept AND copies = 1) AS single FROM bmark GROUP BY 1) m ON m.ticker = c.ticker
+LEFT JOIN bcs b ON b.ticker = c.ticker LEFT JOIN elast l ON l.ticker = c.ticker
+""")
+BODY["consensus_batch"] = "SELECT * FROM batch"
+cte("pool", f"SELECT upside FROM batch WHERE n_brokers >= {P.min_brokers} AND upside IS NOT NULL")
+BODY["upside_percentile"] = f"""
+SELECT b.ticker, b.upside, CASE WHEN b.upside IS NOT NULL AND n >= {P.min_pool} THEN (SELECT count(*) FROM pool q WHERE q.upside < b.upside) * 100e0 / n END AS upside_pct,
+  CASE WHEN b.upside IS NOT NULL AND n >= {P.min_pool} THEN m END AS pool_median FROM batch b, (SELECT count(*) AS n, median(upside) AS m FROM pool)
+"""
+BODY["report_summary"] = """
+SELECT g.*, l.price, CASE WHEN target_mean <> 0 AND price <> 0 THEN (target_mean / price - 1) * 100e0 END AS upside,
+  CASE WHEN target_mean <> 0 AND price <> 0 THEN (target_max - target_min) / target_mean * 100e0 END AS spread FROM (
+ SELECT ticker, count(*) AS n, array_to_string(list_sort(list(DISTINCT broker)), ', ') AS brokers, avg(target) AS target_mean, min(target) AS target_min, max(target) AS target_max, max(d) AS latest
+ FROM (SELECT *, max(d) OVER (PARTITION BY ticker) AS last FROM (SELECT ticker, broker, CASE WHEN mention_id % 9 <> 0 THEN CAST(CAST(pub AS DATE) - to_months(CAST(mention_id % 10 AS INTEGER)) AS DATE) END AS d,
+   CASE WHEN mention_id % 8 <> 0 THEN target END AS target FROM m0 WHERE direction IS NULL))
+ WHERE last IS NULL OR d IS NULL OR d >= CAST(last - INTERVAL 6 MONTH AS DATE) GROUP BY 1) g LEFT JOIN elast l ON l.ticker = g.ticker
+"""
+BODY["rank_gap"] = f"""
+SELECT *, rank_upside - rank_score AS gap, CASE WHEN rank_score IS NULL THEN NULL WHEN abs(rank_upside - rank_score) < {P.gap_rank} THEN 'agree' WHEN rank_upside > rank_score THEN 'score_high' ELSE 'consensus_high' END AS note FROM (
+ SELECT ticker, score, upside, CASE WHEN upside IS NOT NULL AND n >= 2 THEN row_number() OVER (PARTITION BY upside IS NOT NULL ORDER BY score DESC, ticker) END AS rank_score,
+  CASE WHEN upside IS NOT NULL AND n >= 2 THEN row_number() OVER (PARTITION BY upside IS NOT NULL ORDER BY upside DESC, ticker) END AS rank_upside
+ FROM (SELECT *, count(upside) OVER () AS n FROM (SELECT ticker, articles AS score, upside FROM batch ORDER BY articles DESC, ticker LIMIT 10)))
+"""
+BODY["mention_extract"] = """
+SELECT event_id AS article_id, ticker, broker, event_id % 7 = 6 AS "foreign", a * 10000 AS target, CASE WHEN shape = 1 THEN (a + 1) * 10000 END AS prev_target,
+  CASE WHEN shape = 0 THEN CASE event_type WHEN 'click' THEN '상향' WHEN 'error' THEN '하향' WHEN 'signup' THEN '신규' WHEN 'view' THEN '유지' END WHEN shape = 1 THEN '상향' ELSE '유지' END AS direction,
+  strftime(date_trunc('second', ts) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS pub, 'http://news/' || CAST(event_id AS VARCHAR) AS link, shape <> 1 AS from_title
+FROM ev WHERE shape IN (0, 1, 5)
+"""
+BODY["name_dictionary"] = """
+SELECT DISTINCT ticker, nm AS name, [nm] AS own, CASE WHEN user_id % 5 = 0 THEN ['홀딩스'] ELSE [] END AS tails, CAST(NULL AS VARCHAR) AS affiliate FROM ev
+"""
+
+# ---- ledger -----------------------------------------------------------------------------------------------
+_rule = {"value_mix": mix(spec.STRATEGY_WEIGHTS["value"]), "growth_mix": mix(spec.STRATEGY_WEIGHTS["growth"]), "growth_only": "growth_score",
+         "profitability_only": "profitability_score", "valuation_only": "valuation_score", "pbr_only": "100e0 - pbr_p",
+         "consensus_upside": "CASE WHEN nb >= 3 THEN quality_score - 40e0 END", "consensus_revision": "CASE WHEN nb >= 3 THEN rev END + nb / 1000e0",
+         "growth_and_revision": f"CASE WHEN nb >= 3 AND rev > 0 THEN {mix(spec.STRATEGY_WEIGHTS['growth'])} END"}
+_gated = {"value_mix": "value", "growth_mix": "growth", "growth_and_revision": "growth"}
+cte("led_in", f"""
+SELECT v.*, period % 7 AS nb, (period % 3 - 1) * 0.5e0 AS rev, {_low_pct('pbr')} AS pbr_p, (SELECT any_value(g.pass) FROM prepared g WHERE g.strategy = 'growth' AND g.asof = v.asof AND g.ticker = v.ticker) AS gpass
+FROM prepared v WHERE strategy = 'value'
+""")
+cte("led_sc", "\nUNION ALL ".join(
+    f"SELECT asof, ticker, '{n}' AS rule, round({x}, 8) AS rscore FROM led_in WHERE {x} IS NOT NULL" + ("" if n not in _gated else " AND pass" if _gated[n] == "value" else " AND coalesce(gpass, false)")
+    for n, x in _rule.items()))
+cte("led_sel", f"SELECT asof, rule, ticker, round_even(rscore, 2) AS score, row_number() OVER (PARTITION BY rule, asof ORDER BY rscore DESC, ticker) AS rank FROM led_sc QUALIFY rank <= {P.top_n}")
+BODY["rule_selections"] = "SELECT * FROM led_sel"
+
+
+def _close(d: str) -> str:
+    return f"(SELECT ticker, arg_max(close_adj, date) AS price FROM prices WHERE date <= {d} GROUP BY 1)"
+
+
+cte("cyc", f"""
+SELECT s.asof, s.rule, s.rank, s.ticker, s.score, a.price AS entry_price, {D1} AS exit_asof, b.price AS exit_price, round_even((b.price / a.price - 1) * 100e0, 2) AS ret_pct
+FROM led_sel s LEFT JOIN {_close(D0)} a ON a.ticker = s.ticker LEFT JOIN {_close(D1)} b ON b.ticker = s.ticker WHERE s.asof = {D0}
+UNION ALL SELECT s.asof, s.rule, s.rank, s.ticker, s.score, b.price, NULL, NULL, NULL FROM led_sel s LEFT JOIN {_close(D1)} b ON b.ticker = s.ticker WHERE s.asof = {D1}
+""")
+BODY["ledger_cycle"] = "SELECT * FROM cyc"
+cte("diff", "SELECT asof, avg(CASE WHEN rev_growth_q_of_4 >= 3 THEN 1e0 ELSE 0e0 END) AS diffusion, count(*) AS n FROM prepared WHERE strategy = 'growth' AND in_universe GROUP BY 1")
+BODY["diffusion"] = "SELECT * FROM diff"
+BODY["month_close"] = f"""
+SELECT {D0} AS asof, {D1} AS exit_asof, {D1} - {D0} AS days, bench_eq, bench_cap, n_universe, (SELECT round_even(diffusion * 100e0, 1) FROM diff WHERE asof = {D0}) AS diffusion,
+ {', '.join(f"(SELECT round_even(avg(ret_pct), 2) FROM cyc WHERE rule = '{n}' AND ret_pct IS NOT NULL) AS {n}" for n in _rule)}
+FROM (SELECT round_even(avg(rr), 2) AS bench_eq, round_even(sum(rr * market_cap) / sum(market_cap), 2) AS bench_cap, count(*) AS n_universe FROM (
+ SELECT p.market_cap, (b.price / a.price - 1) * 100e0 AS rr FROM panel p LEFT JOIN {_close(D0)} a ON a.ticker = p.ticker LEFT JOIN {_close(D1)} b ON b.ticker = p.ticker WHERE p.asof = {D0}) WHERE rr IS NOT NULL)
+"""
+BODY["scoreboard"] = """
+SELECT rule, (product(1 + v / 100e0) - 1) * 100e0 AS cumulative, avg(v) AS mean, avg(v - eq) AS vs_bench, count(*) FILTER (WHERE v > eq) AS wins, count(*) AS months, max(v) AS best, min(v) AS worst FROM (
+ SELECT s.rule, s.asof, avg(ret_m) AS v, any_value(b.eq) AS eq FROM led_sel s JOIN monthly_returns r ON r.asof = s.asof AND r.ticker = s.ticker JOIN bench b ON b.asof = s.asof GROUP BY 1, 2) GROUP BY 1
+"""
+
+# ---- data quality ---------------------------------------------------------------------------------------------
+BODY["coverage_check"] = """
+SELECT *, tickers < peak * 0.97e0 AND datediff('month', first, month) > 6 AS bad FROM (SELECT *, max(tickers) OVER () AS peak, min(month) OVER () AS first FROM (
+ SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(DISTINCT ticker) AS tickers FROM prices GROUP BY 1))
+"""
+BODY["staleness_check"] = f"SELECT *, stale_share > 0.1e0 AS bad FROM (SELECT asof, avg(CASE WHEN (asof - rcept_dt) / 30.44e0 > {P.stale_months} THEN 1e0 ELSE 0e0 END) AS stale_share, count(*) AS n FROM prepared WHERE in_universe GROUP BY 1)"
+BODY["completeness"] = """
+SELECT i.*, n.name, f.fin_year, x.px_last, t.ticker IS NOT NULL AS has_track, f.fin_year IS NULL OR f.fin_year < year(i.last_in) AS stale
+FROM (SELECT ticker, min(asof_date) AS first_in, max(asof_date) AS last_in FROM snapshots WHERE included GROUP BY 1) i
+LEFT JOIN (SELECT ticker, arg_max(name, asof_date) AS name FROM snapshots GROUP BY 1) n ON n.ticker = i.ticker
+LEFT JOIN (SELECT ticker, max(year) AS fin_year FROM ttm GROUP BY 1) f ON f.ticker = i.ticker
+LEFT JOIN (SELECT ticker, max(date) AS px_last FROM prices GROUP BY 1) x ON x.ticker = i.ticker LEFT JOIN tracks t ON t.ticker = i.ticker
+"""
+BODY["missing_dates"] = "SELECT asof AS asof_date FROM rebal WHERE asof NOT IN (SELECT asof_date FROM snapshots WHERE month(asof_date) <> 8)"
+BODY["needs_extension"] = "SELECT ticker, max(date) AS last_date FROM prices GROUP BY 1 HAVING max(date) < (SELECT max(date) FROM prices) - 20"
+BODY["price_upsert"] = "SELECT ticker, count(*) AS n, sum(CASE WHEN date >= DATE '1999-01-01' THEN close_adj * 1.01e0 ELSE close_adj END) AS total FROM prices GROUP BY 1"
+BODY["reconcile"] = """
+SELECT field, count(*) AS n, count(*) FILTER (WHERE err <= 0.1e0) AS within, median(err) AS median_err FROM (
+""" + "\nUNION ALL ".join(
+    f"SELECT '{f}' AS field, CASE WHEN x <> 0 THEN abs(v - x) / abs(x) END AS err FROM (SELECT {f} AS v, {f} * (1 + (CAST(ticker AS BIGINT) / 10 % 7) / 25e0) * CASE WHEN CAST(ticker AS BIGINT) % 90 = 0 THEN 0e0 ELSE 1e0 END AS x FROM metrics_latest)"
+    for f in ("eps", "bps", "pbr")) + ") WHERE err IS NOT NULL GROUP BY 1\n"

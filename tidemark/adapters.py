@@ -244,3 +244,94 @@ def finance_lines(q: DataFrame) -> DataFrame:
                    line("금융리스 채권", F.when(big, F.col("assets") * 0.1).otherwise(F.lit(0.0))))
     return q.where("quarter = 4").select("ticker", F.col("year").alias("bsns_year"), "reprt_code", F.lit("BS").alias("sj_div"),
                                          F.explode(rows).alias("r")).select("ticker", "bsns_year", "reprt_code", "sj_div", "r.*")
+
+
+# ---- articles and reports ------------------------------------------------------------------------
+def _user_ticker(user: Column) -> Column:
+    return F.lpad(user.cast("string"), 6, "0")
+
+
+def companies(spark: SparkSession, folder: str) -> DataFrame:
+    """(ticker, name) of every user; names have a fixed width so none is the head of another."""
+    e = spark.read.parquet(f"{folder}/events.parquet").select("user_id").distinct()
+    return e.select(_user_ticker(F.col("user_id")).alias("ticker"), F.concat(F.lit("종목"), _user_ticker(F.col("user_id"))).alias("name"))
+
+
+def listed_names(firms: DataFrame) -> DataFrame:
+    """All listed names: one company in five has a listed holding with a longer name."""
+    holding = firms.where(F.col("ticker").cast("long") % 5 == 0).select(F.concat("name", F.lit("홀딩스")).alias("name"))
+    return firms.select("name").unionByName(holding)
+
+
+def articles(spark: SparkSession, folder: str) -> DataFrame:
+    """One article per event, in six shapes that each test one attribution rule."""
+    e = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    broker = F.element_at(F.array(*[F.lit(b) for b in BROKERS]), (F.col("event_id") % 7 + 1).cast("int"))
+    name = text("종목", _user_ticker(F.col("user_id")))
+    other = text("종목", _user_ticker(F.col("user_id") + 1))
+    a = F.ceil(F.col("value") / 50.0)
+    up, amount = (a + 1).cast("string"), a.cast("string")
+    word = (F.when(F.col("event_type") == "click", " 상향").when(F.col("event_type") == "error", " 하향")
+             .when(F.col("event_type") == "signup", " 신규 제시").when(F.col("event_type") == "view", " 유지").otherwise(""))
+    shape = F.col("event_id") % 6
+    holding = F.when(F.col("user_id") % 5 == 0, text(broker, " ", name, "홀딩스 목표가 9만원. ")).otherwise("")
+    title = (F.when(shape == 0, text(broker, ", ", name, " 목표주가 ", amount, "만원으로", word))
+              .when(shape == 1, text(name, " 실적 전망")).when(shape == 2, "이번주 7종목 추천")
+              .when(shape == 3, text(other, " 호조")).when(shape == 4, text(name, " 주목"))
+              .otherwise(text(name, " ", broker, " 목표주가 ", amount, "만원 제시")))
+    body = (F.when(shape == 0, text("<b>", name, "</b> 실적 &amp; 전망"))
+             .when(shape.isin(1, 2), text(name, " 관련 소식. ", holding, broker, "은 ", name, "의 목표가를 ", up, "만원에서 ", amount, "만원으로 올렸다. 끝."))
+             .when(shape == 3, text(broker, " ", name, " 목표주가 ", amount, "만원 제시"))
+             .when(shape == 4, text(other, "와 ", name, " 목표주가 ", amount, "만원 ", broker, " 제시."))
+             .otherwise(text(broker, "은 ", name, " 목표가 ", up, "만원을 제시했다.")))
+    return e.select(F.col("event_id").alias("article_id"), _user_ticker(F.col("user_id")).alias("ticker"), title.alias("title"),
+                    body.alias("description"), F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0900")).alias("pubDate"),
+                    F.concat(F.lit("http://news/"), F.col("event_id").cast("string")).alias("link"))
+
+
+def news_pages(art: DataFrame) -> DataFrame:
+    """Raw result pages: an article appears on the page of its day and again on a later page."""
+    link = F.concat(F.lit("http://news/"), (F.floor(F.col("article_id") / 2)).cast("string"))
+    item = F.struct("title", "description", "pubDate", F.when(F.col("article_id") % 10 == 0, "").otherwise(link).alias("originallink"),
+                    F.when(F.col("article_id") % 20 == 0, "").otherwise(link).alias("link"))
+    page = F.array(F.col("article_id") % 7, F.col("article_id") % 7 + 100)
+    rows = art.select("ticker", F.explode(page).alias("page"), "article_id", item.alias("item"))
+    # one page of one query
+    return (rows.groupBy("ticker", "page").agg(F.sort_array(F.collect_list(F.struct("article_id", "item"))).alias("items"))
+            .select(F.format_string("%03d", "page").alias("page"), F.to_json(F.struct(
+                F.col("ticker").alias("query"), F.transform("items", lambda x: x["item"]).alias("items"))).alias("json")))
+
+
+def statement_docs(raw: DataFrame) -> DataFrame:
+    """Raw filing documents; one company in eleven answers 'no data'."""
+    line = F.struct("sj_div", "account_id", "account_nm", "thstrm_amount", "thstrm_add_amount", "currency")
+    g = raw.groupBy("ticker", "corp_code", "bsns_year", "reprt_code", "fs_div").agg(
+        F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))).alias("_l"))
+    status = F.when(F.col("corp_code").cast("long") % 11 == 5, "013").otherwise("000")
+    return g.select(F.to_json(F.struct(status.alias("status"), "corp_code", "ticker", "bsns_year", "reprt_code", "fs_div",
+                                       F.transform("_l", lambda x: x["line"]).alias("list"))).alias("json"))
+
+
+def reports(m: DataFrame) -> DataFrame:
+    """Manual reports: purchases, some undated or without a target."""
+    return m.where("direction IS NULL").select(
+        "ticker", "broker", F.when(F.col("mention_id") % 9 != 0, F.add_months(F.to_date("pub"), -(F.col("mention_id") % 10).cast("int"))).alias("date"),
+        F.when(F.col("mention_id") % 8 != 0, F.col("target")).alias("target"))
+
+
+def verdict_history(prepared: DataFrame, before: str) -> DataFrame:
+    """Past verdict codes of the growth strategy by score band."""
+    s = F.col("score")
+    code = F.when(s >= 70, "buy").when(s >= 60, "hold").when(s >= 40, "defer").otherwise("out")
+    return prepared.where((F.col("strategy") == "growth") & (F.col("asof") < before)).select(
+        "ticker", F.col("asof").alias("month"), code.alias("code"))
+
+
+def rule_inputs(gate_panel: DataFrame) -> DataFrame:
+    """Graded rows with both pass flags and stand-in consensus columns."""
+    flags = gate_panel.groupBy("asof", "ticker").agg(*[
+        F.max(F.when(F.col("strategy") == s, F.col("pass"))).alias(f"{s}_pass") for s in spec.STRATEGY_WEIGHTS])
+    d = gate_panel.where("strategy = 'value'").join(flags, ["asof", "ticker"])
+    k = F.col("fin_period")
+    return d.withColumns({"n_brokers": k % 7, "upside": F.col("quality_score") - 40.0, "revision": (k % 3 - 1) * 0.5})

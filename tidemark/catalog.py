@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tidemark import adapters, spec
 from tidemark.operators import asof, ranks
 from tidemark.operators.dedupe import union_by_priority
-from tidemark.plans import flags, grading, metrics, momentum, panel, portfolio, statements, strategies, universe, validate
+from tidemark.plans import (consensus, flags, grading, ledger, mentions, metrics, momentum, panel, portfolio, quality,
+                            statements, strategies, style, universe, validate)
 from tidemark.workspace import Workspace, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -473,3 +474,276 @@ def _(w):
 def _(w):
     old = portfolio.gate_runs(w.prepared.where("sector <> '05'"), w.p.top_n)
     return portfolio.panel_diff(old, portfolio.gate_runs(w.prepared, w.p.top_n), ["strategy", "gate"])
+
+
+# ---- sources ----------------------------------------------------------------------------------------------
+@query("statement_json", "ticker:s bsns_year:i reprt_code:s n_rows:i last_ord:i first_name:s")
+def _(w):
+    from tidemark.sources.tables import statement_rows
+    rows = statement_rows(adapters.statement_docs(adapters.raw_statements(w.fin_quarterly)))
+    return rows.groupBy("ticker", "bsns_year", "reprt_code").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("ord").alias("last_ord"), F.min_by("account_nm", "ord").alias("first_name"))
+
+
+@query("news_pages", "query:s article:s title:s")
+def _(w):
+    from tidemark.sources.tables import news_articles
+    return news_articles(adapters.news_pages(adapters.articles(w.spark, w.folder)))
+
+
+# ---- style and verdicts ----------------------------------------------------------------------------------------
+def _spread(w: Workspace) -> DataFrame:
+    months = w.panel.agg(F.sort_array(F.collect_set("asof")).alias("a")).scalar()
+    return style.spread(w.panel, w.prices, months, w.p)
+
+
+@query("style_spread", "asof:d to:d value_ret:f growth_ret:f spread:f n_value:i n_growth:i")
+def _(w):
+    return _spread(w)
+
+
+@query("style_regime", "window:i months:i spread:f value_ret:f growth_ret:f tilt:s alloc_value:i alloc_growth:i alloc_momentum:i")
+def _(w):
+    return style.regime(_spread(w), w.p)
+
+
+@query("style_stats", "months:i mean_spread:f value_won_pct:f")
+def _(w):
+    return style.spread_stats(_spread(w))
+
+
+@query("style_baskets", "asof:d style:s ticker:s")
+def _(w):
+    return style.baskets(w.panel, w.p)
+
+
+def _two(w: Workspace):
+    at = lambda d: w.panel.where(F.col("asof") == F.lit(d).cast("date"))
+    return at(GRADE_DATES[0]), at(GRADE_DATES[1])
+
+
+@query("breadth", "track:s sector:s worse_share:f n:i")
+def _(w):
+    prev, now = _two(w)
+    by = lambda keys: grading.breadth(prev, now, w.p, keys)
+    blank = F.lit(None).cast("string")
+    return (by(["track"]).withColumn("sector", blank).unionByName(by(["sector"]).withColumn("track", blank))
+            .unionByName(by([]).withColumn("track", blank).withColumn("sector", blank)))
+
+
+@query("held_before", "ticker:s held:b defer_months:i")
+def _(w):
+    return style.held_before(adapters.verdict_history(w.prepared, GRADE_DATES[1]))
+
+
+@query("verdicts", "ticker:s score:f gate_pass:b held:b defer_months:i hurt:a defer:b defer_reason:s code:s")
+def _(w):
+    prev, now = _two(w)
+    scores = _scored(w).where((F.col("asof") == F.lit(GRADE_DATES[1]).cast("date")) & (F.col("strategy") == "growth"))
+    d = style.hurt_metrics(now, prev, w.p).select("ticker", "track", "sector", "hurt").join(
+        scores.select("ticker", "score", "gate_pass"), "ticker")
+    d = d.join(style.held_before(adapters.verdict_history(w.prepared, GRADE_DATES[1])), "ticker", "left")
+    d = style.defer_sell(d, grading.breadth(prev, now, w.p, ["track"]), grading.breadth(prev, now, w.p, ["sector"]), w.p)
+    return d.withColumn("code", style.verdict(w.p)).withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+@query("valuation_band", "ticker:s days:i per_p25:f per_p50:f per_p75:f per_pos:f pbr_pos:f exit_price:f")
+def _(w):
+    px = w.prices.where(F.col("date") <= METRICS_DATE)
+    latest = _latest(w)
+    band = style.valuation_band(px, w.ttm, latest.select("ticker", "shares_out"))
+    return style.exit_price(band.join(latest.select("ticker", "per", "price_asof"), "ticker"))
+
+
+@query("evidence", "asof:d ticker:s side:s rank:i kind:s item:s score:f")
+def _(w):
+    g = w.prepared.where("strategy = 'value'")
+    g = flags.with_reliability(g.withColumn("period", F.col("fin_period")), flags.restructure_events(w.ttm, w.p))
+    g = g.join(flags.loss_streak(w.ttm.where("quarter = 4")), "ticker", "left").join(w.tracks.select("ticker", "stability_distorted"), "ticker", "left")
+    from tidemark.functions.exprs import present
+    g = g.withColumn("weighted_present", present([f"{c}_score" for c in spec.STRATEGY_WEIGHTS["value"]]))
+    return style.evidence(g, "value", w.p)
+
+
+@query("contributions", "ticker:s category:s weight:f score:f points:f")
+def _(w):
+    return strategies.contributions(_two(w)[1], "value")
+
+
+@query("best_strategy", "ticker:s strategy:s score:f n_passed:i")
+def _(w):
+    return strategies.best_strategy(_scored(w).where(F.col("asof") == F.lit(GRADE_DATES[1]).cast("date")))
+
+
+@query("strategy_duplicates", "asof:d ticker:s strategy:s score:f")
+def _(w):
+    s = _scored(w).withColumn("ticker", F.concat_ws("@", "ticker", F.date_format("asof", "yyyy-MM-dd")))
+    d = strategies.duplicates(s)
+    return d.withColumn("ticker", F.split("ticker", "@")[0])
+
+
+@query("sector_ranking", "sector_name:s n:i mean_score:f top_name:s top_score:f")
+def _(w):
+    s = _scored(w).where((F.col("asof") == F.lit(GRADE_DATES[1]).cast("date")) & (F.col("strategy") == "value") & F.col("score").isNotNull())
+    firms = adapters.company_list(w.spark, w.folder).select("ticker", strategies.sector_name(F.col("induty_code")).alias("sector_name"))
+    return strategies.sector_ranking(s.select("ticker", "score", F.col("ticker").alias("name")), firms)
+
+
+# ---- consensus -----------------------------------------------------------------------------------------------------
+NEWS_ASOF = "2024-01-31 00:00:00"
+
+
+def _news_asof():
+    return F.lit(NEWS_ASOF).cast("timestamp")
+
+
+@query("mention_dedupe", "mention_id:i ticker:s broker:s target:f pub:s copies:i")
+def _(w):
+    return consensus.dedupe(w.mentions, w.p)
+
+
+@query("representatives", "mention_id:i ticker:s broker:s target:f direction:s copies:i")
+def _(w):
+    return consensus.representatives(consensus.dedupe(w.mentions, w.p), _news_asof(), w.p)
+
+
+@query("consensus", "ticker:s n_brokers:i n_foreign:i median_target:f upside:f dispersion:f revision:f")
+def _(w):
+    obs = consensus.dedupe(w.mentions, w.p)
+    return consensus.aggregate(obs, consensus.last_price(consensus.event_prices(w)), _news_asof(), w.p)
+
+
+def _batch(w: Workspace) -> DataFrame:
+    obs = w.mentions.withColumn("link", F.concat(F.lit("n"), F.floor(F.col("mention_id") / 3).cast("string")))
+    members = adapters.companies(w.spark, w.folder).unionByName(w.spark.range(1).select(F.lit("999999").alias("ticker"), F.lit("none").alias("name")))
+    return consensus.batch(members, obs, consensus.event_prices(w), _news_asof(), w.p)
+
+
+@query("consensus_batch", "ticker:s name:s articles:i span_days:i reports:i band_drop:i single:i price:f n_brokers:i n_foreign:i median_target:f upside:f dispersion:f revision:f")
+def _(w):
+    return _batch(w)
+
+
+@query("upside_percentile", "ticker:s upside:f upside_pct:f pool_median:f")
+def _(w):
+    return consensus.upside_percentile(_batch(w), w.p)
+
+
+@query("report_summary", "ticker:s n:i brokers:s target_mean:f target_min:f target_max:f latest:d upside:f spread:f")
+def _(w):
+    return consensus.report_summary(adapters.reports(w.mentions), consensus.last_price(consensus.event_prices(w)), w.p)
+
+
+@query("rank_gap", "ticker:s score:f upside:f rank_score:i rank_upside:i gap:i note:s")
+def _(w):
+    d = _batch(w).select("ticker", (F.col("articles") * 1.0).alias("score"), "upside")
+    return consensus.rank_gap(d.orderBy(F.col("score").desc(), "ticker").limit(10), w.p)
+
+
+@query("mention_extract", "article_id:i ticker:s broker:s foreign:b target:f prev_target:f direction:s pub:s link:s from_title:b")
+def _(w):
+    firms = adapters.companies(w.spark, w.folder)
+    return mentions.extract(adapters.articles(w.spark, w.folder), mentions.name_dictionary(firms, adapters.listed_names(firms)),
+                            mentions.name_table(firms))
+
+
+@query("name_dictionary", "ticker:s name:s own:a tails:a affiliate:s")
+def _(w):
+    firms = adapters.companies(w.spark, w.folder)
+    d = mentions.name_dictionary(firms, adapters.listed_names(firms))
+    return d.withColumn("tails", F.coalesce(F.sort_array(F.col("longer")[F.col("name")]), F.array().cast("array<string>")))
+
+
+# ---- ledger ------------------------------------------------------------------------------------------------------------
+def _selections(w: Workspace) -> DataFrame:
+    return ledger.selections(ledger.rule_scores(adapters.rule_inputs(w.prepared), w.p), w.p.top_n)
+
+
+@query("rule_selections", "asof:d rule:s rank:i ticker:s score:f")
+def _(w):
+    return _selections(w)
+
+
+def _day(d: str):
+    return F.lit(d).cast("date")
+
+
+def _cycle(w: Workspace) -> DataFrame:
+    picks = _selections(w)
+    empty = w.spark.createDataFrame([], ledger.LEDGER_SCHEMA)
+    at = lambda d: picks.where(F.col("asof") == _day(d)).drop("asof")
+    book = ledger.record(empty, at(GRADE_DATES[0]), w.prices, _day(GRADE_DATES[0]), w.p)
+    book = ledger.settle(book, w.prices, _day(GRADE_DATES[1]), w.p)
+    return ledger.record(book, at(GRADE_DATES[1]), w.prices, _day(GRADE_DATES[1]), w.p)
+
+
+LEDGER = "asof:d rule:s rank:i ticker:s score:f entry_price:f exit_asof:d exit_price:f ret_pct:f"
+
+
+@query("ledger_cycle", LEDGER)
+def _(w):
+    return _cycle(w)
+
+
+@query("month_close", "asof:d exit_asof:d days:i bench_eq:f bench_cap:f diffusion:f n_universe:i " + " ".join(f"{r}:f" for r in ledger.RULES))
+def _(w):
+    snap = _two(w)[0].select("ticker", "market_cap")
+    return ledger.close_month(_cycle(w), _day(GRADE_DATES[0]), _day(GRADE_DATES[1]), w.prices, snap, _diffusion(w))
+
+
+def _diffusion(w: Workspace) -> DataFrame:
+    return ledger.diffusion_index(w.prepared.where("strategy = 'growth' AND in_universe"))
+
+
+@query("diffusion", "asof:d diffusion:f n:i")
+def _(w):
+    return _diffusion(w)
+
+
+@query("scoreboard", "rule:s cumulative:f mean:f vs_bench:f wins:i months:i best:f worst:f")
+def _(w):
+    # month results of every rule from its picks and the monthly returns
+    held = portfolio.legs(_selections(w), w.monthly_returns)
+    m = held.groupBy("asof").pivot("rule", ledger.RULES).agg(F.avg("ret_m"))
+    bench = portfolio.bench_monthly(w.prepared, w.monthly_returns, w.asofs).select("asof", F.col("eq").alias("bench_eq"))
+    return ledger.scoreboard(m.join(bench, "asof"))
+
+
+# ---- data quality -----------------------------------------------------------------------------------------------------------
+@query("coverage_check", "month:d tickers:i peak:i bad:b")
+def _(w):
+    return quality.coverage(w.prices, drop=0.97)
+
+
+@query("staleness_check", "asof:d stale_share:f n:i bad:b")
+def _(w):
+    return quality.staleness(w.prepared, w.p)
+
+
+@query("completeness", "ticker:s name:s first_in:d last_in:d fin_year:i px_last:d has_track:b stale:b")
+def _(w):
+    return quality.completeness(w.snapshots, w.ttm, w.prices, w.tracks)
+
+
+@query("missing_dates", "asof_date:d")
+def _(w):
+    return quality.missing_dates(adapters.rebalance_dates(w.prices), w.snapshots.where(F.month("asof_date") != 8))
+
+
+@query("needs_extension", "ticker:s last_date:d")
+def _(w):
+    return quality.needs_extension(w.prices, w.prices.agg(F.max("date")).scalar())
+
+
+@query("price_upsert", "ticker:s n:i total:f")
+def _(w):
+    hist, cur = adapters.price_stores(w.prices)
+    return quality.upsert_prices(hist, cur).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("close_adj").alias("total"))
+
+
+@query("reconcile", "field:s n:i within:i median_err:f")
+def _(w):
+    d = _latest(w).select("ticker", "eps", "bps", "pbr")
+    k = F.col("ticker").cast("long")
+    ext = d.select("ticker", *[(F.col(x) * (1 + (k / 10 % 7) / 25.0) * F.when(k % 90 == 0, 0.0).otherwise(1.0)).alias(x) for x in ("eps", "bps", "pbr")])
+    return quality.reconcile(d, ext, ["eps", "bps", "pbr"])

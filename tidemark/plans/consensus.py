@@ -1,0 +1,233 @@
+"""Target-price consensus from mentions: de-duplication, representatives, aggregates."""
+
+from __future__ import annotations
+
+from functools import partial
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import functions as F
+
+from tidemark.operators.asof import backward
+from tidemark.operators.dedupe import keep_last
+from tidemark.operators.ranks import exact_quantiles, value_positions
+from tidemark.operators.scan import ordered_scan
+from tidemark.params import Params
+
+# fixed values: direction labels
+UP, DOWN = "상향", "하향"
+ZONE = "Asia/Seoul"
+
+
+def local_day(ts: str) -> Column:
+    """Calendar day of a UTC timestamp in the market's zone."""
+    return F.to_date(F.from_utc_timestamp(F.col(ts), ZONE))
+
+
+def event_prices(w) -> DataFrame:
+    """Daily prices of the mention tickers, derived from the events themselves."""
+    e = w.spark.read.parquet(f"{w.folder}/events.parquet").select("ts", "user_id", "value")
+    return (e.groupBy(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("ticker"), F.to_date("ts").alias("date"))
+            .agg((F.round(F.sum("value"), 2) / F.count(F.lit(1)) + 60.0).alias("close_adj")))
+
+
+def distinct_mentions(obs: DataFrame, link: str, tie: str) -> DataFrame:
+    """One row per (ticker, link, broker, rounded target); the last one stays."""
+    d = obs.withColumn("_t", F.bround("target", 0))
+    return keep_last(d, ["ticker", link, "broker", "_t"], tie).drop("_t")
+
+
+class _Anchors:
+    """Greedy anchors of one partition: a row further than the gap from the last kept row is kept."""
+
+    def __init__(self, gap: int):
+        self.gap, self.key, self.anchor, self.copies = gap, None, 0, 0
+
+    def __call__(self, batch: pd.DataFrame | None):
+        out: list[tuple] = []
+        if batch is None:
+            self._close(out)
+        else:
+            key = batch[["ticker", "broker", "t"]]
+            starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
+            ends = np.append(starts[1:], len(batch))
+            at, n = batch["at"].to_numpy(), batch["n"].to_numpy()
+            for s, e in zip(starts, ends):
+                self._key(tuple(key.iloc[s]), at[s:e], np.cumsum(n[s:e]), out)
+        return pd.DataFrame(out, columns=["ticker", "broker", "t", "at", "copies"])
+
+    def _key(self, key, at, total, out):
+        i, done = 0, 0
+        if key == self.key:
+            i = int(np.searchsorted(at, self.anchor + self.gap))
+            done = int(total[i - 1]) if i else 0
+            self.copies += done
+        while i < len(at):
+            self._close(out)
+            self.key, self.anchor = key, int(at[i])
+            i = int(np.searchsorted(at, self.anchor + self.gap))
+            self.copies, done = int(total[i - 1]) - done, int(total[i - 1])
+
+    def _close(self, out):
+        if self.key is not None:
+            out.append((*self.key, self.anchor, self.copies))
+
+
+def dedupe(obs: DataFrame, p: Params, tie: str = "mention_id") -> DataFrame:
+    """Copies of one report: same ticker, broker and rounded target within the gap of the last
+    kept mention. Kept rows carry the number of mentions they stand for.
+
+    Mentions of one second collapse before the shuffle, so a key never holds more rows than the
+    clock has seconds; the scan keeps one anchor in memory.
+    """
+    keys = ["ticker", "broker", "t"]
+    rest = [x for x in obs.columns if x not in ("ticker", "broker", "pub")]
+    d = obs.withColumn("t", F.bround("target", 0)).withColumn("at", F.unix_micros("pub"))
+    per = d.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"), F.min("pub").alias("pub"),
+                                     F.min_by(F.struct(*rest), tie).alias("_row"))
+    gap = (p.mention_dedupe_days + 1) * 86_400_000_000
+    kept = ordered_scan(per.select(*keys, "at", "n"), keys, ["at"],
+                        "ticker string, broker string, t double, at long, copies long",
+                        partial(_Anchors, gap), finish=True)
+    return (per.join(kept, [*keys, "at"]).select("ticker", "broker", "pub", "_row.*", "copies"))
+
+
+def band_filter(obs: DataFrame, prices: DataFrame, p: Params, keep_all: bool = False) -> DataFrame:
+    """Drops targets far from the price of the article's day; an unknown price keeps the row."""
+    d = backward(obs.withColumn("_day", local_day("pub")), prices.select("ticker", "date", "close_adj"),
+                 "ticker", "_day", "date", ["close_adj"])
+    d = d.withColumn("ratio", F.col("target") / F.col("close_adj"))
+    kept = F.col("ratio").isNull() | F.col("ratio").between(p.band_low, p.band_high)
+    d = d.withColumn("kept", kept).drop("_day", "date", "close_adj")
+    return d if keep_all else d.where("kept").drop("kept")
+
+
+class _Updates:
+    """Current target of each (ticker, broker): a later mention replaces it when its direction
+    agrees with the change of value."""
+
+    def __init__(self):
+        self.key, self.target, self.choice = None, 0.0, None
+
+    def __call__(self, batch: pd.DataFrame | None):
+        out: list[tuple] = []
+        if batch is None:
+            self._close(out)
+        else:
+            for r in batch.itertuples(index=False):
+                if (r.ticker, r.broker) != self.key:
+                    self._close(out)
+                    self.key, self.target, self.choice = (r.ticker, r.broker), r.base, None
+                change = r.target / self.target - 1
+                if abs(change) > 1e-9 and (r.direction == UP) == (change > 0):
+                    self.target, self.choice = r.target, r.id
+        return pd.DataFrame(out, columns=["ticker", "broker", "id"])
+
+    def _close(self, out):
+        if self.key is not None and self.choice is not None:
+            out.append((*self.key, self.choice))
+
+
+def representatives(obs: DataFrame, asof: Column, p: Params, *, domestic_only: bool = True,
+                    tie: str = "mention_id") -> DataFrame:
+    """One mention per (ticker, broker) inside the window.
+
+    The last confirmed mention (two copies or more), else the last one; later single mentions
+    replace a confirmed one only when their direction agrees with the change.
+    """
+    w = obs.where(F.col("pub") >= asof - F.make_dt_interval(F.lit(p.mention_window_days)))
+    if domestic_only:
+        w = w.where(~F.col("foreign"))
+    rest = [x for x in obs.columns if x not in ("ticker", "broker")]
+    order = F.struct(F.col("copies") >= 2, F.col("pub"), F.col(tie))
+    base = w.groupBy("ticker", "broker").agg(F.max_by(F.struct(*rest), order).alias("_b"))
+    later = (w.join(base, ["ticker", "broker"])
+             .where((F.col("_b.copies") >= 2) & (F.col("pub") > F.col("_b.pub")) & F.col("direction").isin(UP, DOWN))
+             .select("ticker", "broker", "pub", F.col(tie).alias("id"), "target", "direction", F.col("_b.target").alias("base")))
+    newer = ordered_scan(later, ["ticker", "broker"], ["pub", "id"],
+                         "ticker string, broker string, id long", _Updates, finish=True)
+    chosen = base.join(newer, ["ticker", "broker"], "left").select(
+        "ticker", "broker", F.coalesce("id", F.col(f"_b.{tie}")).alias(tie))
+    return w.join(chosen, ["ticker", "broker", tie], "left_semi")
+
+
+def aggregate(obs: DataFrame, prices: DataFrame, asof: Column, p: Params, *, domestic_only: bool = True) -> DataFrame:
+    """Per ticker: brokers, median target, upside, quartile width, net direction, foreign brokers.
+
+    A ticker has at most one row per broker of the fixed broker list, which bounds the median.
+    """
+    rep = representatives(obs, asof, p, domestic_only=domestic_only)
+    w = obs.where(F.col("pub") >= asof - F.make_dt_interval(F.lit(p.mention_window_days)))
+    foreign = w.where("foreign").groupBy("ticker").agg(F.countDistinct("broker").alias("n_foreign"))
+    g = rep.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n_brokers"), F.percentile("target", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("_q"),
+        F.sum((F.col("direction") == UP).cast("int")).alias("_up"), F.sum((F.col("direction") == DOWN).cast("int")).alias("_down"))
+    d = (obs.select("ticker").distinct().join(g, "ticker", "left").join(foreign, "ticker", "left")
+         .join(prices.select("ticker", "price"), "ticker", "left").fillna(0, subset=["n_brokers", "n_foreign"]))
+    ok = lambda x: F.when(F.col("n_brokers") >= p.min_brokers, x)
+    med, up, down = F.col("_q")[1], F.coalesce("_up", F.lit(0)), F.coalesce("_down", F.lit(0))
+    return d.select("ticker", "n_brokers", "n_foreign", "price", ok(med).alias("median_target"),
+                    ok(F.when(F.col("price") != 0, (med / F.col("price") - 1) * 100.0)).alias("upside"),
+                    ok((F.col("_q")[2] - F.col("_q")[0]) / med * 100.0).alias("dispersion"),
+                    ok((up - down) / F.nullif("n_brokers", F.lit(0))).alias("revision"))
+
+
+def last_price(prices: DataFrame) -> DataFrame:
+    return prices.groupBy("ticker").agg(F.max_by("close_adj", "date").alias("price"))
+
+
+def batch(members: DataFrame, obs: DataFrame, prices: DataFrame, asof: Column, p: Params) -> DataFrame:
+    """Consensus of every member: article counts, reports, dropped and single mentions, aggregate.
+
+    Members without mentions stay with zeros.
+    """
+    articles = obs.groupBy("ticker").agg(F.countDistinct("link").alias("articles"),
+                                         F.floor((F.unix_timestamp(asof) - F.unix_timestamp(F.min("pub"))) / 86400).alias("span_days"))
+    marked = band_filter(dedupe(distinct_mentions(obs, "link", "mention_id"), p), prices, p, keep_all=True)
+    kept = marked.where("kept")
+    counts = marked.groupBy("ticker").agg(
+        F.sum(F.col("kept").cast("int")).alias("reports"), F.sum((~F.col("kept")).cast("int")).alias("band_drop"),
+        F.sum((F.col("kept") & (F.col("copies") == 1)).cast("int")).alias("single"))
+    agg = aggregate(kept, last_price(prices), asof, p).drop("price")
+    d = (members.join(articles, "ticker", "left").join(counts, "ticker", "left").join(agg, "ticker", "left")
+         .join(last_price(prices), "ticker", "left"))
+    return d.fillna(0, subset=["articles", "span_days", "reports", "band_drop", "single", "n_brokers", "n_foreign"])
+
+
+def upside_percentile(cons: DataFrame, p: Params) -> DataFrame:
+    """Position of each upside in the pool of well-covered tickers, with the pool median."""
+    pool = cons.where((F.col("n_brokers") >= p.min_brokers) & F.col("upside").isNotNull()).withColumn("_k", F.lit(1))
+    pos = value_positions(pool, ["_k"], "upside").where(F.col("n_ranked") >= p.min_pool).select(
+        "upside", (F.col("n_below") / F.col("n_ranked") * 100.0).alias("upside_pct"))
+    med = exact_quantiles(pool, ["_k"], "upside", {"pool_median": 0.5}).select("pool_median")
+    d = cons.join(pos, "upside", "left")
+    return d.withColumn("pool_median", F.when(F.col("upside_pct").isNotNull(), med.scalar()))
+
+
+def report_summary(reports: DataFrame, prices: DataFrame, p: Params) -> DataFrame:
+    """Summary of manual reports per ticker over its own last months; undated rows stay."""
+    last = reports.groupBy("ticker").agg(F.max("date").alias("_last"))
+    d = reports.join(last, "ticker").where(
+        F.col("_last").isNull() | F.col("date").isNull() | (F.col("date") >= F.add_months("_last", -p.consensus_months)))
+    g = d.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("broker")), ", ").alias("brokers"),
+        F.avg("target").alias("target_mean"), F.min("target").alias("target_min"), F.max("target").alias("target_max"),
+        F.max("date").alias("latest"))
+    g = g.join(prices.select("ticker", "price"), "ticker", "left")
+    ok = (F.col("target_mean") != 0) & (F.col("price") != 0)
+    up = F.when(ok, (F.col("target_mean") / F.col("price") - 1) * 100.0)
+    spread = F.when(ok, (F.col("target_max") - F.col("target_min")) / F.col("target_mean") * 100.0)
+    return g.withColumn("upside", up).withColumn("spread", spread)
+
+
+def rank_gap(picks: DataFrame, p: Params) -> DataFrame:
+    """Score rank against upside rank of a short list of picks (score, upside)."""
+    d = picks.withColumn("_has", F.col("upside").isNotNull())
+    n = F.sum(F.col("_has").cast("int")).over(W.partitionBy(F.lit(1)))
+    rk = lambda x: F.row_number().over(W.partitionBy("_has").orderBy(F.col(x).desc(), F.col("ticker")))
+    use = F.col("_has") & (n >= 2)
+    d = d.withColumn("rank_score", F.when(use, rk("score"))).withColumn("rank_upside", F.when(use, rk("upside")))
+    gap = F.col("rank_upside") - F.col("rank_score")
+    return d.withColumn("gap", gap).withColumn("note", F.when(gap.isNull(), None).when(F.abs(gap) < p.gap_rank, "agree")
+                                              .when(gap > 0, "score_high").otherwise("consensus_high")).drop("_has")
