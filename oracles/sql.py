@@ -19,7 +19,7 @@ def shape_sql(name: str, body: str) -> str:
     def one(col: str, kind: str) -> str:
         q = f'"{col}"'
         x = {"f": _rounded(f"CAST({q} AS DOUBLE)"), "i": f"CAST({q} AS BIGINT)", "d": f"strftime({q}, '%Y-%m-%d')",
-             "b": f"CAST({q} AS BOOLEAN)", "a": f"array_to_string({q}, '|')"}.get(kind, f"CAST({q} AS VARCHAR)")
+             "b": f"CAST({q} AS BOOLEAN)", "a": f"array_to_string({q}, '|')", "e": f"printf('%.8e', CAST({q} AS DOUBLE))"}.get(kind, f"CAST({q} AS VARCHAR)")
         return f"{x} AS {q}"
     return with_ctes(f"SELECT {', '.join(one(c, k) for c, k in COLUMNS[name])} FROM (\n{body.strip()}\n)")
 
@@ -536,21 +536,21 @@ cte("bret", """
 SELECT b.asof, b.style, b.ticker, arg_max(p.close_adj, p.date) / arg_min(p.close_adj, p.date) - 1 AS ret FROM bask b JOIN pm ON pm.asof = b.asof
 JOIN prices p ON p.ticker = b.ticker AND p.date BETWEEN b.asof AND pm.nxt GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND arg_min(p.close_adj, p.date) > 0
 """)
-cte("spread", """
+cte("style_sp", """
 SELECT *, value_ret - growth_ret AS spread FROM (
 SELECT pm.asof, pm.nxt AS to, (SELECT avg(ret) * 100e0 FROM bret r WHERE r.asof = pm.asof AND style = 'value') AS value_ret,
   (SELECT avg(ret) * 100e0 FROM bret r WHERE r.asof = pm.asof AND style = 'growth') AS growth_ret,
   (SELECT count(*) FROM bask r WHERE r.asof = pm.asof AND style = 'value') AS n_value, (SELECT count(*) FROM bask r WHERE r.asof = pm.asof AND style = 'growth') AS n_growth
 FROM pm WHERE nxt IS NOT NULL)
 """.replace(" AS to,", ' AS "to",'))
-BODY["style_spread"] = "SELECT * FROM spread"
+BODY["style_spread"] = "SELECT * FROM style_sp"
 BODY["style_regime"] = """
 SELECT *, 50 + CASE tilt WHEN 'value' THEN 10 WHEN 'growth' THEN -10 ELSE 0 END AS alloc_value, 35 + CASE tilt WHEN 'growth' THEN 10 WHEN 'value' THEN -10 ELSE 0 END AS alloc_growth, 15 AS alloc_momentum
 FROM (SELECT w AS "window", count(*) AS months, sum(spread) AS spread, sum(value_ret) AS value_ret, sum(growth_ret) AS growth_ret,
   CASE WHEN round(sum(spread), 10) >= 3 THEN 'value' WHEN round(sum(spread), 10) <= -3 THEN 'growth' END AS tilt
- FROM (SELECT *, row_number() OVER (ORDER BY asof DESC) AS rn FROM spread WHERE spread IS NOT NULL), (SELECT unnest([3, 6, 12]) AS w) WHERE rn <= w GROUP BY 1)
+ FROM (SELECT *, row_number() OVER (ORDER BY asof DESC) AS rn FROM style_sp WHERE spread IS NOT NULL), (SELECT unnest([3, 6, 12]) AS w) WHERE rn <= w GROUP BY 1)
 """
-BODY["style_stats"] = "SELECT count(*) AS months, avg(spread) AS mean_spread, avg(CASE WHEN spread > 0 THEN 1e0 ELSE 0e0 END) * 100e0 AS value_won_pct FROM spread WHERE spread IS NOT NULL"
+BODY["style_stats"] = "SELECT count(*) AS months, avg(spread) AS mean_spread, avg(CASE WHEN spread > 0 THEN 1e0 ELSE 0e0 END) * 100e0 AS value_won_pct FROM style_sp WHERE spread IS NOT NULL"
 from tidemark.catalog import GRADE_DATES  # noqa: E402
 
 D0, D1 = (f"DATE '{d}'" for d in GRADE_DATES)
@@ -714,8 +714,8 @@ SELECT *, rank_upside - rank_score AS gap, CASE WHEN rank_score IS NULL THEN NUL
 BODY["mention_extract"] = """
 SELECT event_id AS article_id, ticker, broker, event_id % 7 = 6 AS "foreign", a * 10000 AS target, CASE WHEN shape = 1 THEN (a + 1) * 10000 END AS prev_target,
   CASE WHEN shape = 0 THEN CASE event_type WHEN 'click' THEN '상향' WHEN 'error' THEN '하향' WHEN 'signup' THEN '신규' WHEN 'view' THEN '유지' END WHEN shape = 1 THEN '상향' ELSE '유지' END AS direction,
-  strftime(date_trunc('second', ts) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS pub, 'http://news/' || CAST(event_id AS VARCHAR) AS link, shape <> 1 AS from_title
-FROM ev WHERE shape IN (0, 1, 5)
+  strftime(date_trunc('second', ts) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS pub, 'http://news/' || CAST(event_id AS VARCHAR) AS link, shape IN (0, 5) AS from_title
+FROM ev WHERE shape IN (0, 1, 5) OR (shape IN (3, 4) AND user_id + 1 NOT IN (SELECT user_id FROM events))
 """
 BODY["name_dictionary"] = """
 SELECT DISTINCT ticker, nm AS name, [nm] AS own, CASE WHEN user_id % 5 = 0 THEN ['홀딩스'] ELSE [] END AS tails, CAST(NULL AS VARCHAR) AS affiliate FROM ev
@@ -748,10 +748,10 @@ FROM led_sel s LEFT JOIN {_close(D0)} a ON a.ticker = s.ticker LEFT JOIN {_close
 UNION ALL SELECT s.asof, s.rule, s.rank, s.ticker, s.score, b.price, NULL, NULL, NULL FROM led_sel s LEFT JOIN {_close(D1)} b ON b.ticker = s.ticker WHERE s.asof = {D1}
 """)
 BODY["ledger_cycle"] = "SELECT * FROM cyc"
-cte("diff", "SELECT asof, avg(CASE WHEN rev_growth_q_of_4 >= 3 THEN 1e0 ELSE 0e0 END) AS diffusion, count(*) AS n FROM prepared WHERE strategy = 'growth' AND in_universe GROUP BY 1")
-BODY["diffusion"] = "SELECT * FROM diff"
+cte("led_diff", "SELECT asof, avg(CASE WHEN rev_growth_q_of_4 >= 3 THEN 1e0 ELSE 0e0 END) AS diffusion, count(*) AS n FROM prepared WHERE strategy = 'growth' AND in_universe GROUP BY 1")
+BODY["diffusion"] = "SELECT * FROM led_diff"
 BODY["month_close"] = f"""
-SELECT {D0} AS asof, {D1} AS exit_asof, {D1} - {D0} AS days, bench_eq, bench_cap, n_universe, (SELECT round_even(diffusion * 100e0, 1) FROM diff WHERE asof = {D0}) AS diffusion,
+SELECT {D0} AS asof, {D1} AS exit_asof, {D1} - {D0} AS days, bench_eq, bench_cap, n_universe, (SELECT round_even(diffusion * 100e0, 1) FROM led_diff WHERE asof = {D0}) AS diffusion,
  {', '.join(f"(SELECT round_even(avg(ret_pct), 2) FROM cyc WHERE rule = '{n}' AND ret_pct IS NOT NULL) AS {n}" for n in _rule)}
 FROM (SELECT round_even(avg(rr), 2) AS bench_eq, round_even(sum(rr * market_cap) / sum(market_cap), 2) AS bench_cap, count(*) AS n_universe FROM (
  SELECT p.market_cap, (b.price / a.price - 1) * 100e0 AS rr FROM panel p LEFT JOIN {_close(D0)} a ON a.ticker = p.ticker LEFT JOIN {_close(D1)} b ON b.ticker = p.ticker WHERE p.asof = {D0}) WHERE rr IS NOT NULL)

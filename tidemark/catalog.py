@@ -2,7 +2,7 @@
 
 Every query names its output columns with a type letter, so results are rounded and typed the
 same way on both sides of a comparison: f rounded double, i long, s string, b boolean,
-d ISO date text, a joined array.
+d ISO date text, a joined array, e nine significant digits as text (for compounded totals).
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def shape(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
         x = F.col(name)
         x = {"f": lambda: rounded(x), "i": lambda: x.cast("long"),
              "d": lambda: F.date_format(x, "yyyy-MM-dd"), "b": lambda: x.cast("boolean"),
-             "a": lambda: F.array_join(x, "|")}.get(kind, lambda: x.cast("string"))()
+             "a": lambda: F.array_join(x, "|"), "e": lambda: F.format_string("%.8e", x.cast("double"))}.get(kind, lambda: x.cast("string"))()
         return x.alias(name)
     return df.select(*[one(n, k) for n, k in columns])
 
@@ -243,12 +243,12 @@ GRADES = " ".join(f"{c}_score:f {c}_grade:s {c}_n:f" for c in spec.CATEGORY_NAME
 
 @query("panel", "asof:d ticker:s track:s sector:s peer:s fin_period:i rcept_dt:d market_cap:f price_asof:f per:f pbr:f roe:f roic:f debt_ratio:f psr:f ev_ebit:f fcf_yield:f peg:f normalized_per:f growth_volatility:f growth_acceleration:f revenue_cagr_3y:f return_3m:f rsi_14:f fwd_63:f quality_score:f coverage:i scores_present:i " + " ".join(f"{c}_score:f" for c in spec.CATEGORY_NAMES))
 def _(w):
-    return panel.build(w.ttm, w.prices, w.snapshots, w.tracks, w.p, dates=w.dates)
+    return grading.grade(w.stored(panel.cohorts(w.ttm, w.prices, w.snapshots, w.tracks, w.p, dates=w.dates), "panel_query"), w.p)
 
 
 @query("grades", "asof:d ticker:s track:s peer:s " + GRADES)
 def _(w):
-    return grading.grade(w.panel.drop(*[f"{c}_{x}" for c in spec.CATEGORY_NAMES for x in ("score", "grade", "n")], "peer", "quality_score", "coverage", "scores_present"), w.p)
+    return grading.grade(w.cohorts, w.p)
 
 
 @query("average_rank", "asof:d ticker:s pct:f cap_rank:i")
@@ -269,7 +269,7 @@ def _(w):
 
 def _scored(w: Workspace) -> DataFrame:
     g = w.prepared.where("strategy = 'value'")
-    return strategies.score_all(flags.with_reliability(g.withColumn("period", F.col("fin_period")), flags.restructure_events(w.ttm, w.p)), w.p)
+    return strategies.score(flags.with_reliability(g.withColumn("period", F.col("fin_period")), flags.restructure_events(w.ttm, w.p)), w.p)
 
 
 @query("strategy_scores", "asof:d ticker:s strategy:s base_score:f penalty:f score:f gate_pass:b gate_fails:a penalty_why:a coverage:i")
@@ -700,7 +700,7 @@ def _(w):
     return _diffusion(w)
 
 
-@query("scoreboard", "rule:s cumulative:f mean:f vs_bench:f wins:i months:i best:f worst:f")
+@query("scoreboard", "rule:s cumulative:e mean:f vs_bench:f wins:i months:i best:f worst:f")
 def _(w):
     # month results of every rule from its picks and the monthly returns
     held = portfolio.legs(_selections(w), w.monthly_returns)

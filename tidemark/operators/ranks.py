@@ -4,11 +4,14 @@ A cross-sectional group (one date, one peer group) may hold a third of all rows,
 here is partitioned by the group alone:
 
 1. equal values collapse to one row with a count (combined before the shuffle);
-2. values fall into log-scaled buckets, a fixed monotone function of the value, so a large
-   group is spread over thousands of buckets and any retry assigns the same bucket;
+2. in groups with more than SPLIT_ROWS rows, values fall into log-scaled buckets, a fixed
+   monotone function of the value, so the group is spread over thousands of buckets and any
+   retry assigns the same bucket; smaller groups keep one bucket;
 3. running counts are taken inside a bucket, bucket totals are summed over the (small) bucket
    list, and both are added.
 
+The list of large groups is broadcast: it has at most (rows / SPLIT_ROWS) entries.
+
 The result equals one window over the group.
 """
 
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E_FOLD = 200.0
+SPLIT_ROWS = 500_000
 
 
 def value_bucket(x: str) -> Column:
@@ -25,11 +29,16 @@ def value_bucket(x: str) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000.0) * BUCKETS_PER_E_FOLD).cast("int")
 
 
-def value_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_positions(df: DataFrame, keys: list[str], value: str, split_rows: int | None = None) -> DataFrame:
     """Per distinct non-NULL value of a group: rows below it, rows equal to it, rows in all."""
     vals = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("_ties"))
-              .withColumn("_bucket", value_bucket(value)))
+              .agg(F.count(F.lit(1)).alias("_ties")))
+    # the sum keeps this branch on the same shuffle as the rest
+    large = (vals.groupBy(*keys).agg(F.sum("_ties").alias("_n"))
+             .where(F.col("_n") > (SPLIT_ROWS if split_rows is None else split_rows))
+             .select(*keys, F.lit(True).alias("_large")))
+    vals = (vals.join(F.broadcast(large), keys, "left")  # at most rows / SPLIT_ROWS groups
+                .withColumn("_bucket", F.when(F.col("_large"), value_bucket(value)).otherwise(0)).drop("_large"))
     in_bucket = (W.partitionBy(*keys, "_bucket").orderBy(value)
                   .rowsBetween(W.unboundedPreceding, -1))
     per_bucket = vals.groupBy(*keys, "_bucket").agg(F.sum("_ties").alias("_in_bucket"))

@@ -31,39 +31,59 @@ def with_peer(d: DataFrame, p: Params, date: str = "asof") -> DataFrame:
             .drop("_members"))
 
 
+def _metrics() -> list[str]:
+    every = (m for t in (None, *spec.TRACK_CATEGORIES) for ms in track_categories(t).values() for m, _, _ in ms)
+    return list(dict.fromkeys(every))
+
+
+def _known_track() -> Column:
+    return F.when(F.col("track").isin(*spec.TRACK_CATEGORIES), F.col("track")).otherwise(spec.GENERAL)
+
+
 def _role() -> Column:
-    """Constant map 'track|metric' -> (category, weight, sign) for every metric that counts."""
-    entries = {}
-    for track in (spec.GENERAL, spec.FINANCE, spec.PHARMA, spec.HOLDING):
-        for cat, ms in track_categories(track).items():
-            for m, w, sign in ms:
-                entries[f"{track}|{m}"] = F.struct(F.lit(cat).alias("cat"), F.lit(float(w)).alias("w"),
-                                                   F.lit(sign).alias("sign"))
-    return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
-
-
-def metric_rows(d: DataFrame, date: str, ids: list[str]) -> DataFrame:
-    """Long rows of the metrics that count for the track of each row; NULL values drop out."""
-    names = dict.fromkeys(m for t in (None, *spec.TRACK_CATEGORIES) for ms in track_categories(t).values()
-                          for m, _, _ in ms if m in d.columns)
-    arr = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])
-    known = F.when(F.col("track").isin(*spec.TRACK_CATEGORIES), F.col("track")).otherwise(spec.GENERAL)
-    rows = (d.select(*ids, "track", "peer", known.alias("_set"), F.explode(arr).alias("m"))
-             .select(*ids, "track", "peer", "_set", "m.*").where(F.col("value").isNotNull()))
-    rows = rows.withColumn("_role", _role()[F.concat_ws("|", "_set", "metric")])
-    return rows.where(F.col("_role").isNotNull()).select(*ids, "track", "peer", "metric", "value", "_role.*")
+    """Struct (category, weight, sign) of metric number `m` in the row's track; constant arrays."""
+    names = _metrics()
+    nothing = F.lit(None).cast("struct<cat:string,w:double,sign:int>")
+
+    def table(track: str) -> Column:
+        mine = {m: (c, w, s) for c, ms in track_categories(track).items() for m, w, s in ms}
+        return F.array(*[F.struct(F.lit(mine[m][0]).alias("cat"), F.lit(float(mine[m][1])).alias("w"),
+                                  F.lit(mine[m][2]).alias("sign")) if m in mine else nothing for m in names])
+
+    out = F.when(_known_track() == spec.GENERAL, F.get(table(spec.GENERAL), F.col("m")))
+    for t in spec.TRACK_CATEGORIES:
+        out = out.when(F.col("track") == t, F.get(table(t), F.col("m")))
+    return out
+
+
+def metric_rows(d: DataFrame, ids: list[str]) -> DataFrame:
+    """Long rows (track, group, m, value) of the metrics that count for the track of each row.
+
+    `group` names track, peer and metric. NULL values drop out.
+    """
+    known = _known_track()
+    entries = []
+    for i, m in enumerate(_metrics()):
+        if m not in d.columns:
+            continue
+        users = [t for t in (spec.GENERAL, *spec.TRACK_CATEGORIES)
+                 if any(m == x for ms in track_categories(t).values() for x, _, _ in ms)]
+        entries.append(F.struct(F.lit(i).alias("m"), F.when(known.isin(*users), F.col(m).cast("double")).alias("value")))
+    rows = (d.select(*ids, "track", "peer", F.explode(F.array(*entries)).alias("e"))
+             .select(*ids, "track", "peer", "e.*").where(F.col("value").isNotNull()))
+    return rows.withColumn("group", F.concat_ws("|", "track", "peer", "m")).drop("peer")
 
 
 def grade(d: DataFrame, p: Params, *, date: str = "asof", key: str = "ticker") -> DataFrame:
     """Adds sector, peer, <category>_score/_grade/_n, quality_score, coverage, scores_present."""
     d = with_peer(d, p, date)
-    rows = metric_rows(d, date, [date, key])
-    group = [date, "track", "peer", "metric"]
+    rows = metric_rows(d, [date, key])
+    group = [date, "group"]
     pos = value_positions(rows, group, "value").withColumn(
         "pct", F.when(F.col("n_ranked") >= p.min_ranked, average_rank() / F.col("n_ranked") * 100.0))
-    ranked = (rows.join(pos.select(*group, "value", "pct"), [*group, "value"])
-              .where(F.col("pct").isNotNull())
-              .withColumn("pct", F.when(F.col("sign") > 0, F.col("pct")).otherwise(100.0 - F.col("pct"))))
+    ranked = rows.join(pos.select(*group, "value", "pct"), [*group, "value"]).where(F.col("pct").isNotNull())
+    ranked = ranked.withColumn("_r", _role()).select(date, key, "_r.*", "pct")
+    ranked = ranked.withColumn("pct", F.when(F.col("sign") > 0, F.col("pct")).otherwise(100.0 - F.col("pct")))
     mine = lambda c, x: F.sum(F.when(F.col("cat") == c, x))
     scores = ranked.groupBy(date, key).agg(*[
         x for c in spec.CATEGORY_NAMES for x in (

@@ -7,8 +7,6 @@ all months.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from tidemark.functions.exprs import month_day5, weighted
 from tidemark.operators.asof import forward_rows, latest_period_on_dates, on_dates
 from tidemark.operators.ranks import min_rank_desc
 from tidemark.params import Params
-from tidemark.plans import flags, grading, metrics, momentum, strategies
+from tidemark.plans import flags, metrics, momentum, strategies
 
 
 def cohort_dates(prices: DataFrame, horizon: int = 63, warmup_days: int = 400) -> Column:
@@ -71,9 +69,12 @@ def shares_on_dates(snaps: DataFrame, dates: Column) -> DataFrame:
     return on_dates(obs, "ticker", "_seen", dates).where("shares_out > 0").drop("_seen")
 
 
-def build(t: DataFrame, prices: DataFrame, snaps: DataFrame, tracks: DataFrame, p: Params, *,
-          horizon: int = 63, fixed_shares: DataFrame | None = None, dates: Column | None = None) -> DataFrame:
-    """Graded panel: one row per (ticker, asof) that has a price, shares and a visible filing."""
+def cohorts(t: DataFrame, prices: DataFrame, snaps: DataFrame, tracks: DataFrame, p: Params, *,
+            horizon: int = 63, fixed_shares: DataFrame | None = None, dates: Column | None = None) -> DataFrame:
+    """Metrics per (ticker, asof) that has a price, shares and a visible filing; not yet graded.
+
+    Grading reads this several times (peer sizes, ranks, result), so callers store it first.
+    """
     dates = cohort_dates(prices, horizon) if dates is None else dates
     fin = fundamentals_on_dates(t, dates, p)
     px = prices_on_dates(prices, dates, horizon)
@@ -86,7 +87,7 @@ def build(t: DataFrame, prices: DataFrame, snaps: DataFrame, tracks: DataFrame,
           .withColumn("track", F.coalesce("track", F.lit(spec.GENERAL)))
           .withColumn("market_cap", F.col("price_asof") * F.col("shares_out"))
           .withColumnRenamed("period", "fin_period"))
-    return grading.grade(metrics.ratios(d, p).withColumn("name", F.col("ticker")), p)
+    return metrics.ratios(d, p).withColumn("name", F.col("ticker"))
 
 
 def gate_panel(panel: DataFrame, t: DataFrame, dates: Column, p: Params, horizon: int = 63) -> DataFrame:
@@ -102,12 +103,11 @@ def gate_panel(panel: DataFrame, t: DataFrame, dates: Column, p: Params, horizon
     mkt = d.groupBy("asof").agg(F.avg(fwd).alias("mkt"))
     d = d.join(F.broadcast(mkt), "asof").withColumn("excess", F.col(fwd) - F.col("mkt"))
 
-    def one_strategy(s: str) -> DataFrame:
-        x = d.withColumn("score", weighted(spec.STRATEGY_WEIGHTS[s])).where("score IS NOT NULL")
-        x = x.withColumn("gate_fails", strategies.failed_gates(s, p, "panel"))
-        return x.withColumn("pass", F.size("gate_fails") == 0).withColumn("strategy", F.lit(s))
-
-    return reduce(lambda a, b: a.unionByName(b), [one_strategy(s) for s in spec.STRATEGY_WEIGHTS])
+    rows = F.array(*[F.struct(F.lit(s).alias("strategy"), weighted(w).alias("score"),
+                              strategies.failed_gates(s, p, "panel").alias("gate_fails"))
+                     for s, w in spec.STRATEGY_WEIGHTS.items()])
+    d = d.select("*", F.explode(rows).alias("_s")).select(*d.columns, "_s.*").where("score IS NOT NULL")
+    return d.withColumn("pass", F.size("gate_fails") == 0)
 
 
 def prepare(gp: DataFrame, p: Params, horizon: int = 63) -> DataFrame:

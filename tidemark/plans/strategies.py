@@ -100,26 +100,23 @@ def penalties(strategy: str) -> dict[str, tuple[Column, float]]:
     return out
 
 
-def score(d: DataFrame, strategy: str, p: Params, *, null_policy: str = "lenient",
+def score(d: DataFrame, p: Params, *, only: list[str] | None = None, null_policy: str = "lenient",
           extra: list[str] | None = None) -> DataFrame:
-    """One row per input row: base score, penalty, score, gate result with reasons, coverage."""
-    w = spec.STRATEGY_WEIGHTS[strategy]
-    pens = penalties(strategy)
+    """One row per input row and strategy: base score, penalty, score, gate result with reasons,
+    coverage. Both strategies come from one pass over the input."""
     yes = lambda c: F.coalesce(c, F.lit(False))
-    total = reduce(lambda a, b: a + b, [F.when(yes(c), v).otherwise(0.0) for c, v in pens.values()])
-    why = F.array_compact(F.array(*[F.when(yes(c), F.lit(n)) for n, (c, _) in pens.items()]))
-    d = d.withColumns({"base_score": weighted(w), "penalty": total,
-                       "gate_fails": failed_gates(strategy, p, null_policy), "penalty_why": why})
+    rows = []
+    for s in only or spec.STRATEGY_WEIGHTS:
+        w, pens = spec.STRATEGY_WEIGHTS[s], penalties(s)
+        total = reduce(lambda a, b: a + b, [F.when(yes(c), v).otherwise(0.0) for c, v in pens.values()])
+        why = F.array_compact(F.array(*[F.when(yes(c), F.lit(n)) for n, (c, _) in pens.items()]))
+        rows.append(F.struct(F.lit(s).alias("strategy"), weighted(w).alias("base_score"), total.alias("penalty"),
+                             failed_gates(s, p, null_policy).alias("gate_fails"), why.alias("penalty_why"),
+                             present([f"{c}_score" for c in w]).alias("coverage")))
     keep = [x for x in ("asof", "ticker", "name", "track", *(extra or [])) if x in d.columns]
-    return d.select(*keep, F.lit(strategy).alias("strategy"), "base_score", "penalty",
-                    (F.col("base_score") + F.col("penalty")).alias("score"),
-                    (F.size("gate_fails") == 0).alias("gate_pass"),
-                    "gate_fails", "penalty_why",
-                    present([f"{c}_score" for c in w]).alias("coverage"))
-
-
-def score_all(d: DataFrame, p: Params, **kw) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), [score(d, s, p, **kw) for s in spec.STRATEGY_WEIGHTS])
+    out = d.select(*keep, F.explode(F.array(*rows)).alias("_s")).select(*keep, "_s.*")
+    return (out.withColumn("score", F.col("base_score") + F.col("penalty"))
+               .withColumn("gate_pass", F.size("gate_fails") == 0))
 
 
 def best_strategy(scores: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import adapters
 from tidemark.params import Params
-from tidemark.plans import panel, portfolio, statements, universe
+from tidemark.plans import grading, panel, portfolio, statements, universe
 from tidemark.sources.tables import materialise, scratch_folder
 
 
@@ -53,10 +53,14 @@ class Workspace:
     def dates(self) -> Column:
         return panel.cohort_dates(self.prices)
 
+    @cached_property
+    def cohorts(self) -> DataFrame:
+        return self.stored(panel.cohorts(self.ttm, self.prices, self.snapshots, self.tracks, self.p,
+                                         dates=self.dates), "cohorts")
+
     @cached_property
     def panel(self) -> DataFrame:
-        return self.stored(panel.build(self.ttm, self.prices, self.snapshots, self.tracks, self.p,
-                                       dates=self.dates), "panel")
+        return self.stored(grading.grade(self.cohorts, self.p), "panel")
 
     @cached_property
     def gate_panel(self) -> DataFrame:
