@@ -61,7 +61,8 @@ def test_parse_amount(spark, text, want):
     ("-", "현금 및 현금성자산", "BS", "cash"), ("-", "무형자산상각비", "CF", "amortization")])
 def test_standard_field(spark, aid, name, sj, want):
     d = spark.createDataFrame([(aid, name, sj)], "a string, n string, s string")
-    assert d.select(statements.standard_field(F.col("a"), F.col("n"), F.col("s"))).first()[0] == want
+    a, n = statements.clean_account(F.col("a"), F.col("n"))
+    assert d.select(statements.standard_field(a, n, F.col("s"))).first()[0] == want
 
 
 def test_ttm(spark):

@@ -616,7 +616,7 @@ def _(w):
 def _batch(w: Workspace) -> DataFrame:
     obs = w.mentions.withColumn("link", F.concat(F.lit("n"), F.floor(F.col("mention_id") / 3).cast("string")))
     members = adapters.companies(w.spark, w.folder).unionByName(w.spark.range(1).select(F.lit("999999").alias("ticker"), F.lit("none").alias("name")))
-    return consensus.batch(members, obs, consensus.event_prices(w), _news_asof(), w.p)
+    return consensus.batch(members, obs, consensus.event_prices(w), _news_asof(), w.p, lambda d: w.stored(d, "marked_mentions"))
 
 
 @query("consensus_batch", "ticker:s name:s articles:i span_days:i reports:i band_drop:i single:i price:f n_brokers:i n_foreign:i median_target:f upside:f dispersion:f revision:f")
@@ -644,7 +644,7 @@ def _(w):
 def _(w):
     firms = adapters.companies(w.spark, w.folder)
     return mentions.extract(adapters.articles(w.spark, w.folder), mentions.name_dictionary(firms, adapters.listed_names(firms)),
-                            mentions.name_table(firms))
+                            mentions.name_table(firms), lambda d: w.stored(d, "mention_candidates"))
 
 
 @query("name_dictionary", "ticker:s name:s own:a tails:a affiliate:s")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -177,14 +178,16 @@ def last_price(prices: DataFrame) -> DataFrame:
     return prices.groupBy("ticker").agg(F.max_by("close_adj", "date").alias("price"))
 
 
-def batch(members: DataFrame, obs: DataFrame, prices: DataFrame, asof: Column, p: Params) -> DataFrame:
+def batch(members: DataFrame, obs: DataFrame, prices: DataFrame, asof: Column, p: Params,
+          store: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Consensus of every member: article counts, reports, dropped and single mentions, aggregate.
 
-    Members without mentions stay with zeros.
+    Members without mentions stay with zeros. `store` writes the de-duplicated mentions, which
+    several aggregates read.
     """
     articles = obs.groupBy("ticker").agg(F.countDistinct("link").alias("articles"),
                                          F.floor((F.unix_timestamp(asof) - F.unix_timestamp(F.min("pub"))) / 86400).alias("span_days"))
-    marked = band_filter(dedupe(distinct_mentions(obs, "link", "mention_id"), p), prices, p, keep_all=True)
+    marked = store(band_filter(dedupe(distinct_mentions(obs, "link", "mention_id"), p), prices, p, keep_all=True))
     kept = marked.where("kept")
     counts = marked.groupBy("ticker").agg(
         F.sum(F.col("kept").cast("int")).alias("reports"), F.sum((~F.col("kept")).cast("int")).alias("band_drop"),

@@ -18,14 +18,18 @@ def _literal_map(d: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def standard_field(account_id, account_nm, sj_div) -> Column:
-    """Standard field of an account row, NULL when it must not be used.
+def clean_account(account_id, account_nm) -> tuple[Column, Column]:
+    """Trimmed id, and name without spaces and parentheses."""
+    return (F.trim(F.coalesce(account_id, F.lit(""))),
+            F.regexp_replace(F.coalesce(account_nm, F.lit("")), r"[\s()]", ""))
+
+
+def standard_field(aid, name, sj_div) -> Column:
+    """Standard field of a cleaned account row, NULL when it must not be used.
 
     A known id decides alone (a known id in the wrong statement is NULL); otherwise excluded ids
     and names drop out and the first matching name rule wins.
     """
-    aid = F.trim(F.coalesce(account_id, F.lit("")))
-    name = F.regexp_replace(F.coalesce(account_nm, F.lit("")), r"[\s()]", "")
     by_id = _literal_map(spec.ACCOUNT_IDS)[aid]
     home = F.create_map(*[x for f, sj, _ in spec.ACCOUNT_NAMES
                           for x in (F.lit(f), F.array(*[F.lit(s) for s in sj]))])
@@ -46,12 +50,14 @@ def cumulative_amount(reprt_code, this_term, accumulated) -> Column:
 
 
 def classified_rows(rows: DataFrame) -> DataFrame:
-    field = standard_field(F.col("account_id"), F.col("account_nm"), F.col("sj_div"))
+    aid, name = clean_account(F.col("account_id"), F.col("account_nm"))
+    rows = rows.withColumn("_aid", aid).withColumn("_name", name)
+    field = standard_field(F.col("_aid"), F.col("_name"), F.col("sj_div"))
     stock = parse_amount("thstrm_amount")
     flow = cumulative_amount(F.col("reprt_code"), F.col("thstrm_amount"), F.col("thstrm_add_amount"))
     return (rows.withColumn("field", field)
                 .withColumn("val", F.when(F.col("field").isin(*spec.STOCK_FIELDS), stock)
-                            .when(F.col("field").isNotNull(), flow)))
+                            .when(F.col("field").isNotNull(), flow)).drop("_aid", "_name"))
 
 
 def wide_reports(rows: DataFrame) -> DataFrame:

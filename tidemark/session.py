@@ -8,6 +8,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # let small stages use all cores; large stages are cut by the advisory size as usual
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
+    "spark.sql.files.openCostInBytes": "1MB",
     # hash joins without a sort where every shuffled partition turned out small
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
