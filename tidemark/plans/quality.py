@@ -15,8 +15,7 @@ from tidemark.params import Params
 def coverage(prices: DataFrame, drop: float = 0.5, grace_months: int = 6) -> DataFrame:
     """Distinct tickers per month; months far below the peak after the first half year are flagged."""
     m = prices.groupBy(F.trunc("date", "month").alias("month")).agg(F.countDistinct("ticker").alias("tickers"))
-    edge = m.agg(F.max("tickers").alias("peak"), F.min("month").alias("first"))  # one row
-    d = m.join(F.broadcast(edge))
+    d = m.withColumn("peak", m.agg(F.max("tickers")).scalar()).withColumn("first", m.agg(F.min("month")).scalar())
     late = F.months_between("month", "first") > grace_months
     return d.select("month", "tickers", "peak", ((F.col("tickers") < F.col("peak") * drop) & late).alias("bad"))
 
