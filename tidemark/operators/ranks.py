@@ -55,8 +55,14 @@ def value_positions(df: DataFrame, keys: list[str], value: str, split_rows: int
 
 
 def with_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds n_below, n_equal and n_ranked; NULL values keep NULL positions."""
-    return df.join(value_positions(df, keys, value), [*keys, value], "left")
+    """Adds n_below, n_equal and n_ranked; NULL values keep NULL positions.
+
+    NULL values match nothing; a salt keeps them from meeting in one task.
+    """
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in df.columns]), F.lit(997)) + 1
+    salted = df.withColumn("_salt", F.when(F.col(value).isNull(), spread).otherwise(0))
+    pos = value_positions(df, keys, value).withColumn("_salt", F.lit(0).cast("long"))
+    return salted.join(pos, [*keys, value, "_salt"], "left").drop("_salt")
 
 
 def average_rank() -> Column:

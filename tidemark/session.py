@@ -8,6 +8,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # broadcast after a check of the real size: estimates miss rows added by explode
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     # let small stages use all cores; large stages are cut by the advisory size as usual
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.sql.files.openCostInBytes": "1MB",

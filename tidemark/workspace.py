@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cached_property
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,15 @@ from tidemark.sources.tables import materialise, scratch_folder
 class Workspace:
     def __init__(self, spark: SparkSession, folder: str, p: Params = adapters.PARAMS):
         self.spark, self.folder, self.p = spark, folder.rstrip("/"), p
+        self._serial = count()
 
     @cached_property
     def scratch(self) -> str:
         return scratch_folder(self.spark)
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        return materialise(df, self.scratch, name)
+        """Written once under a name of its own: a later run never replaces files still in use."""
+        return materialise(df, self.scratch, f"{name}-{next(self._serial)}")
 
     @cached_property
     def prices(self) -> DataFrame:
