@@ -120,8 +120,7 @@ def score(d: DataFrame, p: Params, *, only: list[str] | None = None, null_policy
 
 
 def best_strategy(scores: DataFrame) -> DataFrame:
-    """Passed strategy with the highest score per ticker, ties by strategy name descending
-    weight order (value first), plus how many strategies passed."""
+    """Passed strategy with the highest score per ticker (value first on a tie), and how many passed."""
     passed = scores.where("gate_pass AND score IS NOT NULL")
     rank = F.struct(F.col("score"), F.when(F.col("strategy") == "value", 1).otherwise(0))
     return passed.groupBy("ticker").agg(
@@ -163,19 +162,19 @@ def sector_name(industry: Column) -> Column:
         F.coalesce(names[code], F.concat(F.lit("KSIC "), code)))
 
 
-def track_of(industry: Column, debt_ratio: Column, name: Column) -> Column:
+def track_of(industry: Column, debt_ratio: Column, name: Column, p: Params) -> Column:
     """Struct (track, reason) before the finance-asset check."""
     code = F.trim(F.coalesce(industry, F.lit("")))
     two = F.substring(code, 1, 2)
     t = lambda track, why: F.struct(F.lit(track).alias("track"), F.lit(why).alias("reason"))
     holding = code.startswith(spec.HOLDING_INDUSTRY)
-    return (F.when(holding & (debt_ratio > 500), t(spec.FINANCE, "holding_debt"))
+    return (F.when(holding & (debt_ratio > p.holding_finance_debt_ratio), t(spec.FINANCE, "holding_debt"))
              .when(holding & debt_ratio.isNull() & F.coalesce(name, F.lit("")).rlike(spec.FINANCE_NAME),
                    t(spec.FINANCE, "holding_name"))
              .when(holding, t(spec.HOLDING, "holding"))
              .when(two.isin(*spec.FINANCE_INDUSTRIES), t(spec.FINANCE, "finance"))
              .when(two.isin(*spec.PHARMA_INDUSTRIES), t(spec.PHARMA, "pharma"))
-             .when(debt_ratio > 1000, t(spec.FINANCE, "debt_override"))
+             .when(debt_ratio > 2 * p.holding_finance_debt_ratio, t(spec.FINANCE, "debt_override"))
              .when(code == "", t(spec.GENERAL, "no_code"))
              .otherwise(t(spec.GENERAL, "industry")))
 
@@ -194,7 +193,7 @@ def assign_tracks(companies: DataFrame, annual: DataFrame, finance_assets: DataF
                    F.coalesce("finance_assets", F.lit(0.0)) / F.col("assets"))
     d = d.withColumn("finance_asset_ratio", F.coalesce(ratio, F.lit(0.0)))
     has_fin = F.col("finance_asset_ratio") >= p.finance_segment_min_ratio
-    d = d.withColumn("_t", track_of(F.col("induty_code"), F.col("debt_ratio"), F.col("corp_name")))
+    d = d.withColumn("_t", track_of(F.col("induty_code"), F.col("debt_ratio"), F.col("corp_name"), p))
     revert = (F.col("_t.reason") == "debt_override") & ~has_fin
     d = d.withColumn("track", F.when(revert, spec.GENERAL).otherwise(F.col("_t.track")))
     d = d.withColumn("track_reason", F.when(revert, "no_finance_assets").otherwise(F.col("_t.reason")))
