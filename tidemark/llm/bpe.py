@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from tidemark.llm.common import WordCache, worker_cache
 
@@ -171,7 +171,7 @@ def encode(docs: DataFrame, model_path: str, leaf: int = LEAF, with_ids: bool =
     src = docs.select(F.col("doc_id"), F.col("text"))
     schema = StructType([src.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches):
         bpe, words = _worker(model, leaf)

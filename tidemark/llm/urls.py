@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import lower_ascii
+from tidemark.llm.storage import checkpointed
 
 #: The rules of the query, (verdict, rule).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -55,6 +56,7 @@ def templates(split: DataFrame) -> DataFrame:
     """host, g, template, rejected: each generalised path with its place in the host's tree."""
     t = split.groupBy("host", "g").agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     t = t.withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
+    t = checkpointed(t)  # one row per generalised path; a level is read several times by the next
     for k in range(DEPTH + 1):
         seg = F.get("g", F.lit(k))
         t = t.withColumn("seg", seg)
@@ -65,6 +67,7 @@ def templates(split: DataFrame) -> DataFrame:
         t = (t.join(rare, ["host", "template", "seg"], "left")
              .withColumn("parent", F.when(F.col("seg").isNull(), F.col("parent")).otherwise(F.col("template")))
              .withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("seg", "rare"))
+        t = checkpointed(t)
     leaves = t.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     leaves = leaves.withColumn("purity", (F.col("blocked") + 0.5) / (F.col("labelled") + 1.0))
     # neighbours by purity; at most 1 / SHARE + 2 branches stand below a parent
