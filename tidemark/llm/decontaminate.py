@@ -14,15 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii
+from tidemark.llm.common import LOWER, UPPER
 from tidemark.llm.storage import checkpointed
 
 BROADCAST_BYTES = 32 << 20
-WORD, WINDOW, EACH = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", 10, "\x00"
+WINDOW, EACH = 10, "\x00"
+SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Lower-cased words in order: one translation of every character and a cut at single spaces, with no pattern matcher."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -64,9 +67,11 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
              .agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("win").isNotNull(), F.struct(start.alias("a"), "win", "items"))).alias("candidates")))
     # the words are needed again only where there is a candidate
     w = F.when(F.size("candidates") > 0, words(F.col("text")))
+    matching = lambda w: F.filter("candidates", lambda c: F.slice(w, c["a"] + 1, F.size(c["win"])) == c["win"])
     both = (texts.join(found, F.col("doc_id").eqNullSafe(F.col("k")) & F.col("h").eqNullSafe(F.col("kh")))
-            .select("doc_id", F.col("n").cast("long").alias("n_words"), w.alias("w"), F.sort_array("candidates").alias("candidates")))
-    spans = F.filter("candidates", lambda c: F.slice("w", c["a"] + 1, F.size(c["win"])) == c["win"])
+            .select("doc_id", "text", F.col("n").cast("long").alias("n_words"), F.sort_array("candidates").alias("candidates")))
+    # bound as an element, the words are cut once per document and not once per candidate
+    spans = F.transform(F.array(w), matching)[0]
     hits = both.select("doc_id", "n_words", spans.alias("spans")).select("doc_id", "n_words", "spans", F.array_sort(F.array_distinct(F.flatten("spans.items"))).alias("found"))
     # spans are sorted by start: each adds what reaches beyond the furthest end so far
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct(
