@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 300_000  # entries of a worker's word cache; a full cache is emptied, results do not change
+CACHE_WORDS = 120_000  # entries of a worker's word cache; a full cache is emptied, results do not change
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

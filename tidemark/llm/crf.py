@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
 SPACE_BITS, LEXICON, SEQUENCE, SEQUENCES, BATCH, EPOCHS, RATE = 16, 300, 120, 1_600, 32, 2, 0.3
-BATCH_WORDS = 1_500_000  # words whose probabilities are held at once; a longer document is held alone
+BATCH_WORDS = 400_000  # words whose probabilities are held at once; a longer document is held alone
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -186,7 +186,8 @@ def label_words(texts: list[str | None], model: Model):
         for (d, ws), a, b in zip(held, ends - lengths, ends):
             yield d, ws, p[a:b]
 
-    for d, text in enumerate(texts):
+    # longest first: sequences that advance together are of like length
+    for d, text in sorted(enumerate(texts), key=lambda x: -len(x[1] or "")):
         if not text or not model.labels or not any(map(str.isalpha, text)):
             continue
         ws = WORD.findall(text.lower())
