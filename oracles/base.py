@@ -410,11 +410,13 @@ def fail_list(strategy: str, policy: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in fails(strategy, policy).items()) + "], lambda x: x IS NOT NULL)"
 
 
-cte("gp_in", """
-SELECT p.*, avg(fwd_63) OVER (PARTITION BY asof) AS mkt, g.op_loss_years_3y, g.fcf_pos_years_3y, g.annual_count, g.rev_growth_q_of_4, g.revenue_decline_3y, g.ocf_quality_bad_2y
+cte("feat_in", """
+SELECT p.*, g.op_loss_years_3y, g.fcf_pos_years_3y, g.annual_count, g.rev_growth_q_of_4, g.revenue_decline_3y, g.ocf_quality_bad_2y
 FROM panel p LEFT JOIN (SELECT asof AS g_asof, ticker AS g_ticker, * EXCLUDE (asof, ticker, period, rcept_dt) FROM gate_asof) g ON g_asof = asof AND g_ticker = ticker
-WHERE fwd_63 IS NOT NULL
 """)
+cte("gp_in", "SELECT *, avg(fwd_63) OVER (PARTITION BY asof) AS mkt FROM feat_in WHERE fwd_63 IS NOT NULL")
+cte("cur0", "\nUNION ALL ".join(f"SELECT *, '{s}' AS strategy, {mix(w)} AS score, {fail_list(s, 'panel')} AS gate_fails FROM feat_in" for s, w in spec.STRATEGY_WEIGHTS.items()))
+cte("current_rows", "SELECT *, len(gate_fails) = 0 AS pass FROM cur0")
 cte("gp0", "\nUNION ALL ".join(
     f"SELECT *, fwd_63 - mkt AS excess, '{s}' AS strategy, {mix(w)} AS score, {fail_list(s, 'panel')} AS gate_fails FROM gp_in"
     for s, w in spec.STRATEGY_WEIGHTS.items()))

@@ -122,9 +122,10 @@ WHERE disparity_20 >= 130 OR rsi_14 >= 80 OR (pos_52w >= 99 AND rsi_14 >= 75)
 """
 BODY["rolling_turnover"] = "SELECT ticker, date, avg_tv FROM momo WHERE avg_tv IS NOT NULL"
 BODY["fwd_returns"] = """
-SELECT m.asof, m.ticker, """ + ", ".join(f"(f{h}.close_adj / b.close_adj - 1) * 100e0 AS fwd_{h}" for h in (21, 63, 126)) + """
-FROM px_asof m JOIN momo0 b ON b.ticker = m.ticker AND b.date = m.date
-""" + "\n".join(f"LEFT JOIN momo0 f{h} ON f{h}.ticker = b.ticker AND f{h}.rn = b.rn + {h}" for h in (21, 63, 126)) + """
+SELECT m.asof, m.ticker, """ + ", ".join(f"(c{h} / b.close_adj - 1) * 100e0 AS fwd_{h}" for h in (21, 63, 126)) + """
+FROM (SELECT asof, ticker FROM months, (SELECT DISTINCT ticker FROM prices)) m
+ASOF JOIN (SELECT ticker, date, close_adj, """ + ", ".join(f"lead(close_adj, {h}) OVER (PARTITION BY ticker ORDER BY date) AS c{h}" for h in (21, 63, 126)) + """ FROM momo0) b
+  ON m.ticker = b.ticker AND m.asof >= b.date
 WHERE b.close_adj > 0
 """
 
@@ -247,7 +248,7 @@ def score_sql(src: str) -> str:
     return "SELECT * EXCLUDE (wcov, coverage), wcov AS coverage, len(gate_fails) = 0 AS gate_pass FROM (" + "\nUNION ALL ".join(out) + ")"
 
 
-cte("sc_in", "SELECT p.*, NOT EXISTS (SELECT 1 FROM events_rs e WHERE e.ticker = p.ticker AND e.period = p.period) AS ttm_reliable FROM prepared p WHERE strategy = 'value'")
+cte("sc_in", "SELECT p.*, NOT EXISTS (SELECT 1 FROM events_rs e WHERE e.ticker = p.ticker AND e.period = p.period) AS ttm_reliable FROM current_rows p WHERE strategy = 'value'")
 cte("scored", score_sql("sc_in"))
 BODY["strategy_scores"] = "SELECT * FROM scored"
 BODY["gate_panel"] = "SELECT * FROM gate_panel"
@@ -559,7 +560,7 @@ BODY["breadth"] = """
 SELECT track, NULL AS sector, avg(worse) AS worse_share, count(*) AS n FROM brd GROUP BY track UNION ALL SELECT NULL, sector, avg(worse), count(*) FROM brd GROUP BY sector
 UNION ALL SELECT NULL, NULL, avg(worse), count(*) FROM brd
 """
-cte("vh", f"SELECT ticker, asof AS month, CASE WHEN score >= 70 THEN 'buy' WHEN score >= 60 THEN 'hold' WHEN score >= 40 THEN 'defer' ELSE 'out' END AS code FROM prepared WHERE strategy = 'growth' AND asof < {D1}")
+cte("vh", f"SELECT ticker, asof AS month, CASE WHEN score >= 70 THEN 'buy' WHEN score >= 60 THEN 'hold' WHEN score >= 40 THEN 'defer' ELSE 'out' END AS code FROM current_rows WHERE strategy = 'growth' AND score IS NOT NULL AND asof < {D1}")
 cte("hb", """
 SELECT ticker, arg_max(code, month) IN ('buy', 'hold', 'trim') AS held, count(*) FILTER (WHERE run) AS defer_months
 FROM (SELECT *, bool_and(code = 'defer') OVER (PARTITION BY ticker ORDER BY month DESC) AS run FROM vh) GROUP BY 1
@@ -728,8 +729,8 @@ _rule = {"value_mix": mix(spec.STRATEGY_WEIGHTS["value"]), "growth_mix": mix(spe
          "growth_and_revision": f"CASE WHEN nb >= 3 AND rev > 0 THEN {mix(spec.STRATEGY_WEIGHTS['growth'])} END"}
 _gated = {"value_mix": "value", "growth_mix": "growth", "growth_and_revision": "growth"}
 cte("led_in", f"""
-SELECT v.*, period % 7 AS nb, (period % 3 - 1) * 0.5e0 AS rev, {_low_pct('pbr')} AS pbr_p, (SELECT any_value(g.pass) FROM prepared g WHERE g.strategy = 'growth' AND g.asof = v.asof AND g.ticker = v.ticker) AS gpass
-FROM prepared v WHERE strategy = 'value'
+SELECT v.*, period % 7 AS nb, (period % 3 - 1) * 0.5e0 AS rev, {_low_pct('pbr')} AS pbr_p, (SELECT any_value(g.pass) FROM current_rows g WHERE g.strategy = 'growth' AND g.asof = v.asof AND g.ticker = v.ticker) AS gpass
+FROM current_rows v WHERE strategy = 'value'
 """)
 cte("led_sc", "\nUNION ALL ".join(
     f"SELECT asof, ticker, '{n}' AS rule, round({x}, 8) AS rscore FROM led_in WHERE {x} IS NOT NULL" + ("" if n not in _gated else " AND pass" if _gated[n] == "value" else " AND coalesce(gpass, false)")
@@ -748,7 +749,7 @@ FROM led_sel s LEFT JOIN {_close(D0)} a ON a.ticker = s.ticker LEFT JOIN {_close
 UNION ALL SELECT s.asof, s.rule, s.rank, s.ticker, s.score, b.price, NULL, NULL, NULL FROM led_sel s LEFT JOIN {_close(D1)} b ON b.ticker = s.ticker WHERE s.asof = {D1}
 """)
 BODY["ledger_cycle"] = "SELECT * FROM cyc"
-cte("led_diff", "SELECT asof, avg(CASE WHEN rev_growth_q_of_4 >= 3 THEN 1e0 ELSE 0e0 END) AS diffusion, count(*) AS n FROM prepared WHERE strategy = 'growth' AND in_universe GROUP BY 1")
+cte("led_diff", "SELECT asof, avg(CASE WHEN rev_growth_q_of_4 >= 3 THEN 1e0 ELSE 0e0 END) AS diffusion, count(*) AS n FROM current_rows WHERE strategy = 'growth' GROUP BY 1")
 BODY["diffusion"] = "SELECT * FROM led_diff"
 BODY["month_close"] = f"""
 SELECT {D0} AS asof, {D1} AS exit_asof, {D1} - {D0} AS days, bench_eq, bench_cap, n_universe, (SELECT round_even(diffusion * 100e0, 1) FROM led_diff WHERE asof = {D0}) AS diffusion,

@@ -127,6 +127,25 @@ def test_mention_rules(spark, title, desc, want):
     assert all(r.pub == dt.datetime(2026, 9, 7, 0, 30) for r in rows)
 
 
+@pytest.mark.parametrize("text", ["Mon, 01 Jul 2024 09:00:00 +0900", "01 Jul 2024 09:00:00 +0900", "Monday, 1 Jul 2024 00:00:00 GMT", "1 Jul 2024 00:00:00 UTC"])
+def test_date_forms(spark, text):
+    got = spark.createDataFrame([(text,)], "x string").select(mentions.published(F.col("x")).cast("string").alias("t")).first()["t"]
+    assert got == "2024-07-01 00:00:00"
+
+
+def test_clean_decodes_numeric_entities_and_tags_inside_words(spark):
+    got = spark.createDataFrame([("<b>목표</b>주가 &#8217;&#x41;&#65; &#99999999;",)], "x string").select(mentions.clean(F.col("x")).alias("t")).first()["t"]
+    assert got == "목표주가 \u2019AA &#99999999;"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not mounted")
+def test_rows_without_a_later_price_are_scored(spark):
+    from tidemark.workspace import workspace
+    w = workspace(spark, FOLDER)
+    assert w.scored.count() == 2 * w.panel.count()
+    assert w.scored.where("fwd_63 IS NULL AND score IS NOT NULL").count() > 0
+
+
 def test_affiliate_is_not_an_analyst(spark):
     firms = spark.createDataFrame([("105560", "KB금융")], "ticker string, name string")
     art = spark.createDataFrame([(1, "105560", "KB증권 모회사 KB금융 목표주가 24만원", "", "Mon, 07 Sep 2026 09:30:00 +0900", "u")], "article_id long, ticker string, title string, description string, pubDate string, link string")
@@ -199,7 +218,7 @@ def test_evidence_equals_loop(spark):
     got = {}
     for r in catalog.QUERIES["evidence"](spark, FOLDER).orderBy("rank").collect():
         got.setdefault((r["asof"], r.ticker, r.side), []).append((r.kind, r.item))
-    rows = w.prepared.where("strategy = 'value'").collect()
+    rows = w.scored.where("strategy = 'value'").collect()
     cat_of = {m: c for c, ms in spec.CATEGORIES.items() for m, _, _ in ms}
     for r in rows:
         facts = [(r[cat_of[m] + "_score"], ("fact", m)) for m in spec.FACT_METRICS

@@ -21,9 +21,21 @@ def frame(seed, n=400):
                          "v": [rnd.choice([None, 0.0, -1.5, rnd.gauss(0, 100), rnd.gauss(0, 0.01), 7.0]) for _ in range(n)]})
 
 
-@pytest.mark.parametrize("split", [1_000_000, 10])
-def test_positions_equal_pandas(spark, split, monkeypatch):
-    monkeypatch.setattr(ranks, "SPLIT_ROWS", split)
+def test_nan_is_missing_and_infinities_rank_at_the_ends(spark):
+    vals = [float("nan"), float("inf"), -float("inf"), -3.0, 2.0, 2.0, None] + [0.5] * 40
+    d = spark.createDataFrame([("a", f"{i:03d}", v) for i, v in enumerate(vals)], "g string, ticker string, v double")
+    want = pd.Series(vals, dtype="float64").rank(pct=True) * 100
+    for per_fold in (0.01, 1.0, 200.0):
+        pos = ranks.value_positions(d, ["g"], "v", per_fold).toPandas().sort_values("v")
+        assert pos["n_ranked"].unique().tolist() == [45]
+        assert pos["n_below"].tolist() == [0, 1, 2, 42, 44]
+    got = ranks.average_rank_pct(d, ["g"], "v", "pct").toPandas().sort_values("ticker")["pct"].reset_index(drop=True)
+    pd.testing.assert_series_equal(got, want, check_names=False)
+
+
+@pytest.mark.parametrize("per_fold", [200.0, 0.1])
+def test_positions_equal_pandas(spark, per_fold, monkeypatch):
+    monkeypatch.setattr(ranks.value_positions, "__defaults__", (per_fold,))
     p = frame(1)
     d = spark.createDataFrame([tuple(None if pd.isna(x) else x for x in r) for r in p.itertuples(index=False)], "g string, ticker string, v double")
     got = ranks.average_rank_pct(d, ["g"], "v", "pct").toPandas().set_index("ticker")["pct"]

@@ -320,18 +320,18 @@ def reports(m: DataFrame) -> DataFrame:
         F.when(F.col("mention_id") % 8 != 0, F.col("target")).alias("target"))
 
 
-def verdict_history(prepared: DataFrame, before: str) -> DataFrame:
+def verdict_history(scored: DataFrame, before: str) -> DataFrame:
     """Past verdict codes of the growth strategy by score band."""
     s = F.col("score")
     code = F.when(s >= 70, "buy").when(s >= 60, "hold").when(s >= 40, "defer").otherwise("out")
-    return prepared.where((F.col("strategy") == "growth") & (F.col("asof") < before)).select(
+    return scored.where((F.col("strategy") == "growth") & (F.col("asof") < before) & s.isNotNull()).select(
         "ticker", F.col("asof").alias("month"), code.alias("code"))
 
 
-def rule_inputs(gate_panel: DataFrame) -> DataFrame:
+def rule_inputs(scored: DataFrame) -> DataFrame:
     """Graded rows with both pass flags and stand-in consensus columns."""
-    flags = gate_panel.groupBy("asof", "ticker").agg(*[
+    flags = scored.groupBy("asof", "ticker").agg(*[
         F.max(F.when(F.col("strategy") == s, F.col("pass"))).alias(f"{s}_pass") for s in spec.STRATEGY_WEIGHTS])
-    d = gate_panel.where("strategy = 'value'").join(flags, ["asof", "ticker"])
+    d = scored.where("strategy = 'value'").join(flags, ["asof", "ticker"])
     k = F.col("fin_period")
     return d.withColumns({"n_brokers": k % 7, "upside": F.col("quality_score") - 40.0, "revision": (k % 3 - 1) * 0.5})

@@ -268,7 +268,7 @@ def _(w):
 
 
 def _scored(w: Workspace) -> DataFrame:
-    g = w.prepared.where("strategy = 'value'")
+    g = w.scored.where("strategy = 'value'")
     return strategies.score(flags.with_reliability(g.withColumn("period", F.col("fin_period")), flags.restructure_events(w.ttm, w.p)), w.p)
 
 
@@ -533,7 +533,7 @@ def _(w):
 
 @query("held_before", "ticker:s held:b defer_months:i")
 def _(w):
-    return style.held_before(adapters.verdict_history(w.prepared, GRADE_DATES[1]))
+    return style.held_before(adapters.verdict_history(w.scored, GRADE_DATES[1]))
 
 
 @query("verdicts", "ticker:s score:f gate_pass:b held:b defer_months:i hurt:a defer:b defer_reason:s code:s")
@@ -542,7 +542,7 @@ def _(w):
     scores = _scored(w).where((F.col("asof") == F.lit(GRADE_DATES[1]).cast("date")) & (F.col("strategy") == "growth"))
     d = style.hurt_metrics(now, prev, w.p).select("ticker", "track", "sector", "hurt").join(
         scores.select("ticker", "score", "gate_pass"), "ticker")
-    d = d.join(style.held_before(adapters.verdict_history(w.prepared, GRADE_DATES[1])), "ticker", "left")
+    d = d.join(style.held_before(adapters.verdict_history(w.scored, GRADE_DATES[1])), "ticker", "left")
     d = style.defer_sell(d, grading.breadth(prev, now, w.p, ["track"]), grading.breadth(prev, now, w.p, ["sector"]), w.p)
     return d.withColumn("code", style.verdict(w.p)).withColumn("held", F.coalesce("held", F.lit(False)))
 
@@ -557,7 +557,7 @@ def _(w):
 
 @query("evidence", "asof:d ticker:s side:s rank:i kind:s item:s score:f")
 def _(w):
-    g = w.prepared.where("strategy = 'value'")
+    g = w.scored.where("strategy = 'value'")
     g = flags.with_reliability(g.withColumn("period", F.col("fin_period")), flags.restructure_events(w.ttm, w.p))
     g = g.join(flags.loss_streak(w.ttm.where("quarter = 4")), "ticker", "left").join(w.tracks.select("ticker", "stability_distorted"), "ticker", "left")
     from tidemark.functions.exprs import present
@@ -656,7 +656,7 @@ def _(w):
 
 # ---- ledger ------------------------------------------------------------------------------------------------------------
 def _selections(w: Workspace) -> DataFrame:
-    return ledger.selections(ledger.rule_scores(adapters.rule_inputs(w.prepared), w.p), w.p.top_n)
+    return ledger.selections(ledger.rule_scores(adapters.rule_inputs(w.scored), w.p), w.p.top_n)
 
 
 @query("rule_selections", "asof:d rule:s rank:i ticker:s score:f")
@@ -692,7 +692,7 @@ def _(w):
 
 
 def _diffusion(w: Workspace) -> DataFrame:
-    return ledger.diffusion_index(w.prepared.where("strategy = 'growth' AND in_universe"))
+    return ledger.diffusion_index(w.scored.where("strategy = 'growth'"))
 
 
 @query("diffusion", "asof:d diffusion:f n:i")

@@ -4,15 +4,12 @@ A cross-sectional group (one date, one peer group) may hold a third of all rows,
 here is partitioned by the group alone:
 
 1. equal values collapse to one row with a count (combined before the shuffle);
-2. in groups with more than SPLIT_ROWS rows, values fall into log-scaled buckets, a fixed
-   monotone function of the value, so the group is spread over thousands of buckets and any
-   retry assigns the same bucket; smaller groups keep one bucket;
+2. values fall into log-scaled buckets, a fixed monotone function of the value, so a group of any
+   size is spread over thousands of buckets and any retry assigns the same bucket;
 3. running counts are taken inside a bucket, bucket totals are summed over the (small) bucket
    list, and both are added.
 
-The list of large groups is broadcast: it has at most (rows / SPLIT_ROWS) entries.
-
-The result equals one window over the group.
+NaN counts as a missing value. The result equals one window over the group.
 """
 
 from __future__ import annotations
@@ -21,24 +18,24 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E_FOLD = 200.0
-SPLIT_ROWS = 500_000
 
 
-def value_bucket(x: str) -> Column:
+def value_bucket(x: str, per_fold: float = BUCKETS_PER_E_FOLD) -> Column:
+    """Infinite values take the first and last bucket."""
     v = F.col(x).cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000.0) * BUCKETS_PER_E_FOLD).cast("int")
-
-
-def value_positions(df: DataFrame, keys: list[str], value: str, split_rows: int | None = None) -> DataFrame:
-    """Per distinct non-NULL value of a group: rows below it, rows equal to it, rows in all."""
-    vals = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count(F.lit(1)).alias("_ties")))
-    # the sum keeps this branch on the same shuffle as the rest
-    large = (vals.groupBy(*keys).agg(F.sum("_ties").alias("_n"))
-             .where(F.col("_n") > (SPLIT_ROWS if split_rows is None else split_rows))
-             .select(*keys, F.lit(True).alias("_large")))
-    vals = (vals.join(F.broadcast(large), keys, "left")  # at most rows / SPLIT_ROWS groups
-                .withColumn("_bucket", F.when(F.col("_large"), value_bucket(value)).otherwise(0)).drop("_large"))
+    return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000.0) * per_fold).cast("int")
+
+
+def ranked(df: DataFrame, value: str) -> Column:
+    """Whether a value takes part in a rank: neither NULL nor NaN."""
+    there = F.col(value).isNotNull()
+    return there & ~F.isnan(value) if dict(df.dtypes)[value] in ("double", "float") else there
+
+
+def value_positions(df: DataFrame, keys: list[str], value: str, per_fold: float = BUCKETS_PER_E_FOLD) -> DataFrame:
+    """Per distinct value of a group: rows below it, rows equal to it, rows in all."""
+    vals = (df.where(ranked(df, value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
+            .withColumn("_bucket", value_bucket(value, per_fold)))
     in_bucket = (W.partitionBy(*keys, "_bucket").orderBy(value)
                   .rowsBetween(W.unboundedPreceding, -1))
     per_bucket = vals.groupBy(*keys, "_bucket").agg(F.sum("_ties").alias("_in_bucket"))
@@ -60,7 +57,7 @@ def with_positions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     NULL values match nothing; a salt keeps them from meeting in one task.
     """
     spread = F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in df.columns]), F.lit(997)) + 1
-    salted = df.withColumn("_salt", F.when(F.col(value).isNull(), spread).otherwise(0))
+    salted = df.withColumn("_salt", F.when(~ranked(df, value), spread).otherwise(0))
     pos = value_positions(df, keys, value).withColumn("_salt", F.lit(0).cast("long"))
     return salted.join(pos, [*keys, value, "_salt"], "left").drop("_salt")
 
@@ -93,7 +90,7 @@ def row_positions(df: DataFrame, keys: list[str], value: str, tie: str, out: str
     """
     head = F.substring(tie, 1, 5)
     same = [*keys, value]
-    rows = (df.where(F.col(value).isNotNull()).withColumn("_head", head))
+    rows = (df.where(ranked(df, value)).withColumn("_head", head))
     inside = W.partitionBy(*same, "_head").orderBy(tie)
     heads = rows.groupBy(*same, "_head").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*same).orderBy("_head").rowsBetween(W.unboundedPreceding, -1)

@@ -120,7 +120,7 @@ class _Updates:
                 if (r.ticker, r.broker) != self.key:
                     self._close(out)
                     self.key, self.target, self.choice = (r.ticker, r.broker), r.base, None
-                change = r.target / self.target - 1
+                change = r.target / self.target - 1 if self.target else 0.0  # no direction from a target of zero
                 if abs(change) > 1e-9 and (r.direction == UP) == (change > 0):
                     self.target, self.choice = r.target, r.id
         return pd.DataFrame(out, columns=["ticker", "broker", "id"])

@@ -90,26 +90,34 @@ def cohorts(t: DataFrame, prices: DataFrame, snaps: DataFrame, tracks: DataFrame
     return metrics.ratios(d, p).withColumn("name", F.col("ticker"))
 
 
-def gate_panel(panel: DataFrame, t: DataFrame, dates: Column, p: Params, horizon: int = 63) -> DataFrame:
-    """Panel rows per strategy with gate features as of receipt, score, pass flag, excess return."""
-    fwd = f"fwd_{horizon}"
+def scored_rows(panel: DataFrame, t: DataFrame, dates: Column, p: Params) -> DataFrame:
+    """Every panel row per strategy with gate features as of receipt, score and pass flag.
+
+    No row depends on a later price: members of the newest month are scored like all others.
+    """
     feats = strategies.gate_features(t).where("rcept_dt IS NOT NULL")
     cols = ["period", *strategies.FEATURES]
     one = feats.groupBy("ticker", "rcept_dt").agg(F.max_by(F.struct(*cols), "period").alias("_f"))
     asof = on_dates(one, "ticker", "rcept_dt", dates).select("ticker", "asof", *[
         F.col(f"_f.{x}").alias(x) for x in strategies.FEATURES])
-    d = panel.join(asof, ["ticker", "asof"], "left").where(F.col(fwd).isNotNull())
-    # one row per month
-    mkt = d.groupBy("asof").agg(F.avg(fwd).alias("mkt"))
-    d = d.join(F.broadcast(mkt), "asof").withColumn("excess", F.col(fwd) - F.col("mkt"))
-
+    d = panel.join(asof, ["ticker", "asof"], "left")
     rows = F.array(*[F.struct(F.lit(s).alias("strategy"), weighted(w).alias("score"),
                               strategies.failed_gates(s, p, "panel").alias("gate_fails"))
                      for s, w in spec.STRATEGY_WEIGHTS.items()])
-    d = d.select("*", F.explode(rows).alias("_s")).select(*d.columns, "_s.*").where("score IS NOT NULL")
+    d = d.select("*", F.explode(rows).alias("_s")).select(*d.columns, "_s.*")
     return d.withColumn("pass", F.size("gate_fails") == 0)
 
 
+def gate_panel(scored: DataFrame, horizon: int = 63) -> DataFrame:
+    """Research rows: scored rows that have a forward return, with the month's mean and the excess over it."""
+    fwd = f"fwd_{horizon}"
+    known = scored.where(F.col(fwd).isNotNull())
+    # rows come once per strategy, so the mean of one strategy's rows is the mean over tickers
+    mkt = known.where(F.col("strategy") == min(spec.STRATEGY_WEIGHTS)).groupBy("asof").agg(F.avg(fwd).alias("mkt"))
+    d = known.where("score IS NOT NULL").join(mkt, "asof")
+    return d.withColumn("excess", F.col(fwd) - F.col("mkt"))
+
+
 def prepare(gp: DataFrame, p: Params, horizon: int = 63) -> DataFrame:
     """Adds cap rank, realistic-universe flag, two benchmarks and excess over each."""
     fwd = f"fwd_{horizon}"
@@ -122,7 +130,7 @@ def prepare(gp: DataFrame, p: Params, horizon: int = 63) -> DataFrame:
     bench = d.where("in_universe").groupBy("asof", "strategy").agg(
         F.avg(fwd).alias("b_univ"),
         (F.sum(F.col(fwd) * F.col("market_cap")) / F.sum("market_cap")).alias("b_cap"))
-    return (d.join(F.broadcast(bench), ["asof", "strategy"], "left")
+    return (d.join(bench, ["asof", "strategy"], "left")
             .withColumn("exc_univ", F.col(fwd) - F.col("b_univ"))
             .withColumn("exc_cap", F.col(fwd) - F.col("b_cap")))
 

@@ -65,9 +65,13 @@ class Workspace:
     def panel(self) -> DataFrame:
         return self.stored(grading.grade(self.cohorts, self.p), "panel")
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        return self.stored(panel.scored_rows(self.panel, self.ttm, self.dates, self.p), "scored")
+
     @cached_property
     def gate_panel(self) -> DataFrame:
-        return self.stored(panel.gate_panel(self.panel, self.ttm, self.dates, self.p), "gate_panel")
+        return self.stored(panel.gate_panel(self.scored), "gate_panel")
 
     @cached_property
     def prepared(self) -> DataFrame:
