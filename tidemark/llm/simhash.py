@@ -65,7 +65,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        seen = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
+        own = seen.join(labels.select(F.col("node").alias("a"), "root"), "a")
+        # a neighbour's label is offered to the node and to the node's root, so whole trees move at once
+        near = own.select(F.explode(F.array("a", "root")).alias("node"), "near").groupBy("node").agg(F.min("near").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("root", "near").alias("mid"), F.col("root").alias("was"))
         jump = spread.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
         new = checkpointed(spread.join(jump, "mid").select("node", F.least("mid", "far").alias("root"), "was"))
