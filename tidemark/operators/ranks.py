@@ -23,7 +23,8 @@ BUCKETS_PER_E_FOLD = 200.0
 def value_bucket(x: str, per_fold: float = BUCKETS_PER_E_FOLD) -> Column:
     """Infinite values take the first and last bucket."""
     v = F.col(x).cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000.0) * per_fold).cast("int")
+    scaled = F.signum(v) * F.log1p(F.abs(v) * 1000.0) * per_fold
+    return F.floor(F.greatest(F.least(scaled, F.lit(1e9)), F.lit(-1e9))).cast("int")
 
 
 def ranked(df: DataFrame, value: str) -> Column:
