@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from tidemark.llm.common import WordCache, worker_cache
+from tidemark.llm.common import CACHE_WORDS, WordCache, worker_cache
 
 LEAF = 48  # symbols of a leaf of the tree
+WORDS_HELD = 2 * CACHE_WORDS
+NEVER = 1 << 60  # rank of a pair that does not merge
 #: Pre-token pattern and white space of the vocabulary's own tokenizer.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -58,23 +60,23 @@ class Bpe:
         self.odd = regex.compile("[\x1c-\x1f]")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in {**self.vocab, **self.special}.items()}
-        self.units = WordCache(self._unit)
+        self.units = WordCache(self._unit, WORDS_HELD)
 
     # -- merging -------------------------------------------------------------------------------------------------
     def merge(self, s: list[str]) -> list[str]:
         """All merges of a short sequence, lowest rank first, leftmost among equals."""
         if len(s) > self.leaf:
             return self._merge_long(s)
-        rank, s = self.rank, list(s)
-        while len(s) > 1:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                r = rank.get((s[i], s[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            s[at:at + 2] = [s[at] + s[at + 1]]
+        get, s = self.rank.get, list(s)
+        ranks = [get(pair, NEVER) for pair in zip(s, s[1:])]  # only the two pairs beside a merge change
+        while ranks and (best := min(ranks)) != NEVER:
+            at = ranks.index(best)
+            s[at] += s.pop(at + 1)
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get((s[at], s[at + 1]), NEVER)
+            if at:
+                ranks[at - 1] = get((s[at - 1], s[at]), NEVER)
         return s
 
     def _merge_long(self, s: list[str]) -> list[str]:
@@ -124,7 +126,8 @@ class Bpe:
     # -- words and texts -----------------------------------------------------------------------------------------
     def _unit(self, pretoken: str) -> tuple:
         """(ids, joined ids, joined tokens) of one pre-token."""
-        s = [self.letters[b] for b in pretoken.encode("utf-8", "surrogatepass")]
+        plain = pretoken.isascii() and pretoken.isprintable()  # each letter stands for itself
+        s = list(pretoken) if plain else [self.letters[b] for b in pretoken.encode("utf-8", "surrogatepass")]
         s[-1] += END
         tokens = [t for t in self.encode_tree(s) if t in self.vocab]
         ids = [self.vocab[t] for t in tokens]
@@ -132,7 +135,9 @@ class Bpe:
 
     def word(self, word: str) -> tuple:
         w = word if word.isascii() else unicodedata.normalize("NFC", word)
-        w = w.lower() if w.isascii() else "".join(c.lower() for c in w)
+        w = w.lower() if "Σ" not in w else "".join(map(str.lower, w))  # the tokenizer knows no final sigma
+        if w.isascii() and w.isalpha():
+            return self.units[w]
         parts = [self.units[p] for p in self.pre.findall(w)]
         if len(parts) == 1:
             return parts[0]
@@ -157,7 +162,7 @@ class Bpe:
 def _worker(model, leaf: int) -> tuple[Bpe, WordCache]:
     def make():
         b = Bpe(model.value, leaf)
-        return b, WordCache(b.word)
+        return b, WordCache(b.word, WORDS_HELD)
     return worker_cache(f"bpe-{hash(tuple(model.value['merges'][:9]))}-{len(model.value['vocab'])}-{leaf}", make)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 120_000  # entries of a worker's word cache; a full cache is emptied, results do not change
+CACHE_WORDS = 120_000  # entries of a worker's word cache; results do not depend on it
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,16 +32,21 @@ def worker_cache(key: str, make: Callable):
 
 
 class WordCache(dict):
-    """word -> value of `f(word)`, emptied when it holds `size` words so that its memory is bounded."""
+    """word -> value of `f(word)` in two generations: a full one ages and replaces the aged one, so words in use stay and no
+    more than `size` are held."""
 
     def __init__(self, f: Callable, size: int = CACHE_WORDS):
         super().__init__()
-        self.f, self.size = f, size
+        self.f, self.half, self.aged = f, size // 2, {}
 
     def __missing__(self, word):
-        if len(self) >= self.size:
+        if len(self) >= self.half:
+            self.aged = dict(self)
             self.clear()
-        v = self[word] = self.f(word)
+        v = self.aged.get(word)
+        if v is None:
+            v = self.f(word)
+        self[word] = v
         return v
 
 
