@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, crf, decontaminate, simhash, substrings
 from tidemark.llm.catalog import vocabulary_path
-from tidemark.llm.common import table
+from tidemark.llm.common import CACHE_WORDS, table
 from tidemark.llm.storage import shared_folder
 
 SURE = 0.5  # mean probability of the document's language below which language ID rejects it
@@ -38,7 +38,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests and token ids."""
-    return bpe.encode(docs, vocabulary_path())
+    return bpe.encode(docs, vocabulary_path(), held=CACHE_WORDS)  # its workers' memory has grown with the stages before
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),

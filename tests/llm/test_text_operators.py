@@ -324,6 +324,16 @@ def test_bpe_equals_tokenizer(spark, docs_of, vocabulary):
 
 # ---- pipeline ------------------------------------------------------------------------------------------------------
 @mounted
+def test_worker_cache_holds_one_operator():
+    from tidemark.llm.common import forget, worker_cache
+    forget()
+    first = worker_cache("a", list)
+    assert worker_cache("a", list) is first
+    other = worker_cache("b", list)
+    assert worker_cache("b", list) is other and worker_cache("a", list) is not first
+    forget()
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tidemark.llm.common import CACHE_WORDS, WordCache, worker_cache
 
 LEAF = 48  # symbols of a leaf of the tree
-WORDS_HELD = 2 * CACHE_WORDS
+WORDS_HELD = 2 * CACHE_WORDS  # words and as many pre-tokens that a worker holds; results do not depend on it
 NEVER = 1 << 60  # rank of a pair that does not merge
 #: Pre-token pattern and white space of the vocabulary's own tokenizer.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -51,7 +51,7 @@ def load(path: str) -> dict:
 
 
 class Bpe:
-    def __init__(self, model: dict, leaf: int = LEAF):
+    def __init__(self, model: dict, leaf: int = LEAF, held: int = WORDS_HELD):
         self.vocab, self.special, self.leaf = model["vocab"], model["special"], leaf
         self.rank = {pair: i for i, pair in enumerate(model["merges"])}
         self.letters = byte_letters()
@@ -60,7 +60,7 @@ class Bpe:
         self.odd = regex.compile("[\x1c-\x1f]")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.tokens = {i: t for t, i in {**self.vocab, **self.special}.items()}
-        self.units = WordCache(self._unit, WORDS_HELD)
+        self.units = WordCache(self._unit, held)
 
     # -- merging -------------------------------------------------------------------------------------------------
     def merge(self, s: list[str]) -> list[str]:
@@ -159,18 +159,18 @@ class Bpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def _worker(model, leaf: int) -> tuple[Bpe, WordCache]:
+def _worker(model, leaf: int, held: int = WORDS_HELD) -> tuple[Bpe, WordCache]:
     def make():
-        b = Bpe(model.value, leaf)
-        return b, WordCache(b.word, WORDS_HELD)
-    return worker_cache(f"bpe-{hash(tuple(model.value['merges'][:9]))}-{len(model.value['vocab'])}-{leaf}", make)
+        b = Bpe(model.value, leaf, held)
+        return b, WordCache(b.word, held)
+    return worker_cache(f"bpe-{hash(tuple(model.value['merges'][:9]))}-{len(model.value['vocab'])}-{leaf}-{held}", make)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def encode(docs: DataFrame, model_path: str, leaf: int = LEAF, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, leaf: int = LEAF, with_ids: bool = True, held: int = WORDS_HELD) -> DataFrame:
     """doc_id, n_tokens, ids (if asked for), decoded: token ids of every whole text and the text decoded from them."""
     model = docs.sparkSession.sparkContext.broadcast(load(model_path))  # bounded by the vocabulary
     src = docs.select(F.col("doc_id"), F.col("text"))
@@ -179,7 +179,7 @@ def encode(docs: DataFrame, model_path: str, leaf: int = LEAF, with_ids: bool =
         schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches):
-        bpe, words = _worker(model, leaf)
+        bpe, words = _worker(model, leaf, held)
         for batch in batches:
             n, ids_sha, dec_sha, flat, ends = [], [], [], array("i"), [0]
             for text in _column(batch, "text"):

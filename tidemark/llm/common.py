@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,24 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def _store() -> dict:
+    return sys.modules.setdefault("_tidemark_worker_store", types.ModuleType("_tidemark_worker_store")).__dict__.setdefault("held", {})
+
+
+def forget() -> None:
+    """Frees what earlier operators hold in this Python worker; Spark reuses workers from stage to stage."""
+    if _store():
+        _store().clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def worker_cache(key: str, make: Callable):
-    """What `make` returns, made once in the life of a Python worker."""
-    store = sys.modules.setdefault("_tidemark_worker_store", types.ModuleType("_tidemark_worker_store")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    """What `make` returns, made once in a Python worker and held until another operator's cache takes its place."""
+    if key not in _store():
+        forget()
+        _store()[key] = make()
+    return _store()[key]
 
 
 class WordCache(dict):

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.llm.common import forget
+
 SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
 SPACE_BITS, LEXICON, SEQUENCE, SEQUENCES, BATCH, EPOCHS, RATE = 16, 300, 120, 1_600, 32, 2, 0.3
 BATCH_WORDS = 400_000  # words whose probabilities are held at once; a longer document is held alone
@@ -207,6 +209,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType(list(src.schema)).add("lang_pred", "string").add("score", "double").add("switches", "long")
 
     def run(batches):
+        forget()
         m = Model(*shared.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.llm.common import forget
 from tidemark.llm.storage import checkpointed
 
 SEED, SHINGLE, RADIUS, CHUNK = 42, 3, 2, 8_192
@@ -45,6 +46,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     schema = StructType([src.schema["doc_id"]]).add("fp", "long")
 
     def run(batches):
+        forget()
         for b in batches:
             fps = b"".join(map(fingerprint, b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64), pa.int64())], names=schema.names)
