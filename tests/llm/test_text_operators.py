@@ -148,6 +148,26 @@ def test_licences_equal_brute_force(spark, docs_of):
     assert licences.scan(docs_of([], DOCS)).count() == 0
 
 
+def test_licences_with_insertions_at_every_start(spark, docs_of):
+    """Real notices have more words than the template; they are found wherever they start."""
+    t = licences.TEMPLATES
+    mit = t["mit-notice"].replace("documentation files,", 'documentation files (the "Software"),')
+    long = t["mit-notice"].replace("free of charge,", "free of charge, " + "and then more " * 15)
+    rows = [(i, "w " * i + mit + " x" * (200 - i)) for i in range(120)] + [(200 + i, "w " * i + long + " x" * (200 - i)) for i in range(60)]
+    rows += [(300 + i, "w " * i + t["gpl-3.0-header"].replace("or at your option", "or if so at your option") + " x" * 9) for i in range(0, 90, 7)]
+    want = []
+    for d, text in rows:
+        w, found = licences.words_of(text), {}
+        for name, x in t.items():
+            m, s = len(licences.words_of(x)), licences.shingle_set(licences.words_of(x))
+            share = max(len(s & licences.shingle_set(w[a:a + 3 * m])) / len(s) for a in range(max(1, len(w) - 3 * m + 1)))
+            if share >= 0.8:
+                found[name] = share
+        want.append((d, ",".join(sorted(found)), round(max(found.values(), default=0.0), 9)))
+    assert all(x[1] for x in want)
+    assert sorted((r.doc_id, r.licences, round(r.best, 9)) for r in licences.scan(docs_of(rows)).collect()) == want
+
+
 # ---- 5 -------------------------------------------------------------------------------------------------------------
 def brute_fingerprint(text):
     w = [x for x in re.split("[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]

@@ -1,9 +1,10 @@
 """Licence notices found by MinHash bands over overlapping text windows (operator 4).
 
-Words are runs of letters and digits, A-Z lower-cased. For a template of m words the text is cut into windows of 2 m words
-that start every m words, so any m words in a row lie in one window. Signatures of one-row bands retrieve candidates; the
-number of bands is chosen for each template length so that a window with the required containment is missed with a
-probability below `MISS`. Candidates are verified: share of the template's five-word shingles that the window holds.
+Words are runs of letters and digits, A-Z lower-cased. A template of m words is found where `SPAN` m words in a row, from
+any word on, hold the required share of its five-word shingles; so a notice may have up to (`SPAN` - 1) m words inserted,
+wherever it starts. The text is cut into windows of (`SPAN` + 1) m shingles that start every m words, so any such run lies in
+one window. Signatures of one-row bands retrieve candidates; the number of bands is chosen for each template length so that a
+window with the required containment is missed with a probability below `MISS`. Candidates are verified run by run.
 
 Null text has no words. Templates of fewer than five words are one shingle.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.llm.common import shingle_hashes, word_hasher, word_hashes
 
-SHINGLE, CONTAINED, MISS, CHUNK_WORDS = 5, 0.8, 1e-6, 400_000
+SHINGLE, SPAN, CONTAINED, MISS, CHUNK_WORDS = 5, 3, 0.8, 1e-6, 400_000
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: Public licence notices.
 TEMPLATES = {
@@ -44,8 +46,8 @@ def shingle_set(words: list[bytes]) -> set[tuple]:
 
 
 def bands_for(m: int, contained: float = CONTAINED, miss: float = MISS) -> int:
-    """One-row bands that miss a window of 2 m words with the required containment with a probability below `miss`."""
-    t, w = max(1, m - SHINGLE + 1), max(1, 2 * m - SHINGLE + 1)
+    """One-row bands that miss a window of (SPAN + 1) m shingles with the required containment with a probability below `miss`."""
+    t, w = max(1, m - SHINGLE + 1), (SPAN + 1) * m
     shared = math.ceil(contained * t - 1e-9)
     like = shared / (w + t - shared)
     return math.ceil(math.log(miss) / math.log1p(-like)) if like < 1 else 1
@@ -57,6 +59,7 @@ class Templates:
     def __init__(self, templates: dict[str, str], contained: float):
         self.contained, hasher = contained, word_hasher()
         self.sets = {name: shingle_set(words_of(t)) for name, t in sorted(templates.items())}
+        self.lengths = {name: len(words_of(t)) for name, t in templates.items()}
         by: dict[int, list[str]] = {}
         for name, t in sorted(templates.items()):
             if words_of(t):
@@ -65,49 +68,66 @@ class Templates:
         self.groups = []
         for m, names in sorted(by.items()):
             k = bands_for(m, contained)
-            mul = rng.integers(1, 2 ** 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            add = rng.integers(1, 2 ** 63, k, dtype=np.uint64)
-            low = {n: [(shingle_hashes(word_hashes(words_of(templates[n]), hasher), SHINGLE) * a + b).min() for a, b in zip(mul, add)] for n in names}
+            mul = rng.integers(0, 2 ** 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+            add = rng.integers(0, 2 ** 32, k, dtype=np.uint32)
+            short = {n: (shingle_hashes(word_hashes(words_of(templates[n]), hasher), SHINGLE) >> np.uint64(32)).astype(np.uint32) for n in names}
+            low = {n: [(short[n] * a + b).min() for a, b in zip(mul, add)] for n in names}
             self.groups.append((m, mul, add, low))
 
     def candidates(self, shingles: np.ndarray, sizes: list[int]):
-        """(document, first word, window length, template) of windows that share a band with a template. `sizes`: words per document."""
+        """(document, first word, template) of windows that share a band with a template. `sizes`: words per document."""
+        have = np.array([max(0, n - SHINGLE + 1) if n >= SHINGLE else min(1, n) for n in sizes], np.int64)
+        used = np.flatnonzero(have)
+        if not len(used):
+            return
+        at, short = (np.cumsum(have) - have)[used], (shingles >> np.uint64(32)).astype(np.uint32)
         for m, mul, add, low in self.groups:
-            width = 2 * m
-            doc, first, a, b, at = [], [], [], [], 0
-            for d, n in enumerate(sizes):
-                here = max(0, n - SHINGLE + 1) if n >= SHINGLE else min(1, n)
-                for s in range(0, max(1, n - m), m) if here else ():
-                    lo = min(s, here - 1)
-                    hi = min(here, max(lo + 1, s + width - SHINGLE + 1))
-                    doc.append(d)
-                    first.append(s)
-                    a.append(at + lo)
-                    b.append(at + hi)
-                at += here
-            if not doc:
-                continue
-            cut = np.empty(2 * len(a), np.int64)
-            cut[0::2], cut[1::2] = a, b
-            cut = np.minimum(cut, len(shingles))
-            hit = {n: np.zeros(len(a), bool) for n in low}
+            blocks = -(-have[used] // m)  # of m shingles each; a window is SPAN + 1 of them, or the whole text
+            ends = np.cumsum(blocks)
+            own = np.repeat(np.arange(len(used)), blocks)
+            nth = np.arange(ends[-1]) - (ends - blocks)[own]
+            # block by column; a short one is filled up with its text's last shingle. 32 bits of a hash: equal minima are verified
+            laid = short[np.minimum((at[own] + nth * m)[None, :] + np.arange(m)[:, None], (at + have[used] - 1)[own][None, :])]
+            first = np.flatnonzero(nth <= np.maximum(0, blocks - SPAN - 1)[own])
+            last = ends[own[first]] - 1
+            hit = {n: np.zeros(len(first), bool) for n in low}
+            h = np.empty_like(laid)
             for k in range(len(mul)):
-                h = np.append(shingles * mul[k] + add[k], np.iinfo(np.uint64).max)
-                mins = np.minimum.reduceat(h, cut)[0::2]
+                np.multiply(laid, mul[k], out=h)
+                h += add[k]
+                least = h.min(axis=0)
+                mins = least[first]
+                for j in range(1, SPAN + 1):
+                    np.minimum(mins, least[np.minimum(first + j, last)], out=mins)
                 for n in low:
                     hit[n] |= mins == low[n][k]
             for n in low:
-                for i in np.flatnonzero(hit[n]):
-                    yield doc[i], first[i], width, n
+                for i in first[np.flatnonzero(hit[n])].tolist():
+                    yield int(used[own[i]]), int(nth[i]) * m, n
+
+    def share(self, name: str, words: list[bytes]) -> float:
+        """Largest share of the template's shingles in any SPAN m words in a row."""
+        want, m, k = self.sets[name], self.lengths[name], min(SHINGLE, len(words))
+        known = [(i, x) for i in range(len(words) - k + 1) if (x := tuple(words[i:i + k])) in want]
+        held, best, a = Counter(), 0, 0
+        for i, x in known:
+            held[x] += 1
+            while known[a][0] + SPAN * m < i + k:
+                held[known[a][1]] -= 1
+                if not held[known[a][1]]:
+                    del held[known[a][1]]
+                a += 1
+            best = max(best, len(held))
+        return best / len(want)
 
     def matches(self, texts: list[list[bytes]]):
-        """(document, template, containment) of verified windows."""
+        """(document, template, containment) of verified runs."""
         hasher = word_hasher()
         hashed = [shingle_hashes(word_hashes(w, hasher), SHINGLE) for w in texts]
         flat = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
-        for d, first, width, name in self.candidates(flat, [len(w) for w in texts]):
-            want = self.sets[name]
-            share = len(want & shingle_set(texts[d][first:first + width])) / len(want)
+        for d, first, name in self.candidates(flat, [len(w) for w in texts]):
+            width = (SPAN + 1) * self.lengths[name] + SHINGLE - 1
+            share = self.share(name, texts[d][first:first + width])
             if share >= self.contained:
                 yield d, name, share
 
