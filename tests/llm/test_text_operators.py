@@ -354,6 +354,25 @@ def test_worker_cache_holds_one_operator():
     forget()
 
 
+def test_clean_tells_rows_of_one_id_apart(spark, docs_of):
+    passage, other = " ".join("abcdefghijkl"), " ".join("mnopqrstuvwx")
+    rows = [(None, passage), (None, other), (None, None), (1, passage), (1, other), (1, "short"), (2, f"x {passage} y"), (3, ""), (3, ""), (3, passage)]
+    got = decontaminate.clean(docs_of(rows), spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([x for x in rows if passage not in (x[1] or "")], key=str)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, docs_of):
+    rnd = random.Random(4)
+    text = lambda: " ".join(f"w{rnd.randint(0, 10 ** 6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = "\t".join(a.upper().split())  # the same fingerprint
+    # a group with ids, one of null ids only, one id twice in one group and in two groups, one row three times
+    rows = [(5, a), (None, near), (7, near), (None, b), (None, "  ".join(b.split())), (None, b), (9, c), (9, "  ".join(c.split())), (9, d), *[(11, e)] * 3]
+    got = [(r.doc_id, " ".join(r.text.split())) for r in simhash.keep_first(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (None, b), (9, c), (9, d), (11, e)], key=str)
+    assert simhash.keep_first(docs_of([], DOCS)).count() == 0
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")

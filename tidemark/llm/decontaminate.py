@@ -55,6 +55,11 @@ def prefixes(wins: DataFrame, texts: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids (sorted strings), contaminated of every row."""
+    return judged(docs, items, window).drop("h")
+
+
+def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The columns of scan() and h, the hash of the row's text."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     nothing = texts.sparkSession.range(1).select(F.lit(EACH).alias("token"), F.lit(0).alias("offset"), F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("items"))
     keyed = small(prefixes(windows(items, window), texts).unionByName(nothing))
@@ -69,18 +74,18 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     w = F.when(F.size("candidates") > 0, words(F.col("text")))
     matching = lambda w: F.filter("candidates", lambda c: F.slice(w, c["a"] + 1, F.size(c["win"])) == c["win"])
     both = (texts.join(found, F.col("doc_id").eqNullSafe(F.col("k")) & F.col("h").eqNullSafe(F.col("kh")))
-            .select("doc_id", "text", F.col("n").cast("long").alias("n_words"), F.sort_array("candidates").alias("candidates")))
+            .select("doc_id", "h", "text", F.col("n").cast("long").alias("n_words"), F.sort_array("candidates").alias("candidates")))
     # bound as an element, the words are cut once per document and not once per candidate
     spans = F.transform(F.array(w), matching)[0]
-    hits = both.select("doc_id", "n_words", spans.alias("spans")).select("doc_id", "n_words", "spans", F.array_sort(F.array_distinct(F.flatten("spans.items"))).alias("found"))
+    hits = both.select("doc_id", "h", "n_words", spans.alias("spans")).select("doc_id", "h", "n_words", "spans", F.array_sort(F.array_distinct(F.flatten("spans.items"))).alias("found"))
     # spans are sorted by start: each adds what reaches beyond the furthest end so far
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct(
         (s["n"] + F.greatest(F.lit(0), x["a"] + F.size(x["win"]) - F.greatest(s["end"], x["a"]))).alias("n"), F.greatest(s["end"], x["a"] + F.size(x["win"])).alias("end")), lambda s: s["n"])
-    return (hits.select("doc_id", "n_words", covered.cast("long").alias("n_hit"), F.size("found").cast("long").alias("n_items"), F.array_remove("found", EACH).alias("item_ids"))
+    return (hits.select("doc_id", "h", "n_words", covered.cast("long").alias("n_hit"), F.size("found").cast("long").alias("n_items"), F.array_remove("found", EACH).alias("item_ids"))
             .withColumn("contaminated", F.col("n_hit") > 0))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` without a benchmark window."""
-    bad = scan(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of `docs` without a benchmark window; rows of one id, or of none, are told apart by their texts."""
+    bad = judged(docs, items, window).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("h").alias("_bad_text")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col("text")) == F.col("_bad_text")), "left_anti")

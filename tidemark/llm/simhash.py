@@ -40,16 +40,16 @@ def fingerprint(text: str | None) -> bytes:
     return np.packbits(2 * ones > len(h)).tobytes()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (bits as a signed 64-bit number) of every row."""
-    src = docs.select("doc_id", "text")
-    schema = StructType([src.schema["doc_id"]]).add("fp", "long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns `more`, fp (bits as a signed 64-bit number) of every row."""
+    src = docs.select("doc_id", "text", *more)
+    schema = StructType([f for f in src.schema if f.name != "text"]).add("fp", "long")
 
     def run(batches):
         forget()
         for b in batches:
             fps = b"".join(map(fingerprint, b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64), pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(np.frombuffer(fps, ">i8").astype(np.int64), pa.int64())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -91,6 +91,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group; rows without an id stay only if their group has no id."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of `docs` for each group: the one with the smallest doc_id, rows without an id after all others; rows that
+    agree in that by the smallest hash of the text and then of the whole row."""
+    flat = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    keyed = docs.withColumns({"_text": F.xxhash64("text"), "_row": F.xxhash64(*flat)})
+    rows = checkpointed(fingerprints(keyed, "_text", "_row"))
+    own = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "_text", "_row")).alias("least"))
+    roots = components(links(own.select("fp")))
+    named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select("least._text", "least._row")
+    # rows alike in every column are still several
+    return keyed.join(kept, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
