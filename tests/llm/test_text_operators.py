@@ -90,6 +90,19 @@ def test_code_switched_words_and_undetermined_texts(spark, docs_of):
     assert crf.predict(docs_of([(1, "x")]), crf.train([])).first().lang_pred == "und"
 
 
+def test_training_sample_counts_different_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(crf, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(crf, "SAMPLE_CHARS", 50)
+    rows = [(f"word{i} text", "a") for i in range(30) for _ in range(25)] + [(f"word{i} text", "b") for i in range(5)]
+    rows += [("".join(chr(97 + i % 26) for i in range(1_000)) + str(k), "c") for k in range(3)] + [(None, "a"), ("", "a"), ("x", None)]
+    got = crf.sample(spark.createDataFrame(rows, "text string, lang string"), F.lit(True))
+    assert len(set(got)) == len(got)
+    assert [sum(lab == k for _, lab in got) for k in "abc"] == [20, 5, 3]
+    pieces = [t for t, lab in got if lab == "c"]
+    assert all(len(t) == 50 and any(t in x for x, lab in rows if lab == "c") for t in pieces)
+
+
 # ---- 2 -------------------------------------------------------------------------------------------------------------
 def test_perspectives(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, "cy", "yo"), (1, 2, "cy", "yo"), (1, -1, "system", "s"), (1, None, None, "?"), (2, 0, "system", "x"), (None, 0, "ann", "n")]

@@ -4,8 +4,8 @@ Every word is labelled: affixes, character trigrams and per-language lexicons gi
 neighbours, forward-backward gives each word's label probabilities. A document takes the label with the highest mean
 probability; the words' own labels and shares come from the same table.
 
-The field is fitted on the driver on a bounded sample (`SAMPLE_DOCS` labelled documents per language, each of at most
-`SAMPLE_CHARS` characters), cut and shuffled into code-switched sequences. Prediction reads every whole text and only the text.
+The field is fitted on the driver on a bounded sample (`SAMPLE_DOCS` different labelled texts per language, of each at most
+`SAMPLE_CHARS` characters in a row), cut and shuffled into code-switched sequences. Prediction reads every whole text and only the text.
 
 Null text and text without a letter: `und`, score 0. No labelled row at all: everything is `und`.
 """
@@ -154,14 +154,16 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
 
 
 def sample(docs: DataFrame, fits: Column) -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCS labelled texts per language, spread by a hash of the text; ids first, then only their texts."""
-    ok = docs.where(fits & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS)
-                    & (F.char_length("text") > 0)).select("lang", F.xxhash64("text").alias("h"), "text")
+    """At most SAMPLE_DOCS different labelled texts per language, spread by a hash of the text; ids first, then only their
+    texts. Of a longer text a piece of SAMPLE_CHARS at a place given by the hash."""
+    ok = docs.where(fits & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") > 0)).select("lang", F.xxhash64("text").alias("h"), "text")
     first = Window.partitionBy("lang").orderBy("h")
-    picked = ok.select("lang", "h").withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS)
-    hs = [r["h"] for r in picked.select("h").collect()]  # bounded: SAMPLE_DOCS per language
-    got = ok.where(F.col("h").isin(hs)).dropDuplicates(["lang", "h"]).select("text", "lang").collect() if hs else []
-    return sorted((r["text"], r["lang"]) for r in got)
+    picked = ok.select("lang", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS)
+    keys = {(r["lang"], r["h"]) for r in picked.select("lang", "h").collect()}  # bounded: SAMPLE_DOCS per language
+    over = F.char_length("text") - SAMPLE_CHARS
+    piece = F.when(over <= 0, F.col("text")).otherwise(F.substring("text", F.pmod("h", over + 1).cast("int") + 1, F.lit(SAMPLE_CHARS)))
+    got = ok.where(F.col("h").isin(sorted({h for _, h in keys}))).select("lang", "h", piece.alias("text")).dropDuplicates(["lang", "h"]).collect() if keys else []
+    return sorted((r["text"], r["lang"]) for r in got if (r["lang"], r["h"]) in keys)
 
 
 def fold(doc_id: Column) -> Column:
