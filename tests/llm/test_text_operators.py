@@ -240,6 +240,31 @@ def test_substrings_equal_brute_force(spark, docs_of, seed):
     assert substrings.remove_repeats(docs_of([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [0, 3])
+def test_windows_of_heavy_minimizers_equal_brute_force(spark, docs_of, monkeypatch, heavy):
+    monkeypatch.setattr(substrings, "HEAVY", heavy)
+    rows = corpus(5)
+    got = substrings.remove_repeats(docs_of(rows)).select("rest.doc_id", "text", "n_words", "n_removed").collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text or "") for r in got), key=str) == brute_substrings(rows)
+
+
+def test_no_shard_holds_all_variants_of_a_minimizer(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(substrings, "HEAVY", 20)
+    rnd = random.Random(6)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 10 ** 6)}" for _ in range(n))
+    passage = text(30)
+    rows = [(i, f"{text(20)} {passage} {text(20)}") for i in range(200)]
+    packed = substrings._packed(docs_of(rows))
+    met = substrings.passages_to_meet(packed, substrings._firsts(packed), substrings.WINDOW)
+    held = met.groupBy("h", "part").agg({"words": "count"}).count(), met.select("h", "part", "words").distinct().groupBy("h", "part").count().agg({"count": "max"}).first()[0]
+    assert held[0] > 200 and held[1] <= 20
+    loop = substrings._packed(docs_of([(i, "ka " * 500 + text(3)) for i in range(30)]))
+    most = substrings.passages_to_meet(loop, substrings._firsts(loop), substrings.WINDOW).groupBy("h", "part").count().agg({"count": "max"}).first()[0]
+    assert most == 30  # once per document, however often it holds the window
+    got = substrings.remove_repeats(docs_of(rows)).select("rest.doc_id", "text", "n_words", "n_removed").collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text or "") for r in got), key=str) == brute_substrings(rows)
+
+
 def test_automaton_matches_equal_scan():
     rnd = random.Random(2)
     for _ in range(60):

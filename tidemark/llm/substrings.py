@@ -9,6 +9,10 @@ windows stand under equal minimizers and only one position in five has to be shu
    with a suffix automaton; a later passage is streamed through it for matching statistics, and every position where
    a match reaches 13 words closes a window that is removed. Words are compared as such, never their hashes.
 
+A minimizer at the end of a passage that many documents share stands for as many different windows as there are documents,
+with each one's own neighbouring words. Passages of a minimizer met more than `HEAVY` times are therefore cut into their
+windows, which meet by minimizer and a hash of the window: copies of one window meet, different ones go to different shards.
+
 Exact copies of a text are settled before: only the smallest document of each text takes part.
 
 Null text has no words. A null doc_id counts as larger than any. Rows that share a doc_id do not remove from each other.
@@ -27,7 +31,7 @@ from pyspark.sql.types import StructType
 from tidemark.llm.common import shingle_hashes, sliding_min, word_hasher, word_hashes
 
 WINDOW, GRAM, LAST_ID = 13, 5, (1 << 63) - 1
-BATCH_ROWS = 20_000
+BATCH_ROWS, HEAVY = 20_000, 1_000
 
 
 class SuffixAutomaton:
@@ -102,7 +106,7 @@ def _words(text: str) -> list[bytes]:
 
 
 class Shard:
-    """Passages under one minimizer, in the order of their documents."""
+    """Passages under one minimizer, or windows of it under one hash, in the order of their documents."""
 
     def __init__(self, window: int):
         self.window, self.first, self.waiting = window, {}, []  # text -> its smallest document
@@ -148,10 +152,13 @@ def _packed(docs: DataFrame) -> DataFrame:
                        F.col("text").isNull().alias("void"), F.struct(*rest).alias("rest"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """rest (struct of the row's other columns), text (kept words joined by a space; null stays null), n_words, n_removed."""
-    rows = _packed(docs)
-    firsts = (rows.groupBy("sha").agg(F.min("d").alias("d")).groupBy(F.col("d").alias("key")).agg(F.collect_list("sha").alias("shas")))
+def _firsts(rows: DataFrame) -> DataFrame:
+    """key (a document), shas: digests of the texts that it holds first."""
+    return rows.groupBy("sha").agg(F.min("d").alias("d")).groupBy(F.col("d").alias("key")).agg(F.collect_list("sha").alias("shas"))
+
+
+def passages_to_meet(rows: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
+    """h, part, d, t, at, words: passages of minimizers that several documents share; equal (h, part) have to meet."""
     mine = rows.join(firsts.hint("shuffle_hash"), F.col("d") == F.col("key"))
 
     def emit(batches):
@@ -171,15 +178,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(h[i:i + BATCH_ROWS]), pa.array(d[i:i + BATCH_ROWS])], names=["h", "d"])
 
     emitted = mine.mapInArrow(emit, "h long, d long")
-    shared = emitted.groupBy("h").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("h")
-    wanted = (emitted.join(shared.hint("shuffle_hash"), "h").groupBy(F.col("d").alias("key")).agg(F.collect_list("h").alias("hs")))
+    shared = emitted.groupBy("h").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count("d").alias("n")).where("least < most").select("h", (F.col("n") > HEAVY).alias("heavy"))
+    wanted = (emitted.join(shared.hint("shuffle_hash"), "h").groupBy(F.col("d").alias("key")).agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("heavy"), F.col("h"))).alias("heavy")))
     sharing = rows.join(wanted.hint("shuffle_hash"), F.col("d") == F.col("key"))
 
     def passages(batches):
         hasher = word_hasher()
         for b in batches:
             out: list[tuple] = []
-            for text, d, hs in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "d", "hs"))):
+            for text, d, hs, heavy in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "d", "hs", "heavy"))):
                 words = _words(text)
                 v = window_keys(words, hasher, window).view(np.int64)
                 if not len(v):
@@ -187,24 +194,43 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 t = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
                 starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
                 ends = np.append(starts[1:], len(v)) + window - 1
+                heavy, places = set(heavy), {}  # a document sends a window once, with all its places
                 use = np.isin(v[starts], np.array(hs, np.int64))
                 for h, i, j in zip(v[starts[use]].tolist(), starts[use].tolist(), ends[use].tolist()):
-                    out.append((h, d, t, i, b" ".join(words[i:j])))
+                    if h not in heavy:
+                        out.append((h, 0, d, t, [i], b" ".join(words[i:j])))
+                        continue
+                    for k in range(i, j - window + 1):
+                        places.setdefault((h, b" ".join(words[k:k + window])), []).append(k)
+                out += [(h, xxhash.xxh64_intdigest(w) - (1 << 63), d, t, at, w) for (h, w), at in places.items()]
                 if len(out) >= BATCH_ROWS:
                     yield _batch(out, PASSAGE)
                     out = []
             if out:
                 yield _batch(out, PASSAGE)
 
-    met = sharing.mapInArrow(passages, "h long, d long, t long, at int, words binary").repartition("h").sortWithinPartitions("h", "d")
+    return sharing.mapInArrow(passages, "h long, part long, d long, t long, at array<int>, words binary")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """rest (struct of the row's other columns), text (kept words joined by a space; null stays null), n_words, n_removed."""
+    rows = _packed(docs)
+    firsts = _firsts(rows)
+    met = passages_to_meet(rows, firsts, window).repartition("h", "part").sortWithinPartitions("h", "part", "d")
 
     def judge(batches):
         key, shard, out = None, None, []
         for b in batches:
-            for h, d, t, at, words in zip(*(c.to_pylist() for c in b.columns)):
-                if h != key:
-                    key, shard = h, Shard(window)
-                out += [(d, t, at + x, at + y) for x, y in shard.covered(d, words)]
+            for h, part, d, t, at, words in zip(*(c.to_pylist() for c in b.columns)):
+                if (h, part) != key:
+                    key, shard = (h, part), Shard(window)
+                end = -1
+                for x, y in ((a + x, a + y) for spans in [shard.covered(d, words)] for a in at for x, y in spans):
+                    if x <= end:
+                        out[-1] = (d, t, out[-1][2], y)
+                    else:
+                        out.append((d, t, x, y))
+                    end = y
                 if len(out) >= BATCH_ROWS:
                     yield _batch(out, COVERED)
                     out = []
@@ -243,7 +269,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return final.mapInArrow(cut, schema)
 
 
-PASSAGE = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("at", pa.int32()), ("words", pa.binary())])
+PASSAGE = pa.schema([("h", pa.int64()), ("part", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("at", pa.list_(pa.int32())), ("words", pa.binary())])
 COVERED = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("from", pa.int32()), ("to", pa.int32())])
 
 
