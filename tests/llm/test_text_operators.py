@@ -79,6 +79,25 @@ def test_forward_backward_equals_enumeration():
         at += n
 
 
+def test_pair_marginals_equal_enumeration():
+    import itertools
+    rng = np.random.default_rng(1)
+    moves, lengths = 2 * rng.normal(size=(3, 3)).astype(np.float32), np.array([2, 1, 5])
+    scored = rng.normal(size=(8, 3)).astype(np.float32)
+    _, words, got = crf.pair_marginals(scored, lengths, moves)
+    want, at = [], 0
+    for n in lengths:
+        pair = np.zeros((n - 1, 3, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            p = np.exp(sum(scored[at + t, k] for t, k in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+            for t, (a, b) in enumerate(zip(path, path[1:])):
+                pair[t, a, b] += p
+        want += [x / x.sum() for x in pair]
+        at += n
+    assert words.tolist() == [0, 3, 4, 5, 6]
+    np.testing.assert_allclose(got, np.array(want), atol=1e-5)
+
+
 def test_code_switched_words_and_undetermined_texts(spark, docs_of):
     rows = [(" ".join(["alfa bravo charlie delta echo"] * 9), "a"), (" ".join(["uno dos tres cuatro cinco"] * 9), "b")]
     model = crf.train(rows)

@@ -62,8 +62,9 @@ def scores(words: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def marginals(scored: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Forward-backward over sequences laid end to end; all sequences advance together, longest first."""
+def marginals(scored: np.ndarray, lengths: np.ndarray, moves: np.ndarray, ahead: np.ndarray | None = None, behind: np.ndarray | None = None) -> np.ndarray:
+    """Forward-backward over sequences laid end to end; all sequences advance together, longest first. `ahead` and `behind`
+    take the scaled forward and backward messages."""
     e = np.exp(scored - scored.max(axis=1, keepdims=True)).astype(np.float32)
     a = np.exp(moves - moves.max()).astype(np.float32)
     order = np.argsort(-lengths, kind="stable")
@@ -78,12 +79,16 @@ def marginals(scored: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.
         state = e[i] if state is None else (state[:k] @ a) * e[i] + tiny
         state /= state.sum(axis=1, keepdims=True)
         out[i] = state
+    if ahead is not None:
+        ahead[:] = out
     later = np.zeros((0, e.shape[1]), np.float32)
     for t in range(len(alive) - 1, -1, -1):
         i = at[:alive[t]] + t
         if len(i) > len(later):
             later = np.concatenate([later, np.ones((len(i) - len(later), e.shape[1]), np.float32)])
         out[i] *= later
+        if behind is not None:
+            behind[i] = later
         later = (e[i] * later) @ a.T + tiny
         later /= later.sum(axis=1, keepdims=True)
     out += tiny
@@ -91,6 +96,18 @@ def marginals(scored: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.
     return out
 
 
+def pair_marginals(scored: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """marginals(), the words that have a next one in their sequence, and their label pairs' probabilities, word x label x label."""
+    ahead, behind = np.empty(scored.shape, np.float32), np.empty(scored.shape, np.float32)
+    p = marginals(scored, lengths, moves, ahead, behind)
+    last = np.zeros(len(scored), bool)
+    last[np.cumsum(lengths) - 1] = True
+    i = np.flatnonzero(~last)
+    entered = np.exp(scored[i + 1] - scored[i + 1].max(axis=1, keepdims=True)) * behind[i + 1]
+    pair = ahead[i][:, :, None] * np.exp(moves - moves.max())[None] * entered[:, None, :] + np.float32(1e-30)
+    return p, i, pair / pair.sum(axis=(1, 2), keepdims=True)
+
+
 def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
     """Fits on (text, label) rows; sequences mix pieces of random documents of random labels."""
     labels = sorted({lab for _, lab in rows})
@@ -134,15 +151,10 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
             rows_of = np.repeat(np.arange(len(words)), [len(f) for f in feats])
             starts = np.cumsum([0] + [len(f) for f in feats[:-1]])
             e = np.add.reduceat(model.weights[flat], starts, axis=0)
-            p = marginals(e, np.full(len(words) // SEQUENCE, SEQUENCE), model.moves)
+            p, i, pair = pair_marginals(e, np.full(len(words) // SEQUENCE, SEQUENCE), model.moves)
             diff = -p
             diff[np.arange(len(words)), y] += 1
             grad = np.stack([np.bincount(flat, diff[rows_of, k], 1 << SPACE_BITS) for k in range(n)], axis=1) / BATCH
-            # pair marginals from neighbouring word marginals and the transition
-            inner = np.arange(len(words)) % SEQUENCE != SEQUENCE - 1
-            i = np.flatnonzero(inner)
-            pair = p[i][:, :, None] * p[i + 1][:, None, :] * np.exp(model.moves)[None]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
             want = np.zeros((n, n), np.float32)
             np.add.at(want, (y[i], y[i + 1]), 1)
             move = (want - pair.sum(axis=0)) / BATCH
