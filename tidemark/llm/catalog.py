@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, crf, decontaminate, licences, minhash, perspectives, simhash, substrings, urls, wordpiece
+from tidemark.llm import bpe, crf, decontaminate, hilbert, licences, minhash, perspectives, simhash, substrings, urls, wordpiece
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), vocabulary_path(), with_ids=False)
 
 
+def op13_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return hilbert.shard(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_crf_language, op2_perspectives, op3_prefix_decontamination, op4_licence_scan, op5_ball_simhash, op6_substring_dedup,
-    op7_minhash, op8_url_templates, op9_wordpiece_counts, op10_tree_bpe)}
+    op7_minhash, op8_url_templates, op9_wordpiece_counts, op10_tree_bpe, op13_hilbert_shards)}

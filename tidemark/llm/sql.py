@@ -1,5 +1,6 @@
 """DuckDB SQL of the text queries that SQL can express."""
 
+from tidemark.llm.hilbert import BITS, DIMENSIONS, SHARDS, curve_table
 from tidemark.llm.urls import DEPTH, LIMIT, RULES, SHARE, STRENGTH
 
 WORD3 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,4 +84,40 @@ from split s join t{DEPTH + 1} t on s.host = t.host and s.g = t.g join judged j
 """
 
 
-ORACLES = {"op2_perspectives": OP2, "op3_prefix_decontamination": OP3, "op6_substring_dedup": OP6, "op8_url_templates": op8()}
+#: CTE `crc` with the table of CRC-32, and the checksum of a text expression by it.
+CRC_TABLE = "crc as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as crc)"
+
+
+def crc32(text: str) -> str:
+    digits = f"hex({text})"
+    octets = f"list_transform(range(length({digits}) // 2), lambda i: cast('0x' || substr({digits}, 2 * i + 1, 2) as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def op13() -> str:
+    names = ["size", *DIMENSIONS]
+    table, n = curve_table(len(names)), len(names)
+    corners = ", ".join(" + ".join(f"((l_{d} >> {i} & 1) << {j})" for j, d in enumerate(names)) for i in reversed(range(BITS)))
+    sql = f"""
+with {CRC_TABLE},
+c as (select doc_id, lang, source, octet_length(encode(coalesce(text, ''))) + 8 as size, {crc32("coalesce(text, '')")} as text_crc32 from documents, crc),
+ends as (select {", ".join(f"min(hex({d})) filter ({d} <> '') as a_{d}, max(hex({d})) filter ({d} <> '') as b_{d}" for d in DIMENSIONS)} from c),
+heads as (select {", ".join(f"coalesce(len(list_filter(range(1, length(a_{d}) + 1), lambda i: left(a_{d}, i) = left(b_{d}, i))), 0) as h_{d}" for d in DIMENSIONS)} from ends),
+b as (select c.*, (length(bin(size)) - 1) * 16 + (((size << 4) >> (length(bin(size)) - 1)) & 15) as b_size, {", ".join(f"substr(hex(coalesce({d}, '')), h_{d} + 1, 4) as b_{d}" for d in DIMENSIONS)} from c, heads)"""
+    for d in names:
+        sql += f""",
+n_{d} as (select b_{d}, count(*) as n from b group by 1),
+v_{d} as (select b_{d}, cast(floor(coalesce(sum(n) over (order by b_{d} rows between unbounded preceding and 1 preceding), 0) * {1 << BITS} / sum(n) over ()) as bigint) as l_{d} from n_{d})"""
+    return sql + f""",
+l as (select b.*, {", ".join(f"l_{d}" for d in names)} from b {" ".join(f"join v_{d} using (b_{d})" for d in names)}),
+t as (select {table} as t),
+h as (select l.*, list_reduce([0, {corners}], lambda a, x: ((((a >> 5) << {n}) + (t[(a & 31) * {1 << n} + x + 1] & {(1 << n) - 1})) << 5) + (t[(a & 31) * {1 << n} + x + 1] >> {n})) >> 5 as curve from l, t),
+k as (select h.*, {crc32("concat_ws('/', cast(doc_id as varchar), cast(text_crc32 as varchar))")} as k from h, crc),
+p as (select *, count(*) over () as n, row_number() over (order by curve, k, doc_id nulls first, text_crc32, size, {", ".join(f"{d} nulls first" for d in DIMENSIONS)}) - 1 as pos from k),
+s as (select *, pos * {SHARDS} // n as shard from p)
+select doc_id, cast(size as bigint) as size, text_crc32, 'rows' as law, cast(shard as integer) as shard, cast(pos - ceil(shard * n / {SHARDS}) as bigint) as slot, cast(null as integer) as grown_shard, curve from s
+"""
+
+
+ORACLES = {"op2_perspectives": OP2, "op3_prefix_decontamination": OP3, "op6_substring_dedup": OP6, "op8_url_templates": op8(),
+           "op13_hilbert_shards": op13()}

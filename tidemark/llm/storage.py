@@ -27,3 +27,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new name for one run's tables."""
     return f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read again, so later stages neither recompute it nor depend on
+    the executors that made it."""
+    path = f"{shared_folder(df.sparkSession)}-{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
