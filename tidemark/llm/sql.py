@@ -119,5 +119,27 @@ select doc_id, cast(size as bigint) as size, text_crc32, 'rows' as law, cast(sha
 """
 
 
+OP11 = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+least as (select text, min(doc_id) as o from d group by text),
+lab as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id),
+m as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+        100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(o < d.doc_id, false)] as f
+      from d join least using (text) left join lab on lab.doc_id = d.doc_id),
+c as (select part, f, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, unnest([1, 2, 3, 4, 5]) as step from o),
+g as (select c.*, filter_order, step, f[ascii(filter_order[step]) - 64] as own, list_contains(list_transform(range(1, step), lambda i: f[ascii(filter_order[i]) - 64]), true) as earlier,
+        len(list_filter(f, lambda x: x)) as fails from c, s),
+a as (select part, filter_order, step, filter_order[step] as letter, coalesce(sum(n) filter (not own and not earlier), 0) as kept, coalesce(sum(n) filter (own and not earlier), 0) as removed,
+        coalesce(sum(n) filter (own and earlier), 0) as redundant, coalesce(sum(n) filter (own and fails = 1), 0) as unique_fails,
+        coalesce(sum(good) filter (own and not earlier), 0) as good_lost, coalesce(sum(toxic) filter (own and not earlier), 0) as toxic_lost from g group by all)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, letter) as bigint) as shapley from a
+"""
+
+
 ORACLES = {"op2_perspectives": OP2, "op3_prefix_decontamination": OP3, "op6_substring_dedup": OP6, "op8_url_templates": op8(),
-           "op13_hilbert_shards": op13()}
+           "op11_filter_audit": OP11, "op13_hilbert_shards": op13()}
