@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audit, bpe, crf, decontaminate, hilbert, licences, minhash, perspectives, simhash, substrings, urls, wordpiece
+from tidemark.llm import audit, bpe, crf, decontaminate, hilbert, licences, minhash, perspectives, simhash, substrings, trie, urls, wordpiece
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,10 +67,14 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op13_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.shard(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_crf_language, op2_perspectives, op3_prefix_decontamination, op4_licence_scan, op5_ball_simhash, op6_substring_dedup,
-    op7_minhash, op8_url_templates, op9_wordpiece_counts, op10_tree_bpe, op11_filter_audit, op13_hilbert_shards)}
+    op7_minhash, op8_url_templates, op9_wordpiece_counts, op10_tree_bpe, op11_filter_audit, op12_prefix_trie, op13_hilbert_shards)}

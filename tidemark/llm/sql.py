@@ -141,5 +141,26 @@ select part, filter_order, cast(step as integer) as step, cast(kept as bigint) a
 """
 
 
+OP12 = f"""
+with {CRC_TABLE},
+t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as i
+  from conversations where conv_id is not null),
+c as (select distinct conv_id, {crc32("cast(conv_id as varchar)")} % 4 as h from t, crc),
+r as (select c.conv_id, i as o, role, text from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and i <= h union all select c.conv_id, 4 + i, role, text from c join t using (conv_id) where i > h),
+q as (select conv_id, role, text, row_number() over (partition by conv_id order by o) as d from r),
+s as (select conv_id, d, text, string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '' order by d) over (partition by conv_id order by d rows unbounded preceding) as k from q),
+m as (select conv_id, d, text, sha256(k) as k from s union all select conv_id, 0, '', '' from c),
+p as (select m.*, coalesce(lag(k) over w, '') as pk, d = max(d) over (partition by conv_id) as last from m window w as (partition by conv_id order by d)),
+n as (select d, k, min(pk) as pk, min(conv_id) as conv_id, count(*) as n, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (last) as ends,
+        any_value(len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) as w from p group by d, k),
+kids as (select d - 1 as d, pk as k, count(*) as kids from n where d > 0 group by all),
+f as (select n.*, coalesce(kids, 0) as kids from n left join kids using (d, k)),
+up as (select distinct x.d, x.k, y.d as yd, y.k as yk from p x join p y on x.conv_id = y.conv_id and y.d >= x.d),
+below as (select up.d, up.k, sum((f.n - 1) * f.w) as saved, count(*) filter (f.kids = 0) as leaves from up join f on f.d = up.yd and f.k = up.yk group by all)
+select f.conv_id, f.d as depth, case when f.d > 0 then a.conv_id end as parent_conv_id, f.n as n_convs, f.kids as n_children, b.leaves as n_leaves, cast(b.saved as bigint) as saved_tokens, sha256(coalesce(f.ends, '')) as ends_sha256
+from f join below b using (d, k) left join f a on a.d = f.d - 1 and a.k = f.pk
+"""
+
+
 ORACLES = {"op2_perspectives": OP2, "op3_prefix_decontamination": OP3, "op6_substring_dedup": OP6, "op8_url_templates": op8(),
-           "op11_filter_audit": OP11, "op13_hilbert_shards": op13()}
+           "op11_filter_audit": OP11, "op12_prefix_trie": OP12, "op13_hilbert_shards": op13()}
