@@ -123,7 +123,8 @@ def possible_repeats(rows: DataFrame, hash_name: str, bound: int = BROADCAST_BYT
     bits, regions = sketch_size(rows.count(), region_bits)
     seen = sketch(rows.select(hash_name), bits, regions)
     schema = StructType([*rows.schema.fields]).add("maybe", "boolean")
-    at = rows.columns.index(hash_name)
+    names = list(rows.columns)
+    at, width = names.index(hash_name), len(names)
 
     if regions << bits >> 3 <= bound:
         merged = np.zeros((regions, 1 << bits >> 3), np.uint8)
@@ -142,19 +143,19 @@ def possible_repeats(rows: DataFrame, hash_name: str, bound: int = BROADCAST_BYT
     def regional(batches):
         for b in batches:
             region, _ = places(b.column(at).to_numpy(zero_copy_only=False), bits, regions)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(region, pa.int64())], names=[*rows.columns, "region"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(region, pa.int64())], names=[*names, "region"])
 
     placed = rows.mapInArrow(regional, StructType([*rows.schema.fields]).add("region", "long"))
     loads = placed.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / region_rows).alias("parts"))
     near = placed.join(loads, "region").withColumn("part_no", F.pmod("row", "parts")).drop("parts").withColumn("seen", F.lit(None).cast("binary"))
-    tables = seen.join(loads, "region").select("region", "seen", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long").alias("part_no"))
+    tables = seen.join(loads, "region").select("region", "seen", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part_no"))
     met = near.unionByName(tables, allowMissingColumns=True).repartition("region", "part_no").sortWithinPartitions("region", "part_no", F.col("seen").isNull())
-    met = met.select(*rows.columns, "region", "seen")
+    met = met.select(*names, "region", "seen")
 
     def streamed(batches):
         table = None
         for b in batches:
-            seen_col = b.column(len(rows.columns) + 1)
+            seen_col = b.column(width + 1)
             heads = np.flatnonzero(seen_col.is_valid().to_numpy(zero_copy_only=False)).tolist()
             for a, z in zip([-1, *heads], [*heads, b.num_rows]):
                 if a >= 0:
@@ -162,7 +163,7 @@ def possible_repeats(rows: DataFrame, hash_name: str, bound: int = BROADCAST_BYT
                 if z > a + 1:
                     part = b.slice(a + 1, z - a - 1)
                     _, slots = places(part.column(at).to_numpy(zero_copy_only=False), bits, regions)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:len(rows.columns)], pa.array(_again(table, slots))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(_again(table, slots))], names=schema.names)
 
     return met.mapInArrow(streamed, schema)
 
