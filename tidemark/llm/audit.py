@@ -173,6 +173,7 @@ def repeats(rows: DataFrame, **sizes) -> DataFrame:
     tested = stored(possible_repeats(rows, "h", **sizes), "tested")
     maybe = tested.where("maybe")
     least = maybe.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "least")
+    least = stored(least, "least")  # a plain exchange on both sides of the join lets the adaptive plan split a hot text
     found = maybe.join(least, "digest", "left").withColumn("again", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
     return found.select(*rows.columns, "again").unionByName(tested.where("not maybe").select(*rows.columns, F.lit(False).alias("again")))
 
