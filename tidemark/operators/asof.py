@@ -7,18 +7,34 @@ mentions, picks) are reduced to distinct (key, day) first and joined back by equ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 
+def day_slots(spark: SparkSession, dates: Column) -> Column:
+    """For every day after the first date of a calendar: the number of the first date on or after it. One array of as many
+    entries as the calendar has days, looked up by date arithmetic."""
+    days = spark.range(1).select(dates.alias("c")).select(F.expr("""flatten(transform(
+        slice(sequence(0, size(c)), 2, greatest(size(c) - 1, 0)), i -> array_repeat(i, datediff(c[i], c[i - 1]))))"""))
+    return days.scalar()
+
+
 def on_dates(obs: DataFrame, key: str, ts: str, dates: Column, out: str = "asof") -> DataFrame:
-    """Last observation at or before each date of a calendar (a sorted array column).
+    """Last observation at or before each date of a calendar (a sorted array column). (key, ts) is unique.
 
-    Each observation is valid until the next one of its key; the dates inside that interval are
-    exploded from it. One shuffle by key, no calendar join.
+    A day belongs to the slot of the first calendar date on or after it. The last row of each (key, slot) is taken by an
+    aggregate that is combined before the shuffle; only those few rows are then filled forward over empty slots.
     """
-    w = W.partitionBy(key).orderBy(ts)
-    return _explode_validity(obs, F.lead(ts).over(w), ts, dates, out)
+    rest = [c for c in obs.columns if c not in (key, ts)]
+    first = obs.sparkSession.range(1).select(F.get(dates, F.lit(0))).scalar()
+    after = F.datediff(F.col(ts), first)
+    slot = F.when(after <= 0, F.lit(0)).otherwise(F.get(day_slots(obs.sparkSession, dates), after - 1))
+    per = (obs.withColumn("_slot", slot).where("_slot IS NOT NULL").groupBy(key, "_slot")
+           .agg(F.max(ts).alias(ts), *[F.max_by(F.col(f"`{c}`"), F.col(ts)).alias(c) for c in rest]))
+    nxt = F.lead("_slot").over(W.partitionBy(key).orderBy("_slot"))
+    filled = per.withColumn("_next", nxt).withColumn("_cal", dates)
+    span = F.slice("_cal", F.col("_slot") + 1, F.coalesce("_next", F.size("_cal")) - F.col("_slot"))
+    return filled.select(*[F.col(f"`{c}`") for c in obs.columns], F.explode(span).alias(out))
 
 
 def _explode_validity(obs: DataFrame, nxt: Column, ts: str, dates: Column, out: str) -> DataFrame:
