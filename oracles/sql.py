@@ -743,23 +743,38 @@ def _close(d: str) -> str:
     return f"(SELECT ticker, arg_max(close_adj, date) AS price FROM prices WHERE date <= {d} GROUP BY 1)"
 
 
+# runs in turn: a batch stays unless the next run is near, and settles at the first run after its holding time
+cte("led_runs", f"""
+SELECT r.asof, d.price_date, r.asof - d.price_date AS lag, r.asof - d.price_date <= {P.max_price_lag_days} AS fresh
+FROM (SELECT DISTINCT asof FROM current_rows) r ASOF LEFT JOIN (SELECT DISTINCT date AS price_date FROM prices) d ON r.asof >= d.price_date
+""")
+cte("led_cal", f"""
+SELECT r.*, (SELECT min(n.asof) FROM led_runs n WHERE n.fresh AND n.asof > r.asof) AS next_run, (SELECT min(n.asof) FROM led_runs n WHERE n.fresh AND n.asof >= r.asof + {P.min_hold_days}) AS exit_run FROM led_runs r
+""")
+cte("led_px", "SELECT t.ticker, r.asof, p.close_adj AS price FROM (SELECT DISTINCT ticker FROM prices) t CROSS JOIN led_runs r ASOF JOIN (SELECT * FROM prices WHERE close_adj IS NOT NULL) p ON p.ticker = t.ticker AND r.asof >= p.date")
 cte("cyc", f"""
-SELECT s.asof, s.rule, s.rank, s.ticker, s.score, a.price AS entry_price, {D1} AS exit_asof, b.price AS exit_price, round_even((b.price / a.price - 1) * 100e0, 2) AS ret_pct
-FROM led_sel s LEFT JOIN {_close(D0)} a ON a.ticker = s.ticker LEFT JOIN {_close(D1)} b ON b.ticker = s.ticker WHERE s.asof = {D0}
-UNION ALL SELECT s.asof, s.rule, s.rank, s.ticker, s.score, b.price, NULL, NULL, NULL FROM led_sel s LEFT JOIN {_close(D1)} b ON b.ticker = s.ticker WHERE s.asof = {D1}
+SELECT s.*, a.price AS entry_price, x.exit_asof, b.price AS exit_price, round_even((b.price / a.price - 1) * 100e0, 2) AS ret_pct
+FROM led_sel s JOIN (SELECT * FROM led_cal WHERE fresh AND (next_run IS NULL OR next_run - asof >= {P.min_hold_days})) c ON c.asof = s.asof
+LEFT JOIN led_px a ON a.ticker = s.ticker AND a.asof = s.asof,
+LATERAL (SELECT CASE WHEN c.exit_run IS NULL THEN NULL WHEN a.price IS NOT NULL THEN c.exit_run ELSE (SELECT max(asof) FROM led_runs WHERE fresh) END AS exit_asof) x
+LEFT JOIN led_px b ON b.ticker = s.ticker AND b.asof = x.exit_asof
 """)
 BODY["ledger_cycle"] = "SELECT * FROM cyc"
 cte("led_diff", "SELECT asof, avg(CASE WHEN rev_growth_q_of_4 >= 3 THEN 1e0 ELSE 0e0 END) AS diffusion, count(*) AS n FROM current_rows WHERE strategy = 'growth' GROUP BY 1")
 BODY["diffusion"] = "SELECT * FROM led_diff"
-BODY["month_close"] = f"""
-SELECT {D0} AS asof, {D1} AS exit_asof, {D1} - {D0} AS days, bench_eq, bench_cap, n_universe, (SELECT round_even(diffusion * 100e0, 1) FROM led_diff WHERE asof = {D0}) AS diffusion,
- {', '.join(f"(SELECT round_even(avg(ret_pct), 2) FROM cyc WHERE rule = '{n}' AND ret_pct IS NOT NULL) AS {n}" for n in _rule)}
-FROM (SELECT round_even(avg(rr), 2) AS bench_eq, round_even(sum(rr * market_cap) / sum(market_cap), 2) AS bench_cap, count(*) AS n_universe FROM (
- SELECT p.market_cap, (b.price / a.price - 1) * 100e0 AS rr FROM panel p LEFT JOIN {_close(D0)} a ON a.ticker = p.ticker LEFT JOIN {_close(D1)} b ON b.ticker = p.ticker WHERE p.asof = {D0}) WHERE rr IS NOT NULL)
-"""
-BODY["scoreboard"] = """
-SELECT rule, (product(1 + v / 100e0) - 1) * 100e0 AS cumulative, avg(v) AS mean, avg(v - eq) AS vs_bench, count(*) FILTER (WHERE v > eq) AS wins, count(*) AS months, max(v) AS best, min(v) AS worst FROM (
- SELECT s.rule, s.asof, avg(ret_m) AS v, any_value(b.eq) AS eq FROM led_sel s JOIN monthly_returns r ON r.asof = s.asof AND r.ticker = s.ticker JOIN bench b ON b.asof = s.asof GROUP BY 1, 2) GROUP BY 1
+BODY["run_dates"] = "SELECT * FROM led_cal"
+_means = ", ".join(f"round_even(avg(ret_pct) FILTER (WHERE rule = '{n}'), 2) AS {n}" for n in _rule)
+cte("led_months", f"""
+SELECT r.*, r.exit_asof - r.asof AS days, m.bench_eq, m.bench_cap, m.n_universe, (SELECT round_even(d.diffusion * 100e0, 1) FROM led_diff d WHERE d.asof = r.asof) AS diffusion
+FROM (SELECT asof, exit_asof, {_means} FROM cyc WHERE ret_pct IS NOT NULL GROUP BY 1, 2) r
+JOIN (SELECT asof, round_even(avg(rr), 2) AS bench_eq, round_even(sum(rr * market_cap) / sum(market_cap), 2) AS bench_cap, count(*) AS n_universe FROM (
+ SELECT p.asof, p.market_cap, (b.price / a.price - 1) * 100e0 AS rr FROM panel p JOIN led_cal c ON c.asof = p.asof
+ JOIN led_px a ON a.ticker = p.ticker AND a.asof = p.asof JOIN led_px b ON b.ticker = p.ticker AND b.asof = c.exit_run) WHERE rr IS NOT NULL AND market_cap IS NOT NULL GROUP BY 1) m ON m.asof = r.asof
+""")
+BODY["month_close"] = "SELECT * FROM led_months"
+BODY["scoreboard"] = f"""
+SELECT rule, (product(1 + v / 100e0) - 1) * 100e0 AS cumulative, avg(v) AS mean, avg(v - bench_eq) AS vs_bench, count(*) FILTER (WHERE v > bench_eq) AS wins, count(*) AS months, max(v) AS best, min(v) AS worst
+FROM (UNPIVOT (SELECT asof, bench_eq, {', '.join(_rule)} FROM led_months) ON {', '.join(_rule)} INTO NAME rule VALUE v) GROUP BY 1
 """
 
 # ---- data quality ---------------------------------------------------------------------------------------------

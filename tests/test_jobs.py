@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark import spec
@@ -153,7 +154,7 @@ def test_affiliate_is_not_an_analyst(spark):
 
 
 def test_ledger_is_idempotent_within_a_month(spark):
-    px = spark.createDataFrame([("a", day("2026-09-04"), 10.0), ("a", day("2026-10-02"), 12.0)], "ticker string, date date, close_adj double")
+    px = spark.createDataFrame([("a", day("2026-09-04"), 10.0), ("a", day("2026-10-02"), 12.0), *(("b", day(f"2026-09-{d}"), 1.0) for d in ("11", "18"))], "ticker string, date date, close_adj double")
     pick = spark.createDataFrame([("growth_mix", 1, "a", "A", 80.0)], "rule string, rank int, ticker string, name string, score double")
     empty = spark.createDataFrame([], ledger.LEDGER_SCHEMA)
     on = lambda s: F.lit(day(s))
@@ -168,6 +169,48 @@ def test_ledger_is_idempotent_within_a_month(spark):
     assert again.where("ret_pct = 20").count() == 1    # settled rows never change
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_book_of_all_runs_equals_one_run_after_the_other(spark, seed):
+    rnd = random.Random(seed)
+    start = day("2026-01-05")
+    on = lambda d: start + dt.timedelta(days=d)
+    runs = sorted({rnd.randrange(0, 300) for _ in range(9)} | {20, 23, 60, 61})
+    closed = range(rnd.randrange(100, 200), 220)  # no prices at all: runs in there are stale
+    prices = [(t, on(d), rnd.choice([None, 10.0, 11.0, 12.5])) for t in "abcd" for d in range(-5, 300, rnd.choice([2, 3])) if d not in closed and not (t == "d" and d < 150)]
+    picks = [(on(r), rule, i + 1, t, t.upper(), 50.0 + i) for r in runs for rule in ("growth_mix", "pbr_only") for i, t in enumerate(rnd.sample("abcde", 3))]
+    px = spark.createDataFrame(prices, "ticker string, date date, close_adj double")
+    sel = spark.createDataFrame(picks, "asof date, rule string, rank int, ticker string, name string, score double")
+    runs_at = ledger.run_dates(spark.createDataFrame([(on(r),) for r in runs], "asof date"), px, P)
+    got = sorted(map(str, ledger.book(sel, px, runs_at, P).collect()))
+    close, led, stale = {}, [], set()
+    for r in runs:
+        known = [x for x in prices if x[1] <= on(r)]
+        if not known or (on(r) - max(x[1] for x in known)).days > P.max_price_lag_days:
+            stale.add(on(r))
+            continue
+        close = {t: x for t, _, x in sorted(known, key=lambda x: x[1]) if x is not None}
+        for row in led:  # settle, then record
+            if row[9] is None and (on(r) - row[0]).days >= P.min_hold_days:
+                row[7], row[8] = on(r), close.get(row[3])
+                if row[6] is not None and row[8] is not None:
+                    row[9] = round((row[8] / row[6] - 1) * 100, 2)
+        led = [x for x in led if x[9] is not None or abs((on(r) - x[0]).days) >= P.min_hold_days]
+        led += [[*x, close.get(x[3]), None, None, None] for x in picks if x[0] == on(r)]
+    assert {r["asof"] for r in runs_at.where("not fresh").collect()} == stale
+    names = ledger.book(sel, px, runs_at, P).columns
+    want = sorted(str(Row(*names)(*x)) for x in led)
+    assert got == want
+
+
+def test_stale_prices_record_nothing(spark):
+    px = spark.createDataFrame([("a", day("2026-09-04"), 10.0)], "ticker string, date date, close_adj double")
+    pick = spark.createDataFrame([("growth_mix", 1, "a", "A", 80.0)], "rule string, rank int, ticker string, name string, score double")
+    empty = spark.createDataFrame([], ledger.LEDGER_SCHEMA)
+    for step in (lambda: ledger.record(empty, pick, px, F.lit(day("2026-09-12")), P), lambda: ledger.settle(empty, px, F.lit(day("2026-10-12")), P)):
+        with pytest.raises(ledger.StalePrices):
+            step()
+
+
 def test_freshness_guard(spark):
     px = spark.createDataFrame([("a", day("2026-09-04"), 10.0)], "ticker string, date date, close_adj double")
     assert ledger.check_fresh(px, "2026-09-11", P) == 7

@@ -664,17 +664,12 @@ def _(w):
     return _selections(w)
 
 
-def _day(d: str):
-    return F.lit(d).cast("date")
+def _runs_at(w: Workspace) -> DataFrame:
+    return ledger.run_dates(w.scored.select("asof"), w.prices, w.p)
 
 
-def _cycle(w: Workspace) -> DataFrame:
-    picks = _selections(w)
-    empty = w.spark.createDataFrame([], ledger.LEDGER_SCHEMA)
-    at = lambda d: picks.where(F.col("asof") == _day(d)).drop("asof")
-    book = ledger.record(empty, at(GRADE_DATES[0]), w.prices, _day(GRADE_DATES[0]), w.p)
-    book = ledger.settle(book, w.prices, _day(GRADE_DATES[1]), w.p)
-    return ledger.record(book, at(GRADE_DATES[1]), w.prices, _day(GRADE_DATES[1]), w.p)
+def _book(w: Workspace) -> DataFrame:
+    return ledger.book(_selections(w), w.prices, _runs_at(w), w.p)
 
 
 LEDGER = "asof:d rule:s rank:i ticker:s score:f entry_price:f exit_asof:d exit_price:f ret_pct:f"
@@ -682,13 +677,21 @@ LEDGER = "asof:d rule:s rank:i ticker:s score:f entry_price:f exit_asof:d exit_p
 
 @query("ledger_cycle", LEDGER)
 def _(w):
-    return _cycle(w)
+    return _book(w)
+
+
+@query("run_dates", "asof:d price_date:d lag:i fresh:b next_run:d exit_run:d")
+def _(w):
+    return _runs_at(w)
+
+
+def _months(w: Workspace) -> DataFrame:
+    return ledger.months(w.stored(_book(w), "book"), w.prices, _runs_at(w), w.panel.select("asof", "ticker", "market_cap"), _diffusion(w))
 
 
 @query("month_close", "asof:d exit_asof:d days:i bench_eq:f bench_cap:f diffusion:f n_universe:i " + " ".join(f"{r}:f" for r in ledger.RULES))
 def _(w):
-    snap = _two(w)[0].select("ticker", "market_cap")
-    return ledger.close_month(_cycle(w), _day(GRADE_DATES[0]), _day(GRADE_DATES[1]), w.prices, snap, _diffusion(w))
+    return _months(w)
 
 
 def _diffusion(w: Workspace) -> DataFrame:
@@ -702,11 +705,7 @@ def _(w):
 
 @query("scoreboard", "rule:s cumulative:e mean:f vs_bench:f wins:i months:i best:f worst:f")
 def _(w):
-    # month results of every rule from its picks and the monthly returns
-    held = portfolio.legs(_selections(w), w.monthly_returns)
-    m = held.groupBy("asof").pivot("rule", ledger.RULES).agg(F.avg("ret_m"))
-    bench = portfolio.bench_monthly(w.prepared, w.monthly_returns, w.asofs).select("asof", F.col("eq").alias("bench_eq"))
-    return ledger.scoreboard(m.join(bench, "asof"))
+    return ledger.scoreboard(_months(w))
 
 
 # ---- data quality -----------------------------------------------------------------------------------------------------------

@@ -37,18 +37,18 @@ def value_positions(df: DataFrame, keys: list[str], value: str, per_fold: float
     """Per distinct value of a group: rows below it, rows equal to it, rows in all."""
     vals = (df.where(ranked(df, value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
             .withColumn("_bucket", value_bucket(value, per_fold)))
-    in_bucket = (W.partitionBy(*keys, "_bucket").orderBy(value)
-                  .rowsBetween(W.unboundedPreceding, -1))
-    per_bucket = vals.groupBy(*keys, "_bucket").agg(F.sum("_ties").alias("_in_bucket"))
+    # totals of the buckets come from the same exchange as the running counts, so the value counts are made once
+    bucket = W.partitionBy(*keys, "_bucket")
+    inside = F.sum("_ties").over(bucket.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    vals = vals.withColumns({"_inside": inside, "_in_bucket": F.sum("_ties").over(bucket)})
     group = W.partitionBy(*keys)
     lower = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_bucket.select(
+    offsets = vals.where("_inside IS NULL").select(
         *keys, "_bucket",
         F.coalesce(F.sum("_in_bucket").over(lower), F.lit(0)).alias("_lower"),
         F.sum("_in_bucket").over(group).alias("n_ranked"))
-    return (vals.withColumn("_inside", F.coalesce(F.sum("_ties").over(in_bucket), F.lit(0)))
-                .join(offsets, [*keys, "_bucket"])
-                .select(*keys, value, (F.col("_lower") + F.col("_inside")).alias("n_below"),
+    return (vals.join(offsets, [*keys, "_bucket"])
+                .select(*keys, value, (F.col("_lower") + F.coalesce("_inside", F.lit(0))).alias("n_below"),
                         F.col("_ties").alias("n_equal"), "n_ranked"))
 
 

@@ -1,15 +1,17 @@
 """Monthly record and settlement of rule selections, and the revenue diffusion index.
 
-The ledger is a DataFrame in and a DataFrame out; settled rows never change.
+`record` and `settle` are one run; `book` and `months` give the ledger and the closed months of all runs as one plan. The
+ledger is a DataFrame in and a DataFrame out; settled rows never change.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import spec
 from tidemark.functions.exprs import weighted
+from tidemark.operators.asof import on_dates
 from tidemark.operators.ranks import average_rank_pct, top_n
 from tidemark.params import Params
 
@@ -26,9 +28,10 @@ class StalePrices(RuntimeError):
     """Prices are too old for the date; nothing may be recorded or settled."""
 
 
-def check_fresh(prices: DataFrame, asof: str, p: Params) -> int:
+def check_fresh(prices: DataFrame, asof: str | Column, p: Params) -> int:
     """Days between the last price and `asof`; refuses beyond the limit. Reads one value."""
-    row = prices.agg(F.datediff(F.lit(asof).cast("date"), F.max("date")).alias("lag")).first()
+    day = F.lit(asof).cast("date") if isinstance(asof, str) else asof
+    row = prices.agg(F.datediff(day, F.max("date")).alias("lag")).first()
     if row is None or row["lag"] is None:
         raise StalePrices("no prices")
     if row["lag"] > p.max_price_lag_days:
@@ -70,7 +73,8 @@ def selections(scores: DataFrame, n: int) -> DataFrame:
 
 
 def record(ledger: DataFrame, picks: DataFrame, prices: DataFrame, asof: Column, p: Params) -> DataFrame:
-    """Ledger with this month's picks; unsettled rows close to the date are replaced."""
+    """Ledger with this month's picks; unsettled rows close to the date are replaced. Stale prices record nothing."""
+    check_fresh(prices.where(F.col("date") <= asof), asof, p)
     days = F.abs(F.datediff(asof, F.col("asof")))
     kept = ledger.where(~(F.col("ret_pct").isNull() & (days < p.min_hold_days)))
     add = (picks.join(close_at(prices, asof), "ticker", "left")
@@ -81,7 +85,8 @@ def record(ledger: DataFrame, picks: DataFrame, prices: DataFrame, asof: Column,
 
 
 def settle(ledger: DataFrame, prices: DataFrame, asof: Column, p: Params) -> DataFrame:
-    """Closes open rows held long enough; a row without an exit price stays open."""
+    """Closes open rows held long enough; a row without an exit price stays open. Stale prices settle nothing."""
+    check_fresh(prices.where(F.col("date") <= asof), asof, p)
     due = (F.col("ret_pct").isNull() & (F.col("asof") < asof) & (F.datediff(asof, F.col("asof")) >= p.min_hold_days))
     d = ledger.join(close_at(prices, asof), "ticker", "left").withColumn("_due", due)
     d = d.withColumn("exit_asof", F.when(F.col("_due"), asof).otherwise(F.col("exit_asof")))
@@ -91,27 +96,82 @@ def settle(ledger: DataFrame, prices: DataFrame, asof: Column, p: Params) -> Dat
              .select(*ledger.columns))
 
 
+# ---- every month at once ---------------------------------------------------------------------
+def run_dates(runs: DataFrame, prices: DataFrame, p: Params) -> DataFrame:
+    """asof, price_date, lag, fresh, next_run, exit_run of every run date.
+
+    A run whose prices are older than the limit is not fresh: it neither records nor settles. Run dates and price days are
+    one row per day of the calendar, however large the tables are.
+    """
+    days = prices.select("date").distinct().agg(F.sort_array(F.collect_set("date")).alias("d")).scalar()
+    last = lambda cal, t: F.array_max(F.filter(cal, lambda d: d <= F.col(t)))
+    first = lambda cal, t: F.get(F.filter(cal, lambda d: d >= F.col(t)), F.lit(0))
+    d = runs.select("asof").distinct().withColumn("_days", days).withColumn("price_date", last(F.col("_days"), "asof")).drop("_days")
+    d = d.withColumn("lag", F.datediff("asof", "price_date")).withColumn("fresh", F.coalesce(F.col("lag") <= p.max_price_lag_days, F.lit(False)))
+    good = d.where("fresh").agg(F.sort_array(F.collect_set("asof")).alias("r")).scalar()
+    d = d.withColumns({"_runs": good, "_after": F.date_add("asof", 1), "_due": F.date_add("asof", p.min_hold_days)})
+    return d.select("asof", "price_date", "lag", "fresh", first(F.col("_runs"), "_after").alias("next_run"), first(F.col("_runs"), "_due").alias("exit_run"),
+                    F.array_max("_runs").alias("last_run"))
+
+
+def closes_on_runs(runs: DataFrame, prices: DataFrame) -> DataFrame:
+    """(ticker, asof, price): last known close of every ticker at every run date."""
+    cal = runs.agg(F.sort_array(F.collect_set("asof")).alias("r")).scalar()
+    px = prices.where("close_adj IS NOT NULL").select("ticker", "date", "close_adj")
+    return on_dates(px, "ticker", "date", cal).select("ticker", "asof", F.col("close_adj").alias("price"))
+
+
+def book(picks: DataFrame, prices: DataFrame, runs: DataFrame, p: Params) -> DataFrame:
+    """The ledger after settling and recording at every run date in turn, as one plan.
+
+    `runs` is `run_dates`. A batch of picks is replaced if the next fresh run follows within the holding time, since nothing
+    of it can have settled by then; all other batches stay. The last close never vanishes once it is known, so a row with an
+    entry price settles at the first run after its holding time, and one without never does: each run marks it again, and
+    the last run's mark is what remains.
+    """
+    kept = F.col("next_run").isNull() | (F.datediff("next_run", "asof") >= p.min_hold_days)
+    live = runs.where(F.col("fresh") & kept).select("asof", "exit_run", "last_run")
+    px = closes_on_runs(runs, prices)
+    d = picks.join(live, "asof").join(px.withColumnRenamed("price", "entry_price"), ["ticker", "asof"], "left")
+    d = d.withColumn("exit_asof", F.when(F.col("exit_run").isNotNull(), F.when(F.col("entry_price").isNotNull(), F.col("exit_run")).otherwise(F.col("last_run"))))
+    d = d.join(px.select("ticker", F.col("asof").alias("exit_asof"), F.col("price").alias("exit_price")), ["ticker", "exit_asof"], "left")
+    ret = F.bround((F.col("exit_price") / F.col("entry_price") - 1) * 100.0, 2)
+    return d.select("asof", "rule", F.col("rank").cast("int").alias("rank"), "ticker", "name", "score", "entry_price", "exit_asof", "exit_price", ret.alias("ret_pct"))
+
+
+def months(ledger: DataFrame, prices: DataFrame, runs: DataFrame, snapshots: DataFrame, diffusion: DataFrame) -> DataFrame:
+    """One row for every settled month: rule means, two benchmarks, diffusion, universe size.
+
+    `snapshots`: (asof, ticker, market_cap) of the universe at each run date.
+    """
+    done = ledger.where("ret_pct IS NOT NULL")
+    rules = done.groupBy("asof", "exit_asof").pivot("rule", RULES).agg(F.bround(F.avg("ret_pct"), 2))
+    px = closes_on_runs(runs, prices)
+    spans = done.select("asof", "exit_asof").distinct()
+    r = (snapshots.select("asof", "ticker", "market_cap").join(spans, "asof")
+         .join(px.withColumnRenamed("price", "_p0"), ["ticker", "asof"])
+         .join(px.select("ticker", F.col("asof").alias("exit_asof"), F.col("price").alias("_p1")), ["ticker", "exit_asof"])
+         .withColumn("_r", (F.col("_p1") / F.col("_p0") - 1) * 100.0).where("_r IS NOT NULL AND market_cap IS NOT NULL"))
+    bench = r.groupBy("asof").agg(F.bround(F.avg("_r"), 2).alias("bench_eq"),
+                                  F.bround(F.sum(F.col("_r") * F.col("market_cap")) / F.sum("market_cap"), 2).alias("bench_cap"),
+                                  F.count(F.lit(1)).alias("n_universe"))
+    spread = diffusion.select("asof", F.bround(F.col("diffusion") * 100.0, 1).alias("diffusion"))
+    return (rules.join(bench, "asof").join(spread, "asof", "left").withColumn("days", F.datediff("exit_asof", "asof"))
+            .select("asof", "exit_asof", "days", "bench_eq", "bench_cap", "diffusion", "n_universe", *RULES))
+
+
 def close_month(ledger: DataFrame, entry: Column, exit_: Column, prices: DataFrame, snapshot: DataFrame,
                 diffusion: DataFrame) -> DataFrame:
-    """One row for a settled month: rule means, two benchmarks, diffusion, universe size."""
-    r = (snapshot.select("ticker", "market_cap")
-         .join(close_at(prices, entry).withColumnRenamed("price", "_p0"), "ticker", "left")
-         .join(close_at(prices, exit_).withColumnRenamed("price", "_p1"), "ticker", "left")
-         .withColumn("_r", (F.col("_p1") / F.col("_p0") - 1) * 100.0)
-         .where(F.col("_r").isNotNull() & F.col("market_cap").isNotNull()))
-    bench = r.agg(F.bround(F.avg("_r"), 2).alias("bench_eq"),
-                  F.bround(F.sum(F.col("_r") * F.col("market_cap")) / F.sum("market_cap"), 2).alias("bench_cap"),
-                  F.count(F.lit(1)).alias("n_universe"))
-    rules = (ledger.where((F.col("asof") == entry) & F.col("ret_pct").isNotNull())
-             .groupBy("asof").pivot("rule", RULES).agg(F.bround(F.avg("ret_pct"), 2)))
-    one = bench.withColumn("asof", entry).join(diffusion.select("asof", F.bround(F.col("diffusion") * 100.0, 1).alias("diffusion")), "asof", "left")
-    return (rules.join(one, "asof").withColumn("exit_asof", exit_)
-            .withColumn("days", F.datediff("exit_asof", "asof"))
-            .select("asof", "exit_asof", "days", "bench_eq", "bench_cap", "diffusion", "n_universe", *RULES))
+    """The row of one settled month; `snapshot` has no date of its own."""
+    spark = ledger.sparkSession
+    runs = spark.range(1).select(F.explode(F.array(entry, exit_)).alias("asof"))
+    one = ledger.where(F.col("asof") == entry).withColumn("exit_asof", exit_)
+    return months(one, prices, runs, snapshot.withColumn("asof", entry), diffusion)
 
 
 def replace_month(monthly: DataFrame, row: DataFrame) -> DataFrame:
-    return monthly.join(row.select("asof"), "asof", "left_anti").unionByName(row)
+    """Month rows with those of `row` in place of earlier ones of the same date."""
+    return monthly.join(row.select("asof").distinct(), "asof", "left_anti").unionByName(row)
 
 
 def diffusion_index(feats: DataFrame, min_quarters: int = 3) -> DataFrame:
@@ -130,5 +190,3 @@ def scoreboard(monthly: DataFrame) -> DataFrame:
         F.avg(diff).alias("vs_bench"), F.sum((diff > 0).cast("int")).alias("wins"), F.count(F.lit(1)).alias("months"),
         F.max("v").alias("best"), F.min("v").alias("worst"))
 
-
-__all__ = ["record", "settle", "close_month", "scoreboard", "diffusion_index", "selections", "rule_scores", "W"]
