@@ -133,6 +133,45 @@ def test_dedupe_equals_loop(spark, seed):
     assert got == want
 
 
+def test_dedupe_of_one_busy_key_equals_loop(spark):
+    rnd = random.Random(9)
+    base = dt.datetime(2023, 1, 1)
+    seconds = sorted(rnd.sample(range(86400 * 200), 1_500)) + [86400 * 15 - 1, 86400 * 30 - 1, 86400 * 400, 86400 * 415, 86400 * 430 - 1, 86400 * 430]
+    rows = [(i, "t", "a", 100.4, base + dt.timedelta(seconds=x)) for i, x in enumerate(sorted(seconds))]
+    rows += [(10_000 + i, "t", "a", 100.0, rows[5][4]) for i in range(400)] + [(20_000, None, "a", 100.0, base), (20_001, "t", "b", None, base)]
+    d = spark.createDataFrame(rows, "mention_id long, ticker string, broker string, target double, pub timestamp")
+    got = {(r.mention_id, r.copies) for r in consensus.dedupe(d, Params()).where("ticker = 't' AND broker = 'a'").collect()}
+    times, last, want = sorted((r[4], r[0]) for r in rows if r[1] == "t" and r[2] == "a"), None, {}
+    for at, i in times:
+        if last is None or (at - times[last][0]).days > 14:
+            last = next(k for k, x in enumerate(times) if x == (at, i))
+            want[i] = 0
+            current = i
+        want[current] += 1
+    assert got == set(want.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_updates_equal_loop(spark, monkeypatch, seed):
+    monkeypatch.setattr(consensus, "CHUNK", 3)
+    rnd = random.Random(seed)
+    base = dt.datetime(2024, 1, 1)
+    start = {k: rnd.choice([0.0, 50.0, 100.0, 150.0]) for k in "abcdefgh"}
+    rows = [("t", b, base + dt.timedelta(hours=rnd.randrange(200)), i, rnd.choice([0.0] * (b in "ab") + [50.0, 80.0, 100.0, 120.0, 200.0]), rnd.choice([consensus.UP, consensus.DOWN]), start[b])
+            for i in range(400) for b in [rnd.choice("abcdefgh" + "h" * 8)]]
+    got = {r.broker: r.id for r in consensus.confirmed_updates(spark.createDataFrame(rows, "ticker string, broker string, pub timestamp, id long, target double, direction string, base double")).collect()}
+    want = {}
+    for b in start:
+        current, choice = start[b], None
+        for r in sorted((r for r in rows if r[1] == b), key=lambda r: (r[2], r[3])):
+            change = r[4] / current - 1 if current else 0.0
+            if change and (r[5] == consensus.UP) == (change > 0):
+                current, choice = r[4], r[3]
+        if choice is not None:
+            want[b] = choice
+    assert got == want
+
+
 def test_representative_follows_agreeing_direction(spark):
     base = dt.datetime(2024, 1, 1)
     at = lambda d: base + dt.timedelta(days=d)

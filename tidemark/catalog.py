@@ -599,24 +599,24 @@ def _news_asof():
 
 @query("mention_dedupe", "mention_id:i ticker:s broker:s target:f pub:s copies:i")
 def _(w):
-    return consensus.dedupe(w.mentions, w.p)
+    return consensus.dedupe(w.mentions, w.p, store=w.stored)
 
 
 @query("representatives", "mention_id:i ticker:s broker:s target:f direction:s copies:i")
 def _(w):
-    return consensus.representatives(consensus.dedupe(w.mentions, w.p), _news_asof(), w.p)
+    return consensus.representatives(consensus.dedupe(w.mentions, w.p, store=w.stored), _news_asof(), w.p)
 
 
 @query("consensus", "ticker:s n_brokers:i n_foreign:i median_target:f upside:f dispersion:f revision:f")
 def _(w):
-    obs = consensus.dedupe(w.mentions, w.p)
+    obs = consensus.dedupe(w.mentions, w.p, store=w.stored)
     return consensus.aggregate(obs, consensus.last_price(consensus.event_prices(w)), _news_asof(), w.p)
 
 
 def _batch(w: Workspace) -> DataFrame:
     obs = w.mentions.withColumn("link", F.concat(F.lit("n"), F.floor(F.col("mention_id") / 3).cast("string")))
     members = adapters.companies(w.spark, w.folder).unionByName(w.spark.range(1).select(F.lit("999999").alias("ticker"), F.lit("none").alias("name")))
-    return consensus.batch(members, obs, consensus.event_prices(w), _news_asof(), w.p, lambda d: w.stored(d, "marked_mentions"))
+    return consensus.batch(members, obs, consensus.event_prices(w), _news_asof(), w.p, w.stored)
 
 
 @query("consensus_batch", "ticker:s name:s articles:i span_days:i reports:i band_drop:i single:i price:f n_brokers:i n_foreign:i median_target:f upside:f dispersion:f revision:f")

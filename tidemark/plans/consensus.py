@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import backward
 from tidemark.operators.dedupe import keep_last
 from tidemark.operators.ranks import exact_quantiles, value_positions
-from tidemark.operators.scan import ordered_scan
 from tidemark.params import Params
 
+Store = Callable[[DataFrame, str], DataFrame]
+
 # fixed values: direction labels
 UP, DOWN = "상향", "하향"
 ZONE = "Asia/Seoul"
@@ -39,59 +37,88 @@ def distinct_mentions(obs: DataFrame, link: str, tie: str) -> DataFrame:
     return keep_last(d, ["ticker", link, "broker", "_t"], tie).drop("_t")
 
 
-class _Anchors:
-    """Greedy anchors of one partition: a row further than the gap from the last kept row is kept."""
-
-    def __init__(self, gap: int):
-        self.gap, self.key, self.anchor, self.copies = gap, None, 0, 0
-
-    def __call__(self, batch: pd.DataFrame | None):
-        out: list[tuple] = []
-        if batch is None:
-            self._close(out)
-        else:
-            key = batch[["ticker", "broker", "t"]]
-            starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
-            ends = np.append(starts[1:], len(batch))
-            at, n = batch["at"].to_numpy(), batch["n"].to_numpy()
-            for s, e in zip(starts, ends):
-                self._key(tuple(key.iloc[s]), at[s:e], np.cumsum(n[s:e]), out)
-        return pd.DataFrame(out, columns=["ticker", "broker", "t", "at", "copies"])
-
-    def _key(self, key, at, total, out):
-        i, done = 0, 0
-        if key == self.key:
-            i = int(np.searchsorted(at, self.anchor + self.gap))
-            done = int(total[i - 1]) if i else 0
-            self.copies += done
-        while i < len(at):
-            self._close(out)
-            self.key, self.anchor = key, int(at[i])
-            i = int(np.searchsorted(at, self.anchor + self.gap))
-            self.copies, done = int(total[i - 1]) - done, int(total[i - 1])
-
-    def _close(self, out):
-        if self.key is not None:
-            out.append((*self.key, self.anchor, self.copies))
-
-
-def dedupe(obs: DataFrame, p: Params, tie: str = "mention_id") -> DataFrame:
+DAY = 86_400_000_000  # microseconds
+
+
+def sessions(per: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Days of each key with their session: silence of `gap` or more before a day starts a new one, and with it a new anchor.
+
+    keys, day, least, most, n: first and last time and mentions of the day; session, session_end: times of the whole session;
+    next_least, next_day: the following day of the session. A key has one row per day of the calendar.
+    """
+    by_day = per.groupBy(*keys, F.floor(F.col("at") / DAY).alias("day")).agg(F.min("at").alias("least"), F.max("at").alias("most"), F.sum("n").alias("n"))
+    order = W.partitionBy(*keys).orderBy("day")
+    start = F.when(F.coalesce(F.col("least") - F.lag("most").over(order) >= gap, F.lit(True)), F.col("least"))
+    d = by_day.withColumn("_start", start).withColumn("session", F.max("_start").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_start")
+    own = W.partitionBy(*keys, "session")
+    return d.withColumns({"session_end": F.max("most").over(own), "next_least": F.lead("least").over(own.orderBy("day")), "next_day": F.lead("day").over(own.orderBy("day"))})
+
+
+def next_anchors(per: DataFrame, days: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """keys, at, nxt: for every row of `per` in the sessions of `days`, the first row at least `gap` later in its session.
+
+    Rows, probes at `at + gap` and one mark per calendar day that carries the first row of a later day meet by (key, day);
+    read backwards in time, the last row or mark before a probe is its answer. A busy key spreads over its days.
+    """
+    long_ = days.select(*keys, "day", "session", "session_end", "next_least", "next_day")
+    rows = per.withColumn("day", F.floor(F.col("at") / DAY)).join(long_, [*keys, "day"])
+    probes = rows.where(F.col("at") + gap <= F.col("session_end")).select(*keys, "at", (F.col("at") + gap).alias("moment"))
+    probe = probes.select(*keys, F.floor(F.col("moment") / DAY).alias("day"), "moment", F.lit(None).cast("long").alias("hit"), F.col("at").alias("asked"))
+    own = rows.select(*keys, "day", F.col("at").alias("moment"), F.col("at").alias("hit"), F.lit(None).cast("long").alias("asked"))
+    marks = long_.where("next_day IS NOT NULL").select(*keys, F.explode(F.sequence("day", F.col("next_day") - 1)).alias("day"), "next_least")
+    mark = marks.select(*keys, "day", ((F.col("day") + 1) * DAY - 1).alias("moment"), F.col("next_least").alias("hit"), F.lit(None).cast("long").alias("asked"))
+    # at one time: the mark of the day's end is overtaken by a row, and a row answers the probe of its own time
+    rank = F.when(F.col("asked").isNotNull(), 2).when(F.col("hit") == F.col("moment"), 1).otherwise(0)
+    back = W.partitionBy(*keys, "day").orderBy(F.col("moment").desc(), rank).rowsBetween(W.unboundedPreceding, 0)
+    met = own.unionByName(probe).unionByName(mark).withColumn("nxt", F.last("hit", ignorenulls=True).over(back))
+    return met.where("asked IS NOT NULL AND nxt IS NOT NULL").select(*keys, F.col("asked").alias("at"), "nxt")
+
+
+def anchor_times(per: DataFrame, days: DataFrame, keys: list[str], gap: int, store: Store) -> DataFrame:
+    """keys, at: the greedy anchors of all sessions. The first row of a session is one; sessions shorter than the gap have no
+    other. In longer ones pointers to the next anchor are doubled, and the path from the first row is read off them."""
+    firsts = days.where("least = session").select(*keys, F.col("session").alias("at"))
+    long_ = days.where(F.col("session_end") - F.col("session") >= gap)
+    span = long_.agg(F.max(F.col("session_end") - F.col("session"))).first()[0]
+    if span is None:
+        return firsts
+    jumps = [store(next_anchors(per, long_, keys, gap), "next_anchors")]
+    while 1 << len(jumps) <= span // gap:  # two anchors are at least `gap` apart, so the calendar bounds the rounds
+        j = jumps[-1]
+        jumps.append(store(j.join(j.select(*keys, F.col("at").alias("nxt"), F.col("nxt").alias("_far")), [*keys, "nxt"]).select(*keys, "at", F.col("_far").alias("nxt")), "next_anchors"))
+    found = firsts
+    for j in reversed(jumps):
+        found = store(found.unionByName(found.join(j, [*keys, "at"]).select(*keys, F.col("nxt").alias("at"))), "anchors")
+    return found
+
+
+def dedupe(obs: DataFrame, p: Params, tie: str = "mention_id", store: Store = lambda d, _: d) -> DataFrame:
     """Copies of one report: same ticker, broker and rounded target within the gap of the last
     kept mention. Kept rows carry the number of mentions they stand for.
 
-    Mentions of one second collapse before the shuffle, so a key never holds more rows than the
-    clock has seconds; the scan keeps one anchor in memory.
+    Mentions of one second collapse before the shuffle. No task holds a key: sessions come from one row per day, pointers
+    from rows by (key, day). `store(df, name)` writes what is read more than once.
     """
     keys = ["ticker", "broker", "t"]
     rest = [x for x in obs.columns if x not in ("ticker", "broker", "pub")]
     d = obs.withColumn("t", F.bround("target", 0)).withColumn("at", F.unix_micros("pub"))
-    per = d.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"), F.min("pub").alias("pub"),
-                                     F.min_by(F.struct(*rest), tie).alias("_row"))
-    gap = (p.mention_dedupe_days + 1) * 86_400_000_000
-    kept = ordered_scan(per.select(*keys, "at", "n"), keys, ["at"],
-                        "ticker string, broker string, t double, at long, copies long",
-                        partial(_Anchors, gap), finish=True)
-    return (per.join(kept, [*keys, "at"]).select("ticker", "broker", "pub", "_row.*", "copies"))
+    per = store(d.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"), F.min("pub").alias("pub"),
+                                           F.min_by(F.struct(*rest), tie).alias("_row")), "mention_seconds")
+    gap = (p.mention_dedupe_days + 1) * DAY
+    slim = per.select(*keys, "at", "n")
+    days = store(sessions(slim, keys, gap), "mention_days")
+    kept = anchor_times(slim, days, keys, gap, store)
+    # mentions before an anchor: those of earlier days of the key, and the earlier ones of its own day
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ahead = days.select(*keys, "day", before.alias("_ahead"), F.sum("n").over(W.partitionBy(*keys)).alias("_all"))
+    busy = kept.withColumn("day", F.floor(F.col("at") / DAY))
+    inside = W.partitionBy(*keys, "day").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    rows = slim.withColumn("day", F.floor(F.col("at") / DAY)).join(busy.select(*keys, "day").distinct(), [*keys, "day"], "left_semi")
+    rows = rows.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    at = busy.join(rows.select(*keys, "at", "_in"), [*keys, "at"]).join(ahead, [*keys, "day"]).withColumn("_from", F.col("_ahead") + F.col("_in"))
+    order = W.partitionBy(*keys).orderBy("at")  # anchors of a key are `gap` apart
+    copies = at.select(*keys, "at", (F.coalesce(F.lead("_from").over(order), F.col("_all")) - F.col("_from")).alias("copies"))
+    return (per.join(copies, [*keys, "at"]).select("ticker", "broker", "pub", "_row.*", "copies"))
 
 
 def band_filter(obs: DataFrame, prices: DataFrame, p: Params, keep_all: bool = False) -> DataFrame:
@@ -104,30 +131,54 @@ def band_filter(obs: DataFrame, prices: DataFrame, p: Params, keep_all: bool = F
     return d if keep_all else d.where("kept").drop("kept")
 
 
-class _Updates:
-    """Current target of each (ticker, broker): a later mention replaces it when its direction
-    agrees with the change of value."""
+CLAMP = "struct<lo:double,lo_id:bigint,hi:double,hi_id:bigint,eq_id:bigint>"
+CHUNK = 512  # updates folded by one task at a time
+
+
+def _value(x: str, v: str) -> str:
+    """SQL of the value after clamp `x`."""
+    return f"greatest({x}.lo, least({x}.hi, {v}))"
+
 
-    def __init__(self):
-        self.key, self.target, self.choice = None, 0.0, None
+def _setter(x: str, v: str, i: str) -> str:
+    """SQL of the id that sets the value after clamp `x`, if `i` had set the value `v` before. A value inside the bounds was
+    never moved; where both bounds are one value, it may have left and come back, and `eq_id` says by which id."""
+    return f"CASE WHEN {v} < {x}.lo THEN {x}.lo_id WHEN {v} > {x}.hi THEN {x}.hi_id WHEN {x}.lo = {x}.hi THEN coalesce({x}.eq_id, {i}) ELSE {i} END"
 
-    def __call__(self, batch: pd.DataFrame | None):
-        out: list[tuple] = []
-        if batch is None:
-            self._close(out)
-        else:
-            for r in batch.itertuples(index=False):
-                if (r.ticker, r.broker) != self.key:
-                    self._close(out)
-                    self.key, self.target, self.choice = (r.ticker, r.broker), r.base, None
-                change = r.target / self.target - 1 if self.target else 0.0  # no direction from a target of zero
-                if abs(change) > 1e-9 and (r.direction == UP) == (change > 0):
-                    self.target, self.choice = r.target, r.id
-        return pd.DataFrame(out, columns=["ticker", "broker", "id"])
 
-    def _close(self, out):
-        if self.key is not None and self.choice is not None:
-            out.append((*self.key, self.choice))
+def fold_clamps(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One clamp per key from clamps `f` in the order of the column `order`: the composition of all of them."""
+    lo, hi, none = _value("x", "acc.lo"), _value("x", "acc.hi"), "CAST(NULL AS bigint)"
+    unit = f"CAST(named_struct('lo', double('-Infinity'), 'lo_id', NULL, 'hi', double('Infinity'), 'hi_id', NULL, 'eq_id', NULL) AS {CLAMP})"
+    back = _setter("x", _value("acc", lo), _setter("acc", lo, none))
+    step = (f"CAST(named_struct('lo', {lo}, 'lo_id', {_setter('x', 'acc.lo', 'acc.lo_id')}, 'hi', {hi}, 'hi_id', {_setter('x', 'acc.hi', 'acc.hi_id')}, "
+            f"'eq_id', {back}) AS {CLAMP})")
+    g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "f"))).alias("_l"))
+    return g.select(*keys, F.expr(f"aggregate(transform(_l, y -> y.f), {unit}, (acc, x) -> {step})").alias("f"))
+
+
+def confirmed_updates(later: DataFrame) -> DataFrame:
+    """(ticker, broker, id): the mention that decides after direction-consistent updates of the base target.
+
+    `later`: ticker, broker, pub, id, target, direction (up or down), base. An upward mention replaces a lower target, a
+    downward one a higher target: it is a clamp from below or above, and a run of clamps is one clamp, however it is
+    bracketed. Runs of at most `CHUNK` mentions of one day are folded first, then chunks of a day, then days, so no task
+    holds a key. Equal targets change nothing. A target of zero has no direction from it: the first downward mention of
+    zero is final, and a base of zero stays.
+    """
+    keys = ["ticker", "broker"]
+    d = later.where("base <> 0").withColumn("day", F.to_date("pub"))
+    inf = F.lit(float("inf"))
+    none = F.lit(None).cast("long")
+    up = F.struct(F.col("target").alias("lo"), F.col("id").alias("lo_id"), inf.alias("hi"), none.alias("hi_id"), none.alias("eq_id"))
+    down = F.struct((-inf).alias("lo"), none.alias("lo_id"), F.col("target").alias("hi"), F.col("id").alias("hi_id"), none.alias("eq_id"))
+    at = F.row_number().over(W.partitionBy(*keys, "day").orderBy("pub", "id"))
+    d = d.withColumn("f", F.when(F.col("direction") == UP, up).otherwise(down).cast(CLAMP)).withColumn("_at", at).withColumn("_chunk", F.floor(F.col("_at") / CHUNK))
+    whole = fold_clamps(fold_clamps(fold_clamps(d, [*keys, "day", "_chunk"], "_at"), [*keys, "day"], "_chunk"), keys, "day")
+    zero = F.min(F.when((F.col("direction") == DOWN) & (F.col("target") == 0), F.struct("pub", "id")))
+    base = later.groupBy(*keys).agg(F.first("base").alias("base"), F.when(F.first("base") != 0, zero).alias("zero"))
+    chosen = _setter("f", "base", "CAST(NULL AS bigint)")
+    return base.join(whole, keys).select(*keys, F.coalesce("zero.id", F.expr(chosen)).alias("id")).where("id IS NOT NULL")
 
 
 def representatives(obs: DataFrame, asof: Column, p: Params, *, domestic_only: bool = True,
@@ -146,8 +197,7 @@ def representatives(obs: DataFrame, asof: Column, p: Params, *, domestic_only: b
     later = (w.join(base, ["ticker", "broker"])
              .where((F.col("_b.copies") >= 2) & (F.col("pub") > F.col("_b.pub")) & F.col("direction").isin(UP, DOWN))
              .select("ticker", "broker", "pub", F.col(tie).alias("id"), "target", "direction", F.col("_b.target").alias("base")))
-    newer = ordered_scan(later, ["ticker", "broker"], ["pub", "id"],
-                         "ticker string, broker string, id long", _Updates, finish=True)
+    newer = confirmed_updates(later)
     chosen = base.join(newer, ["ticker", "broker"], "left").select(
         "ticker", "broker", F.coalesce("id", F.col(f"_b.{tie}")).alias(tie))
     return w.join(chosen, ["ticker", "broker", tie], "left_semi")
@@ -179,7 +229,7 @@ def last_price(prices: DataFrame) -> DataFrame:
 
 
 def batch(members: DataFrame, obs: DataFrame, prices: DataFrame, asof: Column, p: Params,
-          store: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+          store: Store = lambda d, _: d) -> DataFrame:
     """Consensus of every member: article counts, reports, dropped and single mentions, aggregate.
 
     Members without mentions stay with zeros. `store` writes the de-duplicated mentions, which
@@ -187,7 +237,7 @@ def batch(members: DataFrame, obs: DataFrame, prices: DataFrame, asof: Column, p
     """
     articles = obs.groupBy("ticker").agg(F.countDistinct("link").alias("articles"),
                                          F.floor((F.unix_timestamp(asof) - F.unix_timestamp(F.min("pub"))) / 86400).alias("span_days"))
-    marked = store(band_filter(dedupe(distinct_mentions(obs, "link", "mention_id"), p), prices, p, keep_all=True))
+    marked = store(band_filter(dedupe(distinct_mentions(obs, "link", "mention_id"), p, store=store), prices, p, keep_all=True), "marked_mentions")
     kept = marked.where("kept")
     counts = marked.groupBy("ticker").agg(
         F.sum(F.col("kept").cast("int")).alias("reports"), F.sum((~F.col("kept")).cast("int")).alias("band_drop"),
