@@ -61,8 +61,6 @@ FROM lineitem GROUP BY 1, 2
 cte("prices", f"""
 SELECT {ticker('k')} AS ticker, k AS key, date, tv / volume AS close_adj, volume, tv AS trading_value
 FROM px_all
-WHERE NOT (k % 7 = 2 AND date BETWEEN DATE '1998-01-01' AND DATE '1998-07-31')
-  AND NOT (k % 7 = 5 AND date > DATE '1999-06-30')
 """)
 cte("fq0", """
 SELECT l_suppkey AS k, year(l_shipdate) AS year, quarter(l_shipdate) AS quarter,
@@ -107,7 +105,6 @@ SELECT {ticker('k')} AS ticker, k, CAST(k AS VARCHAR) AS corp_code, CAST(year AS
   CASE WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN 0e0 ELSE 0.95e0 * equity END AS equity_parent,
   0.1e0 * assets AS cash, CASE WHEN k % 4 = 1 THEN 0.05e0 * equity END AS hybrid_capital
 FROM fq4
-WHERE NOT (k % 10 = 4 AND period = 1997*4+2) AND NOT (k % 12 = 7 AND period > 1998*4+4)
 """)
 
 FLOW = spec.FLOW_FIELDS
@@ -133,7 +130,7 @@ cte("tracks", f"""
 SELECT {ticker('s_suppkey')} AS ticker, s_name AS name,
   CASE n_regionkey WHEN 1 THEN 'T2' WHEN 2 THEN 'T3' WHEN 3 THEN 'T4' ELSE 'T1' END AS track,
   lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS sector, s_suppkey % 14 = 6 AS stability_distorted
-FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 19 <> 18
+FROM supplier JOIN nation ON n_nationkey = s_nationkey
 """)
 cte("market", """
 SELECT ticker, 'C' || CAST(key AS VARCHAR) AS name, CASE WHEN key % 2 = 0 THEN 'KOSPI' ELSE 'KOSDAQ' END AS market, date,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracles.base import P, cte, fail_list, history, mix, ratio_sql, two_sided, with_ctes
 from tidemark import spec
 from tidemark.adapters import RAW_ACCOUNTS
-from tidemark.catalog import COLUMNS, METRICS_DATE
+from tidemark.catalog import COLUMNS
 
 BODY: dict[str, str] = {}
 
@@ -94,7 +94,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY ticker, year ORDER BY quarter) A
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ticker, year ORDER BY quarter) AS rn FROM fin_quarterly) p ON p.ticker = c.ticker AND p.year = c.year AND p.rn = c.rn - 1
 """
 cte("snap_last", f"""
-SELECT * FROM snapshots WHERE asof_date <= DATE '{METRICS_DATE}' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY asof_date DESC) = 1
+SELECT * FROM snapshots WHERE asof_date <= (SELECT max(asof) FROM months) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY asof_date DESC) = 1
 """)
 cte("corps", "SELECT DISTINCT corp_code, ticker, k FROM (SELECT CAST(s_suppkey AS VARCHAR) AS corp_code, s_suppkey AS k FROM supplier) JOIN (SELECT DISTINCT k AS k2, ticker FROM fin_quarterly) ON k2 = k")
 cte("shares_net", """
@@ -193,9 +193,9 @@ FROM (SELECT *, CASE WHEN code LIKE '64992%' AND debt_ratio > 500 THEN 'T2' WHEN
    coalesce(CASE WHEN s.s_suppkey % 6 = 0 THEN (round(abs(a.assets * 0.5e0), 0) + round(abs(a.assets * 0.1e0), 0)) ELSE 0 END / nullif(a.assets, 0), 0e0) AS fa
   FROM supplier s JOIN corps c ON c.k = s.s_suppkey LEFT JOIN annual_last a ON a.ticker = c.ticker))
 """
-cte("lm_vis", f"SELECT *, 1 AS one FROM ttm WHERE rcept_dt <= DATE '{METRICS_DATE}'")
+cte("lm_vis", f"SELECT *, 1 AS one FROM ttm WHERE rcept_dt <= (SELECT max(asof) FROM months)")
 cte("lm_hist", "SELECT * FROM (" + history("lm_vis", "ticker, one") + ") WHERE period = newest")
-cte("lm_px", f"SELECT * FROM momo WHERE date <= DATE '{METRICS_DATE}' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1")
+cte("lm_px", f"SELECT * FROM momo WHERE date <= (SELECT max(asof) FROM months) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1")
 cte("lm_in", """
 SELECT h.*, s.market_cap_total AS market_cap, s.shares_outstanding AS shares_out, s.treasury_ratio, t.track, t.sector, t.stability_distorted
 FROM lm_hist h JOIN (SELECT DISTINCT ticker FROM snapshots WHERE included) m ON m.ticker = h.ticker
@@ -491,12 +491,21 @@ FROM (SELECT DISTINCT ticker, price_date AS entry_date, price_asof AS entry_pric
 LEFT JOIN prices p ON p.ticker = e.ticker AND p.date > e.entry_date AND (p.close_adj / e.entry_price <= 1 - 30e0 / 100e0 OR p.close_adj / e.entry_price >= 1 + 60e0 / 100e0)
 GROUP BY 1, 2, 3
 """
-cte("old_runs", topn("(SELECT * FROM u_modes WHERE sector <> '05')", "strategy, gate"))
-BODY["panel_diff"] = """
-SELECT strategy, gate, count(*) AS months, count(*) FILTER (WHERE gone + come > 0) AS changed_months, avg(come) AS avg_replaced FROM (
+cte("old_runs", topn(f"(SELECT * FROM u_modes WHERE cap_rank <= {P.universe_size // 2})", "strategy, gate"))
+simulate_sql("old_runs", "run_list", "strategy, gate")
+cte("old_bench", f"""
+SELECT a.asof, coalesce(eq, 0e0) AS eq FROM asofs a LEFT JOIN (SELECT u.asof, avg(ret_m) AS eq FROM (SELECT DISTINCT asof, ticker, market_cap FROM prepared WHERE in_universe AND cap_rank <= {P.universe_size // 2}) u
+ JOIN monthly_returns r ON r.asof = u.asof AND r.ticker = u.ticker GROUP BY 1) b ON b.asof = a.asof
+""")
+_side = lambda sim, bench: summary_sql(sim, "strategy, gate", "strategy, gate").replace("JOIN bench b", f"JOIN {bench} b")
+BODY["panel_diff"] = f"""
+SELECT d.*, o.total AS old_total, o.excess AS old_excess, o.mdd AS old_mdd, w.total AS new_total, w.excess AS new_excess, w.mdd AS new_mdd FROM (
+SELECT f.strategy, f.gate, count(*) AS months, count(*) FILTER (WHERE gone + come > 0) AS changed_months, avg(coalesce(come, 0)) AS avg_replaced FROM (SELECT * FROM run_list, asofs) f LEFT JOIN (
  SELECT strategy, gate, asof, count(*) FILTER (WHERE NOT in_new) AS gone, count(*) FILTER (WHERE NOT in_old) AS come FROM (
   SELECT strategy, gate, asof, ticker, bool_or(o) AS in_old, bool_or(NOT o) AS in_new FROM (
-   SELECT strategy, gate, asof, ticker, true AS o FROM old_runs UNION ALL SELECT strategy, gate, asof, ticker, false FROM runs) GROUP BY ALL) GROUP BY ALL) GROUP BY 1, 2
+   SELECT strategy, gate, asof, ticker, true AS o FROM old_runs UNION ALL SELECT strategy, gate, asof, ticker, false FROM runs) GROUP BY ALL) GROUP BY ALL) x
+ ON x.strategy = f.strategy AND x.gate = f.gate AND x.asof = f.asof GROUP BY 1, 2) d
+LEFT JOIN ({_side('old_runs_sim', 'old_bench')}) o ON o.strategy = d.strategy AND o.gate = d.gate LEFT JOIN ({_side('runs_sim', 'bench')}) w ON w.strategy = d.strategy AND w.gate = d.gate
 """
 
 # ---- raw documents ----------------------------------------------------------------------------------
@@ -552,34 +561,40 @@ FROM (SELECT w AS "window", count(*) AS months, sum(spread) AS spread, sum(value
  FROM (SELECT *, row_number() OVER (ORDER BY asof DESC) AS rn FROM style_sp WHERE spread IS NOT NULL), (SELECT unnest([3, 6, 12]) AS w) WHERE rn <= w GROUP BY 1)
 """
 BODY["style_stats"] = "SELECT count(*) AS months, avg(spread) AS mean_spread, avg(CASE WHEN spread > 0 THEN 1e0 ELSE 0e0 END) * 100e0 AS value_won_pct FROM style_sp WHERE spread IS NOT NULL"
-from tidemark.catalog import GRADE_DATES  # noqa: E402
-
-D0, D1 = (f"DATE '{d}'" for d in GRADE_DATES)
-cte("brd", f"SELECT b.ticker, b.track, b.sector, CASE WHEN b.quality_score - a.quality_score <= -{P.breadth_drop}e0 THEN 1e0 ELSE 0e0 END AS worse FROM panel b JOIN panel a ON a.ticker = b.ticker WHERE a.asof = {D0} AND b.asof = {D1} AND a.quality_score IS NOT NULL AND b.quality_score IS NOT NULL")
+cte("vers", "SELECT asof, lag(asof) OVER (ORDER BY asof) AS prev FROM (SELECT DISTINCT asof FROM panel)")
+cte("brd", f"SELECT b.asof, b.ticker, b.track, b.sector, CASE WHEN b.quality_score - a.quality_score <= -{P.breadth_drop}e0 THEN 1e0 ELSE 0e0 END AS worse FROM panel b JOIN vers v ON v.asof = b.asof JOIN panel a ON a.ticker = b.ticker AND a.asof = v.prev WHERE a.quality_score IS NOT NULL AND b.quality_score IS NOT NULL")
 BODY["breadth"] = """
-SELECT track, NULL AS sector, avg(worse) AS worse_share, count(*) AS n FROM brd GROUP BY track UNION ALL SELECT NULL, sector, avg(worse), count(*) FROM brd GROUP BY sector
-UNION ALL SELECT NULL, NULL, avg(worse), count(*) FROM brd
+SELECT asof, track, NULL AS sector, avg(worse) AS worse_share, count(*) AS n FROM brd GROUP BY 1, 2 UNION ALL SELECT asof, NULL, sector, avg(worse), count(*) FROM brd GROUP BY 1, 3
+UNION ALL SELECT asof, NULL, NULL, avg(worse), count(*) FROM brd GROUP BY 1
 """
-cte("vh", f"SELECT ticker, asof AS month, CASE WHEN score >= 70 THEN 'buy' WHEN score >= 60 THEN 'hold' WHEN score >= 40 THEN 'defer' ELSE 'out' END AS code FROM current_rows WHERE strategy = 'growth' AND score IS NOT NULL AND asof < {D1}")
+cte("vh", "SELECT ticker, asof AS month, CASE WHEN score >= 70 THEN 'buy' WHEN score >= 60 THEN 'hold' WHEN score >= 40 THEN 'defer' ELSE 'out' END AS code FROM current_rows WHERE strategy = 'growth' AND score IS NOT NULL")
+cte("hb0", """
+SELECT c.asof, c.ticker, arg_max(v.code, v.month) AS last_code, max(v.month) FILTER (WHERE v.code <> 'defer') AS stop FROM (SELECT DISTINCT asof, ticker FROM current_rows WHERE strategy = 'growth') c
+JOIN vh v ON v.ticker = c.ticker AND v.month < c.asof GROUP BY 1, 2
+""")
 cte("hb", """
-SELECT ticker, arg_max(code, month) IN ('buy', 'hold', 'trim') AS held, count(*) FILTER (WHERE run) AS defer_months
-FROM (SELECT *, bool_and(code = 'defer') OVER (PARTITION BY ticker ORDER BY month DESC) AS run FROM vh) GROUP BY 1
+SELECT h.asof, h.ticker, any_value(last_code) IN ('buy', 'hold', 'trim') AS held, count(v.month) AS defer_months FROM hb0 h
+LEFT JOIN vh v ON v.ticker = h.ticker AND v.month < h.asof AND (h.stop IS NULL OR v.month > h.stop) GROUP BY 1, 2
 """)
 BODY["held_before"] = "SELECT * FROM hb"
 _core = [("roe", 1), ("operating_margin", 1), ("ocf_to_ni", 1), ("debt_ratio", -1)]
-cte("hurt", f"SELECT b.ticker, b.track, b.sector, list_filter([{', '.join(f'CASE WHEN a.{m} <> 0 AND (b.{m} - a.{m}) / abs(a.{m}) * {s} < -0.25e0 THEN {chr(39)}{m}{chr(39)} END' for m, s in _core)}], lambda x: x IS NOT NULL) AS hurt FROM (SELECT * FROM panel WHERE asof = {D1}) b LEFT JOIN (SELECT * FROM panel WHERE asof = {D0}) a ON a.ticker = b.ticker")
-BODY["verdicts"] = f"""
+cte("hurt", f"SELECT b.asof, b.ticker, b.track, b.sector, list_filter([{', '.join(f'CASE WHEN a.{m} <> 0 AND (b.{m} - a.{m}) / abs(a.{m}) * {s} < -0.25e0 THEN {chr(39)}{m}{chr(39)} END' for m, s in _core)}], lambda x: x IS NOT NULL) AS hurt FROM panel b JOIN vers v ON v.asof = b.asof LEFT JOIN panel a ON a.ticker = b.ticker AND a.asof = v.prev")
+BODY["verdicts"] = """
 SELECT *, CASE WHEN score IS NULL THEN 'na' WHEN NOT gate_pass THEN leave_sell WHEN score >= 78 THEN 'buy' WHEN score >= 62 THEN CASE WHEN held THEN 'hold' ELSE 'watch' END
   WHEN score >= 52 THEN CASE WHEN NOT held THEN 'watch' WHEN defer THEN 'defer' ELSE 'trim' END ELSE leave_sell END AS code FROM (
  SELECT *, defer_reason IS NOT NULL AS defer, CASE WHEN NOT held THEN 'out' WHEN defer_reason IS NOT NULL THEN 'defer' ELSE 'sell' END AS leave_sell FROM (
-  SELECT h.ticker, s.score, s.gate_pass, h.hurt, coalesce(b.held, false) AS held, b.defer_months,
+  SELECT h.asof, h.ticker, s.score, s.gate_pass, h.hurt, coalesce(b.held, false) AS held, b.defer_months,
    CASE WHEN coalesce(b.defer_months, 0) >= 6 THEN NULL WHEN t.w >= 0.4e0 THEN 'market' WHEN x.w >= 0.5e0 THEN 'sector' WHEN len(hurt) = 0 THEN 'fundamentals' END AS defer_reason
-  FROM hurt h JOIN (SELECT * FROM scored WHERE asof = {D1} AND strategy = 'growth') s ON s.ticker = h.ticker LEFT JOIN hb b ON b.ticker = h.ticker
-  LEFT JOIN (SELECT track, avg(worse) AS w FROM brd GROUP BY 1) t ON t.track = h.track LEFT JOIN (SELECT sector, avg(worse) AS w FROM brd GROUP BY 1) x ON x.sector = h.sector))
+  FROM hurt h JOIN (SELECT * FROM scored WHERE strategy = 'growth') s ON s.ticker = h.ticker AND s.asof = h.asof LEFT JOIN hb b ON b.ticker = h.ticker AND b.asof = h.asof
+  LEFT JOIN (SELECT asof, track, avg(worse) AS w FROM brd GROUP BY 1, 2) t ON t.track = h.track AND t.asof = h.asof
+  LEFT JOIN (SELECT asof, sector, avg(worse) AS w FROM brd GROUP BY 1, 2) x ON x.sector = h.sector AND x.asof = h.asof))
 """
+BODY["value_counts"] = "SELECT *, row_number() OVER (PARTITION BY asof, \"column\" ORDER BY n DESC, value NULLS LAST) AS rank FROM (" + " UNION ALL ".join(
+    f"SELECT asof, '{c}' AS \"column\", {x} AS value, count(*) AS n FROM current_rows WHERE strategy = 'value' GROUP BY 1, 3" for c, x in (
+        ("track", "track"), ("sector", "sector"), ("growth_grade", "growth_grade"), ("pass", "CASE WHEN score IS NOT NULL THEN CAST(pass AS VARCHAR) END"))) + ")"
 cte("band0", f"""
 SELECT p.ticker, p.date, p.close_adj * m.shares_out / nullif(f.net_income_parent_ttm, 0) AS per, p.close_adj * m.shares_out / nullif(f.equity_parent - coalesce(f.hybrid_capital, 0), 0) AS pbr
-FROM (SELECT * FROM prices WHERE date <= DATE '{METRICS_DATE}') p JOIN metrics_latest m ON m.ticker = p.ticker
+FROM (SELECT * FROM prices WHERE date <= (SELECT max(asof) FROM months)) p JOIN metrics_latest m ON m.ticker = p.ticker
 ASOF LEFT JOIN (SELECT * FROM ttm QUALIFY row_number() OVER (PARTITION BY ticker, rcept_dt ORDER BY period DESC) = 1) f ON f.ticker = p.ticker AND p.date >= f.rcept_dt
 """)
 cte("band1", "SELECT *, arg_max(per, date) FILTER (WHERE per IS NOT NULL) OVER (PARTITION BY ticker) AS cper, arg_max(pbr, date) FILTER (WHERE pbr IS NOT NULL) OVER (PARTITION BY ticker) AS cpbr FROM band0")
@@ -589,17 +604,18 @@ SELECT b.*, CASE WHEN m.per > 0 AND per_p75 <> 0 THEN m.price_asof * per_p75 / m
   CASE WHEN count(per) > 60 THEN avg(CASE WHEN per < cper THEN 1e0 WHEN per >= cper THEN 0e0 END) * 100e0 END AS per_pos,
   CASE WHEN count(pbr) > 60 THEN avg(CASE WHEN pbr < cpbr THEN 1e0 WHEN pbr >= cpbr THEN 0e0 END) * 100e0 END AS pbr_pos FROM band1 GROUP BY 1) b JOIN metrics_latest m ON m.ticker = b.ticker
 """
-BODY["contributions"] = "\nUNION ALL ".join(f"SELECT ticker, '{c}' AS category, {w} AS weight, {c}_score AS score, {c}_score * {w}e0 / 100e0 AS points FROM panel WHERE asof = {D1}" for c, w in spec.STRATEGY_WEIGHTS["value"].items())
-BODY["best_strategy"] = f"""
-SELECT ticker, arg_max(strategy, (score, CASE WHEN strategy = 'value' THEN 1 ELSE 0 END)) AS strategy, max(score) AS score, count(*) AS n_passed FROM scored WHERE asof = {D1} AND gate_pass AND score IS NOT NULL GROUP BY 1
+BODY["contributions"] = "\nUNION ALL ".join(f"SELECT asof, ticker, '{c}' AS category, {w} AS weight, {c}_score AS score, {c}_score * {w}e0 / 100e0 AS points FROM panel" for c, w in spec.STRATEGY_WEIGHTS["value"].items())
+BODY["best_strategy"] = """
+SELECT asof, ticker, arg_max(strategy, (score, CASE WHEN strategy = 'value' THEN 1 ELSE 0 END)) AS strategy, max(score) AS score, count(*) AS n_passed FROM scored WHERE gate_pass AND score IS NOT NULL GROUP BY 1, 2
 """
 BODY["strategy_duplicates"] = "SELECT * FROM scored WHERE gate_pass QUALIFY count(*) OVER (PARTITION BY asof, ticker) > 1"
 _secn = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in spec.SECTOR_NAMES.items())
 BODY["sector_ranking"] = f"""
-SELECT sector_name, count(*) AS n, avg(score) AS mean_score, arg_max(ticker, (score, ticker)) AS top_name, max(score) AS top_score FROM (
- SELECT s.*, CASE WHEN code = '' THEN '미분류' ELSE coalesce(CASE substr(code, 1, 2) {_secn} END, 'KSIC ' || substr(code, 1, 2)) END AS sector_name
- FROM scored s JOIN (SELECT c.ticker, coalesce(CASE k % 8 WHEN 0 THEN '64992' WHEN 1 THEN '651' WHEN 2 THEN '21101' WHEN 3 THEN '26110' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE CAST(20 + k % 12 AS VARCHAR) || '111' END, '') AS code FROM corps c) f
- ON f.ticker = s.ticker WHERE s.asof = {D1} AND strategy = 'value' AND score IS NOT NULL) GROUP BY 1 HAVING count(*) >= 3 ORDER BY mean_score DESC, sector_name LIMIT 5
+SELECT *, row_number() OVER (PARTITION BY asof ORDER BY round(mean_score, 10) DESC, sector_name) AS rank FROM (
+ SELECT asof, sector_name, count(*) AS n, avg(score) AS mean_score, arg_max(ticker, (score, ticker)) AS top_name, max(score) AS top_score FROM (
+  SELECT s.*, CASE WHEN code = '' THEN '미분류' ELSE coalesce(CASE substr(code, 1, 2) {_secn} END, 'KSIC ' || substr(code, 1, 2)) END AS sector_name
+  FROM scored s JOIN (SELECT c.ticker, coalesce(CASE k % 8 WHEN 0 THEN '64992' WHEN 1 THEN '651' WHEN 2 THEN '21101' WHEN 3 THEN '26110' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE CAST(20 + k % 12 AS VARCHAR) || '111' END, '') AS code FROM corps c) f
+  ON f.ticker = s.ticker WHERE strategy = 'value' AND score IS NOT NULL) GROUP BY 1, 2 HAVING count(*) >= 3) QUALIFY rank <= 5
 """
 
 # ---- consensus ------------------------------------------------------------------------------------------
@@ -627,7 +643,7 @@ QUALIFY row_number() OVER (PARTITION BY m.ticker, m.broker, m.target, m.pub ORDE
 
 def representatives_sql(name: str, src: str) -> None:
     """Base mention, then later agreeing mentions folded in time order by recursion."""
-    cte(f"{name}_w", f"SELECT * FROM {src} WHERE pub >= TIMESTAMP '2024-01-31' - INTERVAL {P.mention_window_days} DAY AND NOT \"foreign\"")
+    cte(f"{name}_w", f"SELECT * FROM {src} WHERE pub >= (SELECT date_trunc('day', max(ts)) FROM ev) - INTERVAL {P.mention_window_days} DAY AND NOT \"foreign\"")
     cte(f"{name}_b", f"SELECT * FROM {name}_w QUALIFY row_number() OVER (PARTITION BY ticker, broker ORDER BY copies >= 2 DESC, pub DESC, mention_id DESC) = 1")
     cte(f"{name}_c", f"""
 SELECT w.ticker, w.broker, w.mention_id, w.target, w.direction, row_number() OVER (PARTITION BY w.ticker, w.broker ORDER BY w.pub, w.mention_id) AS rn
@@ -654,7 +670,7 @@ SELECT o.ticker, coalesce(r.n, 0) AS n_brokers, coalesce(f.n, 0) AS n_foreign, l
 FROM (SELECT DISTINCT ticker FROM {src}) o
 LEFT JOIN (SELECT ticker, count(*) AS n, median(target) AS med, quantile_cont(target, 0.25) AS q1, quantile_cont(target, 0.75) AS q3,
   count(*) FILTER (WHERE direction = '상향') AS ups, count(*) FILTER (WHERE direction = '하향') AS downs FROM {rep} GROUP BY 1) r ON r.ticker = o.ticker
-LEFT JOIN (SELECT ticker, count(DISTINCT broker) AS n FROM {src} WHERE "foreign" AND pub >= TIMESTAMP '2024-01-31' - INTERVAL {P.mention_window_days} DAY GROUP BY 1) f ON f.ticker = o.ticker
+LEFT JOIN (SELECT ticker, count(DISTINCT broker) AS n FROM {src} WHERE "foreign" AND pub >= (SELECT date_trunc('day', max(ts)) FROM ev) - INTERVAL {P.mention_window_days} DAY GROUP BY 1) f ON f.ticker = o.ticker
 LEFT JOIN elast l ON l.ticker = o.ticker
 """)
 
@@ -688,7 +704,7 @@ cte("batch", """
 SELECT c.ticker, c.name, coalesce(a.n, 0) AS articles, coalesce(a.span, 0) AS span_days, coalesce(m.reports, 0) AS reports, coalesce(m.band_drop, 0) AS band_drop, coalesce(m.single, 0) AS single,
   l.price, coalesce(b.n_brokers, 0) AS n_brokers, coalesce(b.n_foreign, 0) AS n_foreign, b.median_target, b.upside, b.dispersion, b.revision
 FROM (SELECT DISTINCT ticker, nm AS name FROM ev UNION ALL SELECT '999999', 'none') c
-LEFT JOIN (SELECT ticker, count(DISTINCT mention_id // 3) AS n, floor((epoch(TIMESTAMP '2024-01-31') - epoch(min(pub))) / 86400) AS span FROM m0 GROUP BY 1) a ON a.ticker = c.ticker
+LEFT JOIN (SELECT ticker, count(DISTINCT mention_id // 3) AS n, floor((epoch((SELECT date_trunc('day', max(ts)) FROM ev)) - epoch(min(pub))) / 86400) AS span FROM m0 GROUP BY 1) a ON a.ticker = c.ticker
 LEFT JOIN (SELECT ticker, count(*) FILTER (WHERE kept) AS reports, count(*) FILTER (WHERE NOT kept) AS band_drop, count(*) FILTER (WHERE kept AND copies = 1) AS single FROM bmark GROUP BY 1) m ON m.ticker = c.ticker
 LEFT JOIN bcs b ON b.ticker = c.ticker LEFT JOIN elast l ON l.ticker = c.ticker
 """)
@@ -708,9 +724,11 @@ SELECT g.*, l.price, CASE WHEN target_mean <> 0 AND price <> 0 THEN (target_mean
 """
 BODY["rank_gap"] = f"""
 SELECT *, rank_upside - rank_score AS gap, CASE WHEN rank_score IS NULL THEN NULL WHEN abs(rank_upside - rank_score) < {P.gap_rank} THEN 'agree' WHEN rank_upside > rank_score THEN 'score_high' ELSE 'consensus_high' END AS note FROM (
- SELECT ticker, score, upside, CASE WHEN upside IS NOT NULL AND n >= 2 THEN row_number() OVER (PARTITION BY upside IS NOT NULL ORDER BY score DESC, ticker) END AS rank_score,
-  CASE WHEN upside IS NOT NULL AND n >= 2 THEN row_number() OVER (PARTITION BY upside IS NOT NULL ORDER BY upside DESC, ticker) END AS rank_upside
- FROM (SELECT *, count(upside) OVER () AS n FROM (SELECT ticker, articles AS score, upside FROM batch ORDER BY articles DESC, ticker LIMIT 10)))
+ SELECT asof, strategy, ticker, rank, score, upside, CASE WHEN upside IS NOT NULL AND n >= 2 THEN row_number() OVER (PARTITION BY asof, strategy, upside IS NOT NULL ORDER BY score DESC, ticker) END AS rank_score,
+  CASE WHEN upside IS NOT NULL AND n >= 2 THEN row_number() OVER (PARTITION BY asof, strategy, upside IS NOT NULL ORDER BY upside DESC, ticker) END AS rank_upside
+ FROM (SELECT *, count(upside) OVER (PARTITION BY asof, strategy) AS n FROM (
+  SELECT s.asof, s.strategy, s.ticker, s.score, b.upside, row_number() OVER (PARTITION BY s.asof, s.strategy ORDER BY s.score DESC, s.ticker) AS rank
+  FROM scored s LEFT JOIN batch b ON b.ticker = s.ticker WHERE s.score IS NOT NULL QUALIFY rank <= {P.top_n})))
 """
 BODY["mention_extract"] = """
 SELECT event_id AS article_id, ticker, broker, event_id % 7 = 6 AS "foreign", a * 10000 AS target, CASE WHEN shape = 1 THEN (a + 1) * 10000 END AS prev_target,
@@ -779,7 +797,7 @@ FROM (UNPIVOT (SELECT asof, bench_eq, {', '.join(_rule)} FROM led_months) ON {',
 
 # ---- data quality ---------------------------------------------------------------------------------------------
 BODY["coverage_check"] = """
-SELECT *, tickers < peak * 0.97e0 AND datediff('month', first, month) > 6 AS bad FROM (SELECT *, max(tickers) OVER () AS peak, min(month) OVER () AS first FROM (
+SELECT *, tickers < peak * 0.5e0 AND datediff('month', first, month) > 6 AS bad FROM (SELECT *, max(tickers) OVER () AS peak, min(month) OVER () AS first FROM (
  SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(DISTINCT ticker) AS tickers FROM prices GROUP BY 1))
 """
 BODY["staleness_check"] = f"SELECT *, stale_share > 0.1e0 AS bad FROM (SELECT asof, avg(CASE WHEN (asof - rcept_dt) / 30.44e0 > {P.stale_months} THEN 1e0 ELSE 0e0 END) AS stale_share, count(*) AS n FROM prepared WHERE in_universe GROUP BY 1)"
@@ -790,7 +808,11 @@ LEFT JOIN (SELECT ticker, arg_max(name, asof_date) AS name FROM snapshots GROUP
 LEFT JOIN (SELECT ticker, max(year) AS fin_year FROM ttm GROUP BY 1) f ON f.ticker = i.ticker
 LEFT JOIN (SELECT ticker, max(date) AS px_last FROM prices GROUP BY 1) x ON x.ticker = i.ticker LEFT JOIN tracks t ON t.ticker = i.ticker
 """
-BODY["missing_dates"] = "SELECT asof AS asof_date FROM rebal WHERE asof NOT IN (SELECT asof_date FROM snapshots WHERE month(asof_date) <> 8)"
+BODY["missing_dates"] = """
+SELECT d AS asof_date FROM (SELECT unnest([make_date(y, 4, 5), make_date(y, 5, 20), make_date(y, 8, 20), make_date(y, 11, 20)]) AS d FROM (SELECT unnest(range(year(lo), year(hi) + 1)) AS y, lo, hi
+ FROM (SELECT CAST(min(date) - INTERVAL 12 MONTH AS DATE) AS lo, max(date) AS hi FROM prices))), (SELECT CAST(min(date) - INTERVAL 12 MONTH AS DATE) AS lo, max(date) AS hi FROM prices)
+WHERE d BETWEEN lo AND hi AND d NOT IN (SELECT asof_date FROM snapshots)
+"""
 BODY["needs_extension"] = "SELECT ticker, max(date) AS last_date FROM prices GROUP BY 1 HAVING max(date) < (SELECT max(date) FROM prices) - 20"
 BODY["price_upsert"] = "SELECT ticker, count(*) AS n, sum(CASE WHEN date >= DATE '1999-01-01' THEN close_adj * 1.01e0 ELSE close_adj END) AS total FROM prices GROUP BY 1"
 BODY["reconcile"] = """

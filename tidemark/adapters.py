@@ -29,14 +29,12 @@ def _lines(spark: SparkSession, folder: str, *cols: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, folder: str) -> DataFrame:
-    """(ticker, date) prices; two families of suppliers carry a trading halt or a delisting."""
-    k, day = F.col("l_suppkey"), F.col("date")
+    """(ticker, date) prices of every supplier and day with a line."""
+    k = F.col("l_suppkey")
     d = (_lines(spark, folder, "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
          .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
          .agg(F.round(F.sum("l_extendedprice"), 2).alias("trading_value"), F.sum("l_quantity").alias("volume")))
-    halt = (k % 7 == 2) & day.between(F.lit("1998-01-01").cast("date"), F.lit("1998-07-31").cast("date"))
-    gone = (k % 7 == 5) & (day > F.lit("1999-06-30").cast("date"))
-    return d.where(~halt & ~gone).select(
+    return d.select(
         ticker_of(k).alias("ticker"), k.alias("key"), "date",
         (F.col("trading_value") / F.col("volume")).alias("close_adj"), "volume", "trading_value")
 
@@ -49,7 +47,7 @@ def price_stores(px: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fin_quarterly(spark: SparkSession, folder: str) -> DataFrame:
-    """Cumulative quarterly statements with gaps, stale filers and late filings."""
+    """Cumulative quarterly statements with late filings."""
     op = F.col("l_extendedprice") * (0.015 - F.col("l_discount") + F.col("l_tax"))
     q = (_lines(spark, folder, "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_tax")
          .groupBy(F.col("l_suppkey").alias("key"), F.year("l_shipdate").alias("year"),
@@ -81,8 +79,7 @@ def fin_quarterly(spark: SparkSession, folder: str) -> DataFrame:
     currency = (F.when(nation % 7 == 0, "USD").when(nation % 7 == 1, " ").when(nation % 7 == 2, None)
                  .when(nation % 7 == 3, "krw").otherwise("KRW"))
     ni, eq = F.col("net_income"), F.col("equity")
-    gap = ((k % 10 == 4) & (period == 1997 * 4 + 2)) | ((k % 12 == 7) & (period > 1998 * 4 + 4))
-    return q.where(~gap).select(
+    return q.select(
         ticker_of(k).alias("ticker"), k.cast("string").alias("corp_code"), "year", "quarter", "period",
         code[F.col("quarter")].alias("reprt_code"), F.lit("CFS").alias("fs_div"),
         F.date_add(quarter_end, lag).alias("rcept_dt"), currency.alias("currency"),
@@ -164,7 +161,7 @@ def filing_list(q: DataFrame) -> DataFrame:
 
 
 def tracks(spark: SparkSession, folder: str) -> DataFrame:
-    """Region decides the track, nation is the sector; one in 19 companies is unclassified."""
+    """Region decides the track, nation is the sector."""
     # nation has a fixed 25 rows
     nation = spark.read.parquet(f"{folder}/nation.parquet").select(
         F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
@@ -172,7 +169,7 @@ def tracks(spark: SparkSession, folder: str) -> DataFrame:
     r, k = F.col("n_regionkey"), F.col("s_suppkey")
     track = (F.when(r == 1, spec.FINANCE).when(r == 2, spec.PHARMA).when(r == 3, spec.HOLDING)
               .otherwise(spec.GENERAL))
-    return (sup.join(F.broadcast(nation), "s_nationkey").where(k % 19 != 18)
+    return (sup.join(F.broadcast(nation), "s_nationkey")
             .select(ticker_of(k).alias("ticker"), F.col("s_name").alias("name"), track.alias("track"),
                     F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("sector"),
                     (k % 14 == 6).alias("stability_distorted")))
@@ -320,12 +317,11 @@ def reports(m: DataFrame) -> DataFrame:
         F.when(F.col("mention_id") % 8 != 0, F.col("target")).alias("target"))
 
 
-def verdict_history(scored: DataFrame, before: str) -> DataFrame:
-    """Past verdict codes of the growth strategy by score band."""
+def verdict_history(scored: DataFrame) -> DataFrame:
+    """Verdict codes of the growth strategy by score band, NULL where there is no score."""
     s = F.col("score")
-    code = F.when(s >= 70, "buy").when(s >= 60, "hold").when(s >= 40, "defer").otherwise("out")
-    return scored.where((F.col("strategy") == "growth") & (F.col("asof") < before) & s.isNotNull()).select(
-        "ticker", F.col("asof").alias("month"), code.alias("code"))
+    code = F.when(s >= 70, "buy").when(s >= 60, "hold").when(s >= 40, "defer").when(s.isNotNull(), "out")
+    return scored.where(F.col("strategy") == "growth").select("ticker", "asof", code.alias("code"))
 
 
 def rule_inputs(scored: DataFrame) -> DataFrame:

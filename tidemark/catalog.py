@@ -8,11 +8,13 @@ d ISO date text, a joined array, e nine significant digits as text (for compound
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import adapters, spec
+from tidemark.functions.exprs import rebalance_days
 from tidemark.operators import asof, ranks
 from tidemark.operators.dedupe import union_by_priority
 from tidemark.plans import (consensus, flags, grading, ledger, mentions, metrics, momentum, panel, portfolio, quality,
@@ -21,8 +23,6 @@ from tidemark.workspace import Workspace, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 COLUMNS: dict[str, list[tuple[str, str]]] = {}
-METRICS_DATE = "2000-06-05"
-GRADE_DATES = ("1999-03-05", "1999-04-05")
 
 
 def rounded(x):
@@ -95,8 +95,8 @@ def _(w):
 
 
 def _latest_snapshot(w: Workspace) -> DataFrame:
-    """Last snapshot row of each ticker at the metrics date."""
-    seen = w.snapshots.where(F.col("asof_date") <= METRICS_DATE)
+    """Last snapshot row of each ticker at the newest month date."""
+    seen = w.snapshots.where(F.col("asof_date") <= w.newest)
     rest = [x for x in seen.columns if x != "ticker"]
     return seen.groupBy("ticker").agg(F.max_by(F.struct(*rest), "asof_date").alias("_r")).select("ticker", "_r.*")
 
@@ -173,7 +173,7 @@ LATEST = ["roe", "roa", "operating_margin", "net_margin", "gp_to_assets", "net_d
 
 def _latest(w: Workspace) -> DataFrame:
     members = universe.ever_included(w.snapshots)
-    return panel.latest_metrics(METRICS_DATE, members, _shares(w), w.tracks, w.ttm, w.prices, w.p)
+    return panel.latest_metrics(w.newest, members, _shares(w), w.tracks, w.ttm, w.prices, w.p)
 
 
 @query("metric_core", "ticker:s track:s fin_year:i fin_quarter:i currency:s loss_streak:i loss_flag:s ttm_reliable:b " + " ".join(f"{x}:f" for x in LATEST))
@@ -470,10 +470,11 @@ def _(w):
     return portfolio.first_touch(entries, w.prices, 30.0, 60.0)
 
 
-@query("panel_diff", "strategy:s gate:s months:i changed_months:i avg_replaced:f")
+@query("panel_diff", "strategy:s gate:s months:i changed_months:i avg_replaced:f " + " ".join(f"{side}_{x}:f" for side in ("old", "new") for x in ("total", "excess", "mdd")))
 def _(w):
-    old = portfolio.gate_runs(w.prepared.where("sector <> '05'"), w.p.top_n)
-    return portfolio.panel_diff(old, portfolio.gate_runs(w.prepared, w.p.top_n), ["strategy", "gate"])
+    # the earlier panel knew a universe half as large
+    old = w.prepared.withColumn("in_universe", F.col("in_universe") & (F.col("cap_rank") <= w.p.universe_size // 2))
+    return portfolio.panel_diff(old, w.prepared, w.monthly_returns, w.p.top_n, w.p.cost_pct)
 
 
 # ---- sources ----------------------------------------------------------------------------------------------
@@ -517,39 +518,43 @@ def _(w):
     return style.baskets(w.panel, w.p)
 
 
-def _two(w: Workspace):
-    at = lambda d: w.panel.where(F.col("asof") == F.lit(d).cast("date"))
-    return at(GRADE_DATES[0]), at(GRADE_DATES[1])
-
-
-@query("breadth", "track:s sector:s worse_share:f n:i")
+@query("breadth", "asof:d track:s sector:s worse_share:f n:i")
 def _(w):
-    prev, now = _two(w)
-    by = lambda keys: grading.breadth(prev, now, w.p, keys)
+    by = lambda keys: grading.breadth(w.panel, w.p, keys)
     blank = F.lit(None).cast("string")
     return (by(["track"]).withColumn("sector", blank).unionByName(by(["sector"]).withColumn("track", blank))
             .unionByName(by([]).withColumn("track", blank).withColumn("sector", blank)))
 
 
-@query("held_before", "ticker:s held:b defer_months:i")
+def _held(w: Workspace) -> DataFrame:
+    return style.held_before(adapters.verdict_history(w.scored))
+
+
+@query("held_before", "asof:d ticker:s held:b defer_months:i")
 def _(w):
-    return style.held_before(adapters.verdict_history(w.scored, GRADE_DATES[1]))
+    return _held(w)
 
 
-@query("verdicts", "ticker:s score:f gate_pass:b held:b defer_months:i hurt:a defer:b defer_reason:s code:s")
+@query("verdicts", "asof:d ticker:s score:f gate_pass:b held:b defer_months:i hurt:a defer:b defer_reason:s code:s")
 def _(w):
-    prev, now = _two(w)
-    scores = _scored(w).where((F.col("asof") == F.lit(GRADE_DATES[1]).cast("date")) & (F.col("strategy") == "growth"))
-    d = style.hurt_metrics(now, prev, w.p).select("ticker", "track", "sector", "hurt").join(
-        scores.select("ticker", "score", "gate_pass"), "ticker")
-    d = d.join(style.held_before(adapters.verdict_history(w.scored, GRADE_DATES[1])), "ticker", "left")
-    d = style.defer_sell(d, grading.breadth(prev, now, w.p, ["track"]), grading.breadth(prev, now, w.p, ["sector"]), w.p)
+    scores = _scored(w).where("strategy = 'growth'")
+    d = style.hurt_metrics(w.panel, w.p).select("asof", "ticker", "track", "sector", "hurt").join(
+        scores.select("asof", "ticker", "score", "gate_pass"), ["asof", "ticker"])
+    d = d.join(_held(w), ["asof", "ticker"], "left")
+    d = style.defer_sell(d, grading.breadth(w.panel, w.p, ["track"]), grading.breadth(w.panel, w.p, ["sector"]), w.p)
     return d.withColumn("code", style.verdict(w.p)).withColumn("held", F.coalesce("held", F.lit(False)))
 
 
+@query("value_counts", "asof:d column:s value:s n:i rank:i")
+def _(w):
+    d = w.scored.where("strategy = 'value'").withColumn("pass", F.when(F.col("score").isNotNull(), F.col("pass")))
+    cols = ("track", "sector", "growth_grade", "pass")
+    return reduce(DataFrame.unionByName, [grading.value_counts(d, c, ["asof"]).withColumn("column", F.lit(c)) for c in cols])
+
+
 @query("valuation_band", "ticker:s days:i per_p25:f per_p50:f per_p75:f per_pos:f pbr_pos:f exit_price:f")
 def _(w):
-    px = w.prices.where(F.col("date") <= METRICS_DATE)
+    px = w.prices.where(F.col("date") <= w.newest)
     latest = _latest(w)
     band = style.valuation_band(px, w.ttm, latest.select("ticker", "shares_out"))
     return style.exit_price(band.join(latest.select("ticker", "per", "price_asof"), "ticker"))
@@ -565,38 +570,29 @@ def _(w):
     return style.evidence(g, "value", w.p)
 
 
-@query("contributions", "ticker:s category:s weight:f score:f points:f")
+@query("contributions", "asof:d ticker:s category:s weight:f score:f points:f")
 def _(w):
-    return strategies.contributions(_two(w)[1], "value")
+    return strategies.contributions(w.panel, "value")
 
 
-@query("best_strategy", "ticker:s strategy:s score:f n_passed:i")
+@query("best_strategy", "asof:d ticker:s strategy:s score:f n_passed:i")
 def _(w):
-    return strategies.best_strategy(_scored(w).where(F.col("asof") == F.lit(GRADE_DATES[1]).cast("date")))
+    return strategies.best_strategy(_scored(w))
 
 
 @query("strategy_duplicates", "asof:d ticker:s strategy:s score:f")
 def _(w):
-    s = _scored(w).withColumn("ticker", F.concat_ws("@", "ticker", F.date_format("asof", "yyyy-MM-dd")))
-    d = strategies.duplicates(s)
-    return d.withColumn("ticker", F.split("ticker", "@")[0])
+    return strategies.duplicates(_scored(w), ["asof", "ticker"])
 
 
-@query("sector_ranking", "sector_name:s n:i mean_score:f top_name:s top_score:f")
+@query("sector_ranking", "asof:d sector_name:s n:i mean_score:f top_name:s top_score:f rank:i")
 def _(w):
-    s = _scored(w).where((F.col("asof") == F.lit(GRADE_DATES[1]).cast("date")) & (F.col("strategy") == "value") & F.col("score").isNotNull())
+    s = _scored(w).where((F.col("strategy") == "value") & F.col("score").isNotNull())
     firms = adapters.company_list(w.spark, w.folder).select("ticker", strategies.sector_name(F.col("induty_code")).alias("sector_name"))
-    return strategies.sector_ranking(s.select("ticker", "score", F.col("ticker").alias("name")), firms)
+    return strategies.sector_ranking(s.select("asof", "ticker", "score", F.col("ticker").alias("name")), firms)
 
 
 # ---- consensus -----------------------------------------------------------------------------------------------------
-NEWS_ASOF = "2024-01-31 00:00:00"
-
-
-def _news_asof():
-    return F.lit(NEWS_ASOF).cast("timestamp")
-
-
 @query("mention_dedupe", "mention_id:i ticker:s broker:s target:f pub:s copies:i")
 def _(w):
     return consensus.dedupe(w.mentions, w.p, store=w.stored)
@@ -604,19 +600,19 @@ def _(w):
 
 @query("representatives", "mention_id:i ticker:s broker:s target:f direction:s copies:i")
 def _(w):
-    return consensus.representatives(consensus.dedupe(w.mentions, w.p, store=w.stored), _news_asof(), w.p)
+    return consensus.representatives(consensus.dedupe(w.mentions, w.p, store=w.stored), w.news_asof, w.p)
 
 
 @query("consensus", "ticker:s n_brokers:i n_foreign:i median_target:f upside:f dispersion:f revision:f")
 def _(w):
     obs = consensus.dedupe(w.mentions, w.p, store=w.stored)
-    return consensus.aggregate(obs, consensus.last_price(consensus.event_prices(w)), _news_asof(), w.p)
+    return consensus.aggregate(obs, consensus.last_price(consensus.event_prices(w)), w.news_asof, w.p)
 
 
 def _batch(w: Workspace) -> DataFrame:
     obs = w.mentions.withColumn("link", F.concat(F.lit("n"), F.floor(F.col("mention_id") / 3).cast("string")))
     members = adapters.companies(w.spark, w.folder).unionByName(w.spark.range(1).select(F.lit("999999").alias("ticker"), F.lit("none").alias("name")))
-    return consensus.batch(members, obs, consensus.event_prices(w), _news_asof(), w.p, w.stored)
+    return consensus.batch(members, obs, consensus.event_prices(w), w.news_asof, w.p, w.stored)
 
 
 @query("consensus_batch", "ticker:s name:s articles:i span_days:i reports:i band_drop:i single:i price:f n_brokers:i n_foreign:i median_target:f upside:f dispersion:f revision:f")
@@ -634,10 +630,11 @@ def _(w):
     return consensus.report_summary(adapters.reports(w.mentions), consensus.last_price(consensus.event_prices(w)), w.p)
 
 
-@query("rank_gap", "ticker:s score:f upside:f rank_score:i rank_upside:i gap:i note:s")
+@query("rank_gap", "asof:d strategy:s ticker:s rank:i score:f upside:f rank_score:i rank_upside:i gap:i note:s")
 def _(w):
-    d = _batch(w).select("ticker", (F.col("articles") * 1.0).alias("score"), "upside")
-    return consensus.rank_gap(d.orderBy(F.col("score").desc(), "ticker").limit(10), w.p)
+    keys = ["asof", "strategy"]
+    picks = ranks.top_n(_scored(w), keys, "score", w.p.top_n)
+    return consensus.rank_gap(picks.join(_batch(w).select("ticker", "upside"), "ticker", "left"), w.p, keys)
 
 
 @query("mention_extract", "article_id:i ticker:s broker:s foreign:b target:f prev_target:f direction:s pub:s link:s from_title:b")
@@ -711,7 +708,7 @@ def _(w):
 # ---- data quality -----------------------------------------------------------------------------------------------------------
 @query("coverage_check", "month:d tickers:i peak:i bad:b")
 def _(w):
-    return quality.coverage(w.prices, drop=0.97)
+    return quality.coverage(w.prices)
 
 
 @query("staleness_check", "asof:d stale_share:f n:i bad:b")
@@ -726,7 +723,9 @@ def _(w):
 
 @query("missing_dates", "asof_date:d")
 def _(w):
-    return quality.missing_dates(adapters.rebalance_dates(w.prices), w.snapshots.where(F.month("asof_date") != 8))
+    # wanted from a year before the first price on
+    wanted = w.prices.agg(rebalance_days(F.add_months(F.min("date"), -12), F.max("date")).alias("d")).scalar()
+    return quality.missing_dates(wanted, w.snapshots)
 
 
 @query("needs_extension", "ticker:s last_date:d")

@@ -75,6 +75,15 @@ def backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts
     return left.join(filled, [key, left_ts], "left")
 
 
+def previous_versions(df: DataFrame, version: str, out: str) -> DataFrame:
+    """(version, out): every version of `df` with the latest strictly older one; the first has none and is left out.
+
+    Versions are dates of a calendar, one row each.
+    """
+    v = df.select(version).distinct()
+    return v.withColumn(out, F.lag(version).over(W.orderBy(version))).where(F.col(out).isNotNull())
+
+
 def _struct_of(df: DataFrame, cols: list[str]) -> str:
     t = dict(df.dtypes)
     return "struct<" + ",".join(f"`{x}`:{t[x]}" for x in cols) + ">"

@@ -274,11 +274,11 @@ def report_summary(reports: DataFrame, prices: DataFrame, p: Params) -> DataFram
     return g.withColumn("upside", up).withColumn("spread", spread)
 
 
-def rank_gap(picks: DataFrame, p: Params) -> DataFrame:
-    """Score rank against upside rank of a short list of picks (score, upside)."""
+def rank_gap(picks: DataFrame, p: Params, keys: list[str]) -> DataFrame:
+    """Score rank against upside rank of the picks (score, upside) of each list named by `keys`; lists hold the top N."""
     d = picks.withColumn("_has", F.col("upside").isNotNull())
-    n = F.sum(F.col("_has").cast("int")).over(W.partitionBy(F.lit(1)))
-    rk = lambda x: F.row_number().over(W.partitionBy("_has").orderBy(F.col(x).desc(), F.col("ticker")))
+    n = F.sum(F.col("_has").cast("int")).over(W.partitionBy(*keys))
+    rk = lambda x: F.row_number().over(W.partitionBy(*keys, "_has").orderBy(F.col(x).desc(), F.col("ticker")))
     use = F.col("_has") & (n >= 2)
     d = d.withColumn("rank_score", F.when(use, rk("score"))).withColumn("rank_upside", F.when(use, rk("upside")))
     gap = F.col("rank_upside") - F.col("rank_score")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import spec
 from tidemark.functions.exprs import letter_grade
+from tidemark.operators.asof import previous_versions
 from tidemark.operators.ranks import average_rank, value_positions
 from tidemark.params import Params
 
@@ -108,14 +109,18 @@ def missing_sector(d: DataFrame, p: Params, *keys: str) -> DataFrame:
              .withColumn("warn", F.col("missing_share") > p.missing_sector_warn))
 
 
-def breadth(prev: DataFrame, now: DataFrame, p: Params, by: list[str],
-            score: str = "quality_score") -> DataFrame:
-    """Share of members whose score fell by the drop threshold, per group of `by`."""
-    a = prev.select("ticker", F.col(score).alias("_prev"))
-    b = now.select("ticker", *by, F.col(score).alias("_now"))
-    both = b.join(a, "ticker").where(F.col("_prev").isNotNull() & F.col("_now").isNotNull())
+def breadth(graded: DataFrame, p: Params, by: list[str], score: str = "quality_score") -> DataFrame:
+    """Per date and group of `by`: share of members whose score fell by the drop threshold since the latest older date."""
+    pairs = previous_versions(graded, "asof", "_before")
+    a = graded.select("ticker", F.col("asof").alias("_before"), F.col(score).alias("_prev"))
+    b = graded.select("asof", "ticker", *by, F.col(score).alias("_now")).join(pairs, "asof")
+    both = b.join(a, ["ticker", "_before"]).where(F.col("_prev").isNotNull() & F.col("_now").isNotNull())
     worse = (F.col("_now") - F.col("_prev") <= -p.breadth_drop).cast("double")
-    return both.groupBy(*by).agg(F.avg(worse).alias("worse_share"), F.count(F.lit(1)).alias("n"))
+    return both.groupBy("asof", *by).agg(F.avg(worse).alias("worse_share"), F.count(F.lit(1)).alias("n"))
 
 
-__all__ = ["grade", "with_peer", "metric_rows", "missing_sector", "breadth", "W"]
+def value_counts(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows per value of a column, missing values as a row of their own, most frequent first in `rank`."""
+    g = df.groupBy(*(keys or []), F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    part = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
+    return g.withColumn("rank", F.row_number().over(part))

@@ -6,7 +6,6 @@ window over months of one run, which the calendar bounds.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -236,21 +235,27 @@ def first_touch(entries: DataFrame, prices: DataFrame, stop_pct: float, target_p
                       .otherwise("target").alias("reason"))
 
 
-def panel_diff(old: DataFrame, new: DataFrame, run: list[str]) -> DataFrame:
-    """Months whose picks differ between two panels, and mean replacements per month."""
-    a = old.groupBy(*run, "asof").agg(F.collect_set("ticker").alias("_a"))
-    b = new.groupBy(*run, "asof").agg(F.collect_set("ticker").alias("_b"))
-    d = a.join(b, [*run, "asof"], "full")
+def panel_diff(old: DataFrame, new: DataFrame, rets: DataFrame, n: int, cost_pct: float) -> DataFrame:
+    """Two panels on the months that both have: months with other picks, mean replacements, and the performance of both.
+
+    `old` and `new` are prepared panels. A month without picks on one side counts as an empty list.
+    """
+    run, spark = ["strategy", "gate"], new.sparkSession
+    common = old.select("asof").intersect(new.select("asof"))
+    asofs = common.agg(F.sort_array(F.collect_set("asof")).alias("a")).scalar()  # one entry per month
+    picks = [gate_runs(d.join(common, "asof", "left_semi"), n) for d in (old, new)]
+    a, b = (p.groupBy(*run, "asof").agg(F.collect_set("ticker").alias(c)) for p, c in zip(picks, ("_a", "_b")))
+    frame = gate_run_list(spark).withColumn("asof", F.explode(asofs))
+    d = frame.join(a, [*run, "asof"], "left").join(b, [*run, "asof"], "left")
     empty = F.array().cast("array<string>")
     x, y = F.coalesce("_a", empty), F.coalesce("_b", empty)
     gone, come = F.size(F.array_except(x, y)), F.size(F.array_except(y, x))
-    return d.groupBy(*run).agg(
-        F.count(F.lit(1)).alias("months"), F.sum(((gone + come) > 0).cast("int")).alias("changed_months"),
-        F.avg(come).alias("avg_replaced"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    out = d.groupBy(*run).agg(F.count(F.lit(1)).alias("months"), F.sum(((gone + come) > 0).cast("int")).alias("changed_months"), F.avg(come).alias("avg_replaced"))
+    for name, panel, chosen in zip(("old", "new"), (old, new), picks):
+        sim = simulate(chosen, rets, asofs, gate_run_list(spark), run, cost_pct)
+        s = summary(sim, bench_monthly(panel, rets, asofs), run)
+        out = out.join(s.select(*run, *[F.col(c).alias(f"{name}_{c}") for c in ("total", "excess", "mdd")]), run, "left")
+    return out
 
 
 def gate_runs(prepared: DataFrame, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import spec
 from tidemark.functions.exprs import present, weighted
+from tidemark.operators.ranks import top_n
 from tidemark.params import Params
 
 FEATURES = ["op_loss_years_3y", "fcf_pos_years_3y", "annual_count", "rev_growth_q_of_4",
@@ -120,19 +121,19 @@ def score(d: DataFrame, p: Params, *, only: list[str] | None = None, null_policy
 
 
 def best_strategy(scores: DataFrame) -> DataFrame:
-    """Passed strategy with the highest score per ticker (value first on a tie), and how many passed."""
+    """Passed strategy with the highest score per date and ticker (value first on a tie), and how many passed."""
     passed = scores.where("gate_pass AND score IS NOT NULL")
     rank = F.struct(F.col("score"), F.when(F.col("strategy") == "value", 1).otherwise(0))
-    return passed.groupBy("ticker").agg(
+    return passed.groupBy("asof", "ticker").agg(
         F.max_by("strategy", rank).alias("strategy"), F.max("score").alias("score"),
         F.count(F.lit(1)).alias("n_passed"))
 
 
-def duplicates(scores: DataFrame) -> DataFrame:
-    """Tickers passing the gates of more than one strategy, with all their scores."""
+def duplicates(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys passing the gates of more than one strategy, with all their scores."""
     passed = scores.where("gate_pass")
-    many = passed.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ticker")
-    return passed.join(many, "ticker", "left_semi")
+    many = passed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    return passed.join(many, keys, "left_semi")
 
 
 def contributions(d: DataFrame, strategy: str) -> DataFrame:
@@ -140,19 +141,19 @@ def contributions(d: DataFrame, strategy: str) -> DataFrame:
     w = spec.STRATEGY_WEIGHTS[strategy]
     rows = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(float(v)).alias("weight"),
                               F.col(f"{c}_score").alias("score")) for c, v in w.items()])
-    return (d.select("ticker", F.explode(rows).alias("r")).select("ticker", "r.*")
+    return (d.select("asof", "ticker", F.explode(rows).alias("r")).select("asof", "ticker", "r.*")
              .withColumn("points", F.col("score") * F.col("weight") / 100.0))
 
 
 def sector_ranking(best: DataFrame, sectors: DataFrame, n: int = 5, min_members: int = 3) -> DataFrame:
-    """Sectors by mean best score, with their top member."""
+    """The n sectors with the best mean score of each date, with their top member."""
     d = best.join(sectors, "ticker", "left")
     top = F.max_by("name", F.struct(F.col("score"), F.col("name")))
-    return (d.groupBy(F.coalesce("sector_name", F.lit(spec.UNKNOWN_SECTOR)).alias("sector_name"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"),
-                 top.alias("top_name"), F.max("score").alias("top_score"))
-            .where(F.col("n") >= min_members)
-            .orderBy(F.col("mean_score").desc(), "sector_name").limit(n))
+    g = (d.groupBy("asof", F.coalesce("sector_name", F.lit(spec.UNKNOWN_SECTOR)).alias("sector_name"))
+         .agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"),
+              top.alias("top_name"), F.max("score").alias("top_score"))
+         .where(F.col("n") >= min_members).withColumn("_mean", F.round("mean_score", 10)))
+    return top_n(g, ["asof"], "_mean", n, tie="sector_name").drop("_mean")
 
 
 def sector_name(industry: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidemark import spec
+from tidemark.operators.asof import previous_versions
 from tidemark.operators.ranks import row_positions
 from tidemark.params import Params
 from tidemark.plans.momentum import overheated
@@ -93,13 +94,13 @@ def spread_stats(spreads: DataFrame) -> DataFrame:
 CORE_METRICS = [("roe", 1), ("operating_margin", 1), ("ocf_to_ni", 1), ("debt_ratio", -1)]
 
 
-def hurt_metrics(now: DataFrame, prev: DataFrame, p: Params) -> DataFrame:
-    """Adds the array of core metrics that fell by more than the tolerance since `prev`."""
-    old = prev.select("ticker", *[F.col(m).alias(f"_p_{m}") for m, _ in CORE_METRICS])
-    d = now.join(old, "ticker", "left")
+def hurt_metrics(graded: DataFrame, p: Params) -> DataFrame:
+    """Adds the array of core metrics that fell by more than the tolerance since the latest older date."""
+    old = graded.select("ticker", F.col("asof").alias("_before"), *[F.col(m).alias(f"_p_{m}") for m, _ in CORE_METRICS])
+    d = graded.join(previous_versions(graded, "asof", "_before"), "asof", "left").join(old, ["ticker", "_before"], "left")
     change = lambda m, s: F.when(F.col(f"_p_{m}") != 0, (F.col(m) - F.col(f"_p_{m}")) / F.abs(f"_p_{m}") * s)
     hurt = F.array_compact(F.array(*[F.when(change(m, s) < -p.fundamental_tol, F.lit(m)) for m, s in CORE_METRICS]))
-    return d.withColumn("hurt", hurt).drop(*[f"_p_{m}" for m, _ in CORE_METRICS])
+    return d.withColumn("hurt", hurt).drop("_before", *[f"_p_{m}" for m, _ in CORE_METRICS])
 
 
 def defer_sell(d: DataFrame, track_breadth: DataFrame, sector_breadth: DataFrame, p: Params) -> DataFrame:
@@ -107,10 +108,9 @@ def defer_sell(d: DataFrame, track_breadth: DataFrame, sector_breadth: DataFrame
 
     `d` carries hurt and defer_months.
     """
-    t = track_breadth.select("track", F.col("worse_share").alias("_t"))
-    s = sector_breadth.select("sector", F.col("worse_share").alias("_s"))
-    # one row per track and one per two-digit sector code
-    d = d.join(F.broadcast(t), "track", "left").join(F.broadcast(s), "sector", "left")
+    t = track_breadth.select("asof", "track", F.col("worse_share").alias("_t"))
+    s = sector_breadth.select("asof", "sector", F.col("worse_share").alias("_s"))
+    d = d.join(t, ["asof", "track"], "left").join(s, ["asof", "sector"], "left")
     months = F.coalesce("defer_months", F.lit(0))
     why = (F.when(months >= p.max_defer_months, None).when(F.col("_t") >= p.breadth_market, "market")
             .when(F.col("_s") >= p.breadth_sector, "sector").when(F.size("hurt") == 0, "fundamentals"))
@@ -129,16 +129,20 @@ def verdict(p: Params) -> Column:
 
 
 def held_before(history: DataFrame) -> DataFrame:
-    """Per ticker from past verdicts: held after the newest month, and months of unbroken deferral."""
-    deferred = F.col("code") == "defer"
-    stop = history.groupBy("ticker").agg(F.max(F.when(~deferred, F.col("month"))).alias("_stop"),
-                                         F.max_by("code", "month").alias("_last"))
-    n = (history.join(stop, "ticker").where(deferred & (F.col("_stop").isNull() | (F.col("month") > F.col("_stop"))))
-         .groupBy("ticker").agg(F.count(F.lit(1)).alias("defer_months")))
+    """Per (ticker, asof) from the verdicts of earlier dates: held after the newest one, and months of unbroken deferral.
+
+    `history`: ticker, asof, code of every date, code NULL where none was given. A ticker has one row per date, and only
+    rows with an earlier verdict come out.
+    """
+    w = W.partitionBy("ticker").orderBy("asof")
+    before, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    deferred = F.coalesce(F.col("code") == "defer", F.lit(False))
+    d = history.withColumn("_n", F.sum(deferred.cast("int")).over(upto))
+    stop = F.last(F.when(F.col("code").isNotNull() & ~deferred, F.col("_n")), ignorenulls=True).over(before)
+    d = d.withColumns({"_last": F.last("code", ignorenulls=True).over(before),
+                       "defer_months": F.max("_n").over(before) - F.coalesce(stop, F.lit(0))})
     # fixed values: a deferred sale is shown as a holding of its own kind, not as held
-    return (stop.join(n, "ticker", "left").select(
-        "ticker", F.col("_last").isin("buy", "hold", "trim").alias("held"),
-        F.coalesce("defer_months", F.lit(0)).alias("defer_months")))
+    return d.where("_last IS NOT NULL").select("asof", "ticker", F.col("_last").isin("buy", "hold", "trim").alias("held"), "defer_months")
 
 
 # ---- report data -----------------------------------------------------------------------------------

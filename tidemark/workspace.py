@@ -56,6 +56,16 @@ class Workspace:
     def dates(self) -> Column:
         return panel.cohort_dates(self.prices)
 
+    @cached_property
+    def newest(self) -> Column:
+        """The last month date: the day of the reports that describe one date."""
+        return F.array_max(self.dates)
+
+    @cached_property
+    def news_asof(self) -> Column:
+        """The day of the last mention."""
+        return self.mentions.agg(F.date_trunc("day", F.max("pub")).alias("d")).scalar()
+
     @cached_property
     def cohorts(self) -> DataFrame:
         return self.stored(panel.cohorts(self.ttm, self.prices, self.snapshots, self.tracks, self.p,
