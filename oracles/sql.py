@@ -813,7 +813,9 @@ SELECT d AS asof_date FROM (SELECT unnest([make_date(y, 4, 5), make_date(y, 5, 2
  FROM (SELECT CAST(min(date) - INTERVAL 12 MONTH AS DATE) AS lo, max(date) AS hi FROM prices))), (SELECT CAST(min(date) - INTERVAL 12 MONTH AS DATE) AS lo, max(date) AS hi FROM prices)
 WHERE d BETWEEN lo AND hi AND d NOT IN (SELECT asof_date FROM snapshots)
 """
-BODY["needs_extension"] = "SELECT ticker, max(date) AS last_date FROM prices GROUP BY 1 HAVING max(date) < (SELECT max(date) FROM prices) - 20"
+BODY["needs_extension"] = f"SELECT ticker, max(date) AS last_date FROM prices GROUP BY 1 HAVING max(date) < (SELECT max(date) FROM prices) - {P.extension_days}"
+BODY["stored_months"] = "SELECT * REPLACE (CASE WHEN asof >= (SELECT asof FROM led_months ORDER BY asof OFFSET (SELECT count(*) // 2 FROM led_months) LIMIT 1) THEN diffusion END AS diffusion) FROM led_months"
+BODY["published_panel"] = "SELECT asof, ticker, track, quality_score FROM panel"
 BODY["price_upsert"] = "SELECT ticker, count(*) AS n, sum(CASE WHEN date >= DATE '1999-01-01' THEN close_adj * 1.01e0 ELSE close_adj END) AS total FROM prices GROUP BY 1"
 BODY["reconcile"] = """
 SELECT field, count(*) AS n, count(*) FILTER (WHERE err <= 0.1e0) AS within, median(err) AS median_err FROM (

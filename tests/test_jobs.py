@@ -12,6 +12,7 @@ from tidemark import spec
 from tidemark.params import Params
 from tidemark.plans import flags, ledger, mentions, panel, portfolio, quality, strategies, style
 from tidemark.sources import tables
+from tidemark.sources.store import Refused, Store, remove
 
 P = Params()
 FOLDER = "/root/testdata/sf0.001"
@@ -221,13 +222,59 @@ def test_freshness_guard(spark):
 
 
 def test_publish_guard(spark, tmp_path):
-    old = spark.createDataFrame([("a",), ("b",)], "ticker string")
-    with pytest.raises(quality.Refused):
-        quality.publish_guarded(old.limit(1), old, str(tmp_path / "x"))
-    with pytest.raises(quality.Refused):
-        quality.publish_guarded(old, None, str(tmp_path / "x"), complete=False)
-    quality.publish_guarded(old, old, str(tmp_path / "x"))
-    assert spark.read.parquet(str(tmp_path / "x")).count() == 2
+    store = Store(spark, str(tmp_path))
+    rows = lambda *t: spark.createDataFrame([(x, i) for i, x in enumerate(t)], "ticker string, n int")
+    with pytest.raises(LookupError):
+        store.published("x")
+    with pytest.raises(Refused):
+        store.publish(rows("a"), "x", ["ticker"], complete=False)
+    first = store.publish(rows("a", "b", "b"), "x", ["ticker"])
+    with pytest.raises(Refused):
+        store.publish(rows("a"), "x", ["ticker"])
+    with pytest.raises(Refused):
+        store.publish(rows("a", "b", None), "x", ["ticker"])
+    assert store.current("x").version == first and store.published("x").count() == 3
+    for more in ("c", "d", "e"):
+        store.publish(rows("a", "b", more), "x", ["ticker"])
+    assert {r.ticker for r in store.published("x").collect()} == {"a", "b", "e"}
+    assert len([f for f in os.listdir(tmp_path / "x") if f.startswith("v-")]) == 2  # refused and old versions are gone
+
+
+def test_a_failed_publish_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    store.publish(spark.createDataFrame([("a", 1)], "ticker string, n int"), "x", ["ticker"])
+    broken = spark.createDataFrame([("a", 1), ("b", 0)], "ticker string, n int").withColumn("n", F.when(F.col("n") == 0, F.raise_error(F.lit("lost"))).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="lost"):
+        store.publish(broken, "x", ["ticker"])  # fails while writing
+    monkeypatch.setattr(store, "current", lambda name: (_ for _ in ()).throw(RuntimeError("driver died")))
+    with pytest.raises(RuntimeError):
+        store.publish(spark.createDataFrame([("c", 1)], "ticker string, n int"), "x", ["ticker"])
+    monkeypatch.undo()
+    assert [tuple(r) for r in store.published("x").collect()] == [("a", 1)]
+
+
+def test_a_month_is_replaced_alone_and_read_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = lambda *r: spark.createDataFrame([(month(m), v) for m, v in r], "asof date, v int")
+    store.put(rows((0, 1), (1, 2), (2, 3)), "m")
+    store.put(rows((1, 20), (1, 21)), "m")
+    assert sorted((str(r["asof"]), r.v) for r in store.dated("m").collect()) == [("2020-01-05", 1), ("2020-02-05", 20), ("2020-02-05", 21), ("2020-03-05", 3)]
+    one = store.dated("m").where(F.col("asof") == month(1))
+    assert len(one.inputFiles()) >= 1 and one.count() == 2
+    plan = one._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    assert "PartitionFilters: [isnotnull(asof" in plan.toString() and scan.metrics().apply("numPartitions").value() in (0, 1)
+    assert remove(spark, str(tmp_path / "m")) and not os.path.exists(tmp_path / "m")
+
+
+def test_scratch_folder_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+    session = lambda master, **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf.get("root", d)), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    with pytest.raises(ValueError):
+        tables.scratch_folder(session("spark://x"))
+    with pytest.raises(ValueError):
+        tables.scratch_folder(session("local-cluster[2,1,1024]"))
+    assert tables.scratch_folder(session("spark://x", root="hdfs://y/z/")).startswith("hdfs://y/z/tidemark-app-")
 
 
 def test_report_csv(spark, tmp_path):

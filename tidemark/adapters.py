@@ -14,7 +14,8 @@ from tidemark.params import Params
 
 # thresholds in the currency of the test tables
 PARAMS = Params().with_(universe_size=50, min_market_cap=4.0e6, min_avg_trading_value=3.0e4,
-                        value_cap_floor=4.0e6, growth_cap_floor=2.4e6, mention_window_days=20)
+                        value_cap_floor=4.0e6, growth_cap_floor=2.4e6, mention_window_days=20,
+                        delist_gap_days=4, extension_days=5)
 
 
 def ticker_of(key: Column) -> Column:

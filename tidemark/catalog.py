@@ -691,6 +691,23 @@ def _(w):
     return _months(w)
 
 
+@query("stored_months", "asof:d exit_asof:d days:i bench_eq:f bench_cap:f diffusion:f n_universe:i " + " ".join(f"{r}:f" for r in ledger.RULES))
+def _(w):
+    # all months first without the diffusion index, then the later half of them again with it
+    rows = w.stored(_months(w), "months")
+    w.store.put(rows.withColumn("diffusion", F.lit(None).cast("double")), "months")
+    days = rows.agg(F.sort_array(F.collect_set("asof")).alias("a"))
+    middle = days.select(F.get("a", F.floor(F.size("a") / 2).cast("int"))).scalar()
+    w.store.put(rows.where(F.col("asof") >= middle), "months")
+    return w.store.dated("months")
+
+
+@query("published_panel", "asof:d ticker:s track:s quality_score:f")
+def _(w):
+    w.store.publish(w.panel.select("asof", "ticker", "track", "quality_score"), "panel", ["asof", "ticker"])
+    return w.store.published("panel")
+
+
 def _diffusion(w: Workspace) -> DataFrame:
     return ledger.diffusion_index(w.scored.where("strategy = 'growth'"))
 
@@ -730,7 +747,7 @@ def _(w):
 
 @query("needs_extension", "ticker:s last_date:d")
 def _(w):
-    return quality.needs_extension(w.prices, w.prices.agg(F.max("date")).scalar())
+    return quality.needs_extension(w.prices, w.prices.agg(F.max("date")).scalar(), w.p.extension_days)
 
 
 @query("price_upsert", "ticker:s n:i total:f")

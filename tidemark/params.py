@@ -58,6 +58,7 @@ class Params:
     # -- fixed values: portfolio ----------------------------------------------------
     top_n: int = 5
     cost_pct: float = 0.35
+    extension_days: int = 20  # a ticker whose prices end earlier is fetched again
     delist_gap_days: int = 180
     return_gap_days: int = 120
     turnover_rows: int = 60

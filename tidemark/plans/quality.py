@@ -46,7 +46,7 @@ def missing_dates(wanted: Column, snaps: DataFrame) -> DataFrame:
     return frame.join(snaps.select("asof_date").distinct(), "asof_date", "left_anti")
 
 
-def needs_extension(prices: DataFrame, end: Column, days: int = 20) -> DataFrame:
+def needs_extension(prices: DataFrame, end: Column, days: int) -> DataFrame:
     last = prices.groupBy("ticker").agg(F.max("date").alias("last_date"))
     return last.where(F.col("last_date") < F.date_sub(end, days))
 
@@ -56,22 +56,6 @@ def upsert_prices(history: DataFrame, new: DataFrame) -> DataFrame:
     return union_by_priority([history, new.select(*[x for x in history.columns if x in new.columns])], ["ticker", "date"])
 
 
-class Refused(RuntimeError):
-    """A publish that would lose data."""
-
-
-def publish_guarded(new: DataFrame, old: DataFrame | None, path: str, *, key: str = "ticker", complete: bool = True) -> None:
-    """Writes `new` unless the run is incomplete or holds fewer distinct keys than `old`."""
-    if not complete:
-        raise Refused("incomplete run")
-    count = lambda d: d.select(key).distinct().count()
-    if old is not None:
-        before, after = count(old), count(new)
-        if after < before:
-            raise Refused(f"{key} count would fall from {before} to {after}")
-    new.write.mode("overwrite").parquet(path)
-
-
 def reconcile(ours: DataFrame, external: DataFrame, fields: list[str], tol: float = 0.10) -> DataFrame:
     """Relative error against an outside source per field: compared, within tolerance, median.
 

@@ -114,14 +114,17 @@ FUNDAMENTAL_NAMES = {"티커": "ticker", "BPS": "bps", "PER": "per", "PBR": "pbr
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: below `spark.checkpoint.dir` when the cluster names one.
+    """Folder for intermediate tables below `spark.checkpoint.dir`, which the cluster names.
 
-    Only a session without that setting (tests on one machine) gets a new temporary folder.
+    Only a session on one machine without that setting (tests) gets a temporary folder; on a cluster other executors could
+    not read one, so its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import adapters
 from tidemark.params import Params
 from tidemark.plans import grading, panel, portfolio, statements, universe
+from tidemark.sources.store import Store, remove
 from tidemark.sources.tables import materialise, scratch_folder
 
 
@@ -27,6 +28,16 @@ class Workspace:
         """Written once under a name of its own: a later run never replaces files still in use."""
         return materialise(df, self.scratch, f"{name}-{next(self._serial)}")
 
+    @cached_property
+    def store(self) -> Store:
+        """Dated and published tables of this workspace."""
+        return Store(self.spark, f"{self.scratch}/store")
+
+    def close(self) -> None:
+        """Deletes everything this workspace has written; frames that read it are of no use afterwards."""
+        remove(self.spark, self.scratch)
+        _OPEN.pop((self.spark.sparkContext.applicationId, self.folder), None)
+
     @cached_property
     def prices(self) -> DataFrame:
         return self.stored(adapters.prices(self.spark, self.folder), "prices")
