@@ -65,7 +65,7 @@ def _(w):
 @query("amount_parse", "ticker:s bsns_year:i n_rows:i n_null:i n_negative:i total:f")
 def _(w):
     from tidemark.functions.exprs import parse_amount
-    d = adapters.raw_statements(w.fin_quarterly).withColumn("x", parse_amount("thstrm_amount"))
+    d = w.raw_statements.withColumn("x", parse_amount("thstrm_amount"))
     return d.groupBy("ticker", "bsns_year").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("x").isNull().cast("int")).alias("n_null"),
         F.sum((F.col("x") < 0).cast("int")).alias("n_negative"), F.sum("x").alias("total"))
@@ -74,13 +74,13 @@ def _(w):
 @query("account_map", "ticker:s bsns_year:i reprt_code:s fs_div:s currency:s " + " ".join(
     f"{x}:f" for x in spec.FLOW_FIELDS + spec.STOCK_FIELDS))
 def _(w):
-    return statements.wide_reports(adapters.raw_statements(w.fin_quarterly))
+    return statements.wide_reports(w.raw_statements, w.stored)
 
 
 @query("fin_quarterly", "ticker:s year:i quarter:i period:i reprt_code:s fs_div:s rcept_dt:d currency:s revenue:f operating_income:f net_income:f ocf:f capex_tangible:f assets:f equity:f")
 def _(w):
     q = w.fin_quarterly
-    return statements.fin_quarterly(adapters.raw_statements(q), adapters.filing_list(q))
+    return statements.fin_quarterly(w.raw_statements, adapters.filing_list(q), w.stored)
 
 
 @query("ttm", "ticker:s period:i rcept_dt:d " + " ".join(f"{x}_ttm:f" for x in spec.FLOW_FIELDS)
@@ -481,7 +481,7 @@ def _(w):
 @query("statement_json", "ticker:s bsns_year:i reprt_code:s n_rows:i last_ord:i first_name:s")
 def _(w):
     from tidemark.sources.tables import statement_rows
-    rows = statement_rows(adapters.statement_docs(adapters.raw_statements(w.fin_quarterly)))
+    rows = statement_rows(adapters.statement_docs(w.raw_statements))
     return rows.groupBy("ticker", "bsns_year", "reprt_code").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("ord").alias("last_ord"), F.min_by("account_nm", "ord").alias("first_name"))
 
@@ -641,7 +641,7 @@ def _(w):
 def _(w):
     firms = adapters.companies(w.spark, w.folder)
     return mentions.extract(adapters.articles(w.spark, w.folder), mentions.name_dictionary(firms, adapters.listed_names(firms)),
-                            mentions.name_table(firms), lambda d: w.stored(d, "mention_candidates"))
+                            mentions.name_table(firms), w.stored)
 
 
 @query("name_dictionary", "ticker:s name:s own:a tails:a affiliate:s")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -49,24 +50,40 @@ def cumulative_amount(reprt_code, this_term, accumulated) -> Column:
         F.coalesce(accumulated, this_term))
 
 
-def classified_rows(rows: DataFrame) -> DataFrame:
+def account_dictionary(rows: DataFrame) -> DataFrame:
+    """Distinct (account_id, account_nm, sj_div) with their standard field: patterns run once per wording, not per line."""
+    d = rows.select("account_id", "account_nm", "sj_div").distinct()
     aid, name = clean_account(F.col("account_id"), F.col("account_nm"))
-    rows = rows.withColumn("_aid", aid).withColumn("_name", name)
-    field = standard_field(F.col("_aid"), F.col("_name"), F.col("sj_div"))
+    d = d.withColumn("_aid", aid).withColumn("_name", name)
+    return d.select("account_id", "account_nm", "sj_div", standard_field(F.col("_aid"), F.col("_name"), F.col("sj_div")).alias("field"))
+
+
+def classified_rows(rows: DataFrame, store: Callable[[DataFrame, str], DataFrame] = lambda d, _: d) -> DataFrame:
+    """Rows with `field` and `val`. With `store` the dictionary is written first, so its size decides how it is joined."""
+    words = store(account_dictionary(rows).where("field IS NOT NULL"), "account_dictionary")
+    blank = lambda d: d.withColumns({"_a": F.coalesce("account_id", F.lit("")), "_b": F.coalesce("account_nm", F.lit("")), "_c": F.coalesce("sj_div", F.lit(""))})
+    words = blank(words).select("_a", "_b", "_c", "field").distinct()
+    rows = blank(rows).join(words, ["_a", "_b", "_c"], "left").drop("_a", "_b", "_c")
     stock = parse_amount("thstrm_amount")
     flow = cumulative_amount(F.col("reprt_code"), F.col("thstrm_amount"), F.col("thstrm_add_amount"))
-    return (rows.withColumn("field", field)
-                .withColumn("val", F.when(F.col("field").isin(*spec.STOCK_FIELDS), stock)
-                            .when(F.col("field").isNotNull(), flow)).drop("_aid", "_name"))
+    return rows.withColumn("val", F.when(F.col("field").isin(*spec.STOCK_FIELDS), stock).when(F.col("field").isNotNull(), flow))
+
+
+def report_currency(rows: DataFrame) -> DataFrame:
+    """Most frequent currency of each report, the first in order on a tie, KRW where none is given."""
+    cur = F.when(F.trim("currency") != "", F.trim("currency"))
+    n = rows.groupBy(*REPORT, cur.alias("_cur")).agg(F.count(F.lit(1)).alias("_n"))
+    best = F.min(F.when(F.col("_cur").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_cur").alias("cur"))))
+    return n.groupBy(*REPORT).agg(F.coalesce(best["cur"], F.lit("KRW")).alias("currency"))
 
 
-def wide_reports(rows: DataFrame) -> DataFrame:
+def wide_reports(rows: DataFrame, store: Callable[[DataFrame, str], DataFrame] = lambda d, _: d) -> DataFrame:
     """One row per report with every standard field as a column (NULL when absent).
 
-    The first non-NULL row of a field wins; capital expenditure lines are added up.
+    The first non-NULL row of a field wins; capital expenditure lines are added up. The aggregate holds numbers only, so it
+    hashes; the modal currency is a small count of its own with the same partitioning.
     """
-    r = classified_rows(rows)
-    cur = F.when(F.trim("currency") != "", F.trim("currency"))
+    r = classified_rows(rows, store)
 
     def pick(f: str) -> Column:
         mine = (F.col("field") == f) & F.col("val").isNotNull()
@@ -74,9 +91,10 @@ def wide_reports(rows: DataFrame) -> DataFrame:
             return F.sum(F.when(mine, F.abs("val"))).alias(f)
         return F.min_by(F.when(mine, F.col("val")), F.when(mine, F.col("ord"))).alias(f)
 
-    return r.groupBy(*REPORT).agg(
-        F.coalesce(F.mode(cur, True), F.lit("KRW")).alias("currency"),
-        *[pick(f) for f in spec.FLOW_FIELDS + spec.STOCK_FIELDS])
+    wide = r.groupBy(*REPORT).agg(*[pick(f) for f in spec.FLOW_FIELDS + spec.STOCK_FIELDS])
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"c.{k}")) for k in REPORT]
+    out = wide.alias("w").join(report_currency(rows).alias("c"), reduce(lambda x, y: x & y, same))
+    return out.select(*[f"w.{k}" for k in REPORT], "c.currency", *[f"w.{f}" for f in spec.FLOW_FIELDS + spec.STOCK_FIELDS])
 
 
 def filing_dates(filings: DataFrame) -> DataFrame:
@@ -94,10 +112,10 @@ def filing_dates(filings: DataFrame) -> DataFrame:
             .agg(F.min(F.to_date(F.nullif("rcept_dt", F.lit("")), "yyyyMMdd")).alias("rcept_dt")))
 
 
-def fin_quarterly(rows: DataFrame, filings: DataFrame) -> DataFrame:
+def fin_quarterly(rows: DataFrame, filings: DataFrame, store: Callable[[DataFrame, str], DataFrame] = lambda d, _: d) -> DataFrame:
     """Consolidated report when it has any row, else separate; no receipt date, no row."""
     fields = spec.FLOW_FIELDS + spec.STOCK_FIELDS
-    chosen = keep_first(wide_reports(rows), ["ticker", "corp_code", "bsns_year", "reprt_code"], "fs_div")
+    chosen = keep_first(wide_reports(rows, store), ["ticker", "corp_code", "bsns_year", "reprt_code"], "fs_div")
     any_value = reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in fields])
     quarter = F.create_map(*[F.lit(x) for kv in spec.REPORT_QUARTER.items() for x in kv])
     return (chosen.where(any_value)

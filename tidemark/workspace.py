@@ -46,6 +46,11 @@ class Workspace:
     def fin_quarterly(self) -> DataFrame:
         return self.stored(adapters.fin_quarterly(self.spark, self.folder), "fin_quarterly")
 
+    @cached_property
+    def raw_statements(self) -> DataFrame:
+        """Statement lines as filed, an input that several jobs read."""
+        return self.stored(adapters.raw_statements(self.fin_quarterly), "raw_statements")
+
     @cached_property
     def ttm(self) -> DataFrame:
         return self.stored(statements.ttm(self.fin_quarterly), "ttm")
