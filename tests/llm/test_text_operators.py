@@ -347,6 +347,26 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_an_unlabelled_sibling_changes_no_verdict(spark):
+    rules = (("allow", "h.com/good/x"), ("block", "h.com/bad/x"), ("allow", "h.com/fine/x"))
+    base = [(f"http://h.com/{a}/x{i}", a) for a in ("good", "bad", "fine") for i in range(40)] + [(f"http://h.com/{a}/y", a) for a in ("good", "bad", "fine")]
+    other = [(f"http://h.com/other/{i}", "other") for i in range(21)]
+    verdicts = lambda rows: {a: {r.verdict for r in urls.judge(spark.createDataFrame([(i, u) for i, (u, b) in enumerate(rows) if b], "page_id long, url string"), rules).collect()
+                                 if f"/{a}/" in r.path and r.rule is None} for a in ("good", "bad", "fine", "other")}
+    monday = verdicts(base)
+    assert monday["good"] <= {"allow"} and monday["fine"] <= {"allow"} and monday["bad"] == {"block"}
+    assert {k: v for k, v in verdicts(base + other).items() if k != "other"} == {k: v for k, v in monday.items() if k != "other"}
+
+
+def test_pooled_groups_keep_opposites_apart(spark):
+    from pyspark.sql import functions as F
+    leaves = [(p, t, n, b) for p, t, n, b in [(0.0, "a", 50, 0), (0.0, "b", 3, 0), (0.4, "c", 6, 2), (0.5, "d", 40, 20), (1.0, "e", 60, 60)]]
+    d = spark.createDataFrame([([*leaves],)], "leaves array<struct<purity:double,template:string,labelled:bigint,blocked:bigint>>")
+    got = d.select(F.aggregate("leaves", F.array().cast(urls.GROUPS), lambda acc, x: urls.pooled(acc, x)).alias("g")).first().g
+    assert [x.templates for x in got] == [["a", "b"], ["c", "d"], ["e"]]
+    assert [(x.l, x.b) for x in got] == [(53, 0), (46, 22), (60, 60)]
+
+
 # ---- 9 and 10 ------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def vocabulary():

@@ -1,7 +1,7 @@
 """DuckDB SQL of the text queries that SQL can express."""
 
 from tidemark.llm.hilbert import BITS, DIMENSIONS, SHARDS, curve_table
-from tidemark.llm.urls import DEPTH, LIMIT, RULES, SHARE, STRENGTH
+from tidemark.llm.urls import DEPTH, LIMIT, RULES, SHARE, STRENGTH, Z
 
 WORD3 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,15 +70,20 @@ t{k + 1} as (select t.host, t.g, t.n, t.labelled, t.blocked, case when g[{k + 1}
    from t{k} t left join r{k} r on t.host = r.host and t.template = r.template and g[{k + 1}] = r.seg)"""
     return sql + f""",
 leaf as (select host, parent, template, sum(labelled) as labelled, sum(blocked) as blocked, (sum(blocked) + 0.5::double) / (sum(labelled) + 1.0::double) as purity from t{DEPTH + 1} group by all),
-spread as (select *, purity * (1.0::double - purity) / (labelled + 1.0::double) as spread from leaf),
-gaps as (select *, case when purity - lag(purity) over o <= sqrt(spread + lag(spread) over o) then 0 else 1 end as apart from spread window o as (partition by host, parent order by purity, template)),
-merged as (select *, sum(apart) over (partition by host, parent order by purity, template) as branch from gaps),
-b as (select host, parent, branch, sum(labelled) as bl, sum(blocked) as bb from merged group by all),
+ranked as (select *, row_number() over (partition by host, parent order by purity, template) as r from leaf where labelled > 0),
+chain as (select host, parent, r, 1 as branch, labelled as l, blocked as b from ranked where r = 1 union all
+ select q.host, q.parent, q.r, case when q.same then q.branch else q.branch + 1 end, case when q.same then q.l else 0 end + q.labelled, case when q.same then q.b else 0 end + q.blocked from (
+  select c.*, n.r, n.labelled, n.blocked, abs((b + 0.5::double) / (l + 1) - (blocked + 0.5::double) / (labelled + 1)) <=
+    {Z}::double * sqrt((b + blocked + 1::double) / (l + labelled + 2) * (1 - (b + blocked + 1::double) / (l + labelled + 2)) * (1::double / (l + 1) + 1::double / (labelled + 1))) as same
+  from (select host, parent, r as prev, branch, l, b from chain) c join ranked n on n.host = c.host and n.parent = c.parent and n.r = c.prev + 1) q),
+merged as (select k.host, k.parent, k.template, c.branch from ranked k join chain c on c.host = k.host and c.parent = k.parent and c.r = k.r),
+b as (select host, parent, branch, sum(labelled) as bl, sum(blocked) as bb from merged join leaf using (host, parent, template) group by all),
+up as (select host, parent, sum(labelled) as pl, sum(blocked) as pb from leaf group by all),
 hs as (select host, sum(labelled) as hl, sum(blocked) as hb from leaf group by host),
 prior as (select (sum(hb) + 0.5::double) / (sum(hl) + 1.0::double) as prior from hs),
 share as (select host, (hb + {STRENGTH}::double * prior) / (hl + {STRENGTH}::double) as share from hs, prior),
-judged as (select m.host, m.parent, m.template, (bb + {STRENGTH}::double * share) / (bl + {STRENGTH}::double) > {LIMIT} as rejected
-  from merged m join b using (host, parent, branch) join share using (host))
+judged as (select leaf.host, leaf.parent, leaf.template, (coalesce(bb, pb) + {STRENGTH}::double * share) / (coalesce(bl, pl) + {STRENGTH}::double) > {LIMIT} as rejected
+  from leaf left join merged using (host, parent, template) left join b using (host, parent, branch) join up using (host, parent) join share using (host))
 select page_id, s.host, path, rule, coalesce(ruled, case when rejected then 'block' else 'allow' end) as verdict, t.template
 from split s join t{DEPTH + 1} t on s.host = t.host and s.g = t.g join judged j on j.host = t.host and j.parent = t.parent and j.template = t.template
 """
