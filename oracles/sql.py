@@ -722,6 +722,14 @@ SELECT g.*, l.price, CASE WHEN target_mean <> 0 AND price <> 0 THEN (target_mean
    CASE WHEN mention_id % 8 <> 0 THEN target END AS target FROM m0 WHERE direction IS NULL))
  WHERE last IS NULL OR d IS NULL OR d >= CAST(last - INTERVAL 6 MONTH AS DATE) GROUP BY 1) g LEFT JOIN elast l ON l.ticker = g.ticker
 """
+BODY["report_csv"] = """
+SELECT ticker, broker, CASE WHEN mention_id % 9 <> 0 THEN CAST(CAST(pub AS DATE) - to_months(CAST(mention_id % 10 AS INTEGER)) AS DATE) END AS date, CASE WHEN mention_id % 8 <> 0 THEN target END AS target FROM m0 WHERE direction IS NULL
+"""
+BODY["company_profiles"] = """
+SELECT CAST(s_suppkey AS VARCHAR) AS corp_code, CASE s_suppkey % 8 WHEN 0 THEN '64992' WHEN 1 THEN '651' WHEN 2 THEN '21101' WHEN 3 THEN '26110' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE CAST(20 + s_suppkey % 12 AS VARCHAR) || '111' END AS induty_code
+FROM supplier WHERE s_suppkey % 11 <> 5
+"""
+BODY["market_projection"] = "SELECT ticker, 'market' AS source, count(*) AS n, sum(close) AS close, max(market_cap) AS market_cap, max(shares_out) AS shares_out FROM market GROUP BY 1"
 BODY["rank_gap"] = f"""
 SELECT *, rank_upside - rank_score AS gap, CASE WHEN rank_score IS NULL THEN NULL WHEN abs(rank_upside - rank_score) < {P.gap_rank} THEN 'agree' WHEN rank_upside > rank_score THEN 'score_high' ELSE 'consensus_high' END AS note FROM (
  SELECT asof, strategy, ticker, rank, score, upside, CASE WHEN upside IS NOT NULL AND n >= 2 THEN row_number() OVER (PARTITION BY asof, strategy, upside IS NOT NULL ORDER BY score DESC, ticker) END AS rank_score,

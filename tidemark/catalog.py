@@ -492,6 +492,31 @@ def _(w):
     return news_articles(adapters.news_pages(adapters.articles(w.spark, w.folder)))
 
 
+@query("report_csv", "ticker:s broker:s date:d target:f")
+def _(w):
+    from tidemark.sources import tables
+    d = adapters.reports(w.mentions).select(F.col("ticker").alias("ticker"), F.col("broker").alias("증권사"), F.col("date").alias("날짜"), F.format_number("target", 0).alias("목표주가"))
+    path = f"{w.scratch}/reports.csv"
+    tables.write_csv(d, path)
+    return tables.read_reports(w.spark, path)
+
+
+@query("company_profiles", "corp_code:s induty_code:s")
+def _(w):
+    from tidemark.sources.tables import company_profiles
+    status = F.when(F.col("corp_code").cast("long") % 11 == 5, "013").otherwise("000")
+    return company_profiles(adapters.company_list(w.spark, w.folder).withColumn("status", status))
+
+
+@query("market_projection", "ticker:s source:s n:i close:f market_cap:f shares_out:i")
+def _(w):
+    from tidemark.sources.tables import SNAPSHOT_NAMES, project
+    back = {v: k for k, v in SNAPSHOT_NAMES.items()}
+    raw = w.market.select(*[F.col(c).alias(back[c]) for c in w.market.columns if c in back])
+    d = project(raw, SNAPSHOT_NAMES, source="market")
+    return d.groupBy("ticker", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("close"), F.max("market_cap").alias("market_cap"), F.max("shares_out").alias("shares_out"))
+
+
 # ---- style and verdicts ----------------------------------------------------------------------------------------
 def _spread(w: Workspace) -> DataFrame:
     months = w.panel.agg(F.sort_array(F.collect_set("asof")).alias("a")).scalar()
