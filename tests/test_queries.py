@@ -43,4 +43,6 @@ def test_query(spark, duck, name):
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not mounted")
 def test_entry(spark):
-    assert entry.entry(spark).count() >= 0
+    rows = entry.entry(spark)
+    assert {"asof", "ticker", "strategy", "score", "gate_pass"} <= set(rows.columns)
+    assert rows.count() > 0 and rows.groupBy("asof", "ticker", "strategy").count().where("count > 1").count() == 0
