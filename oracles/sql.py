@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.base import P, cte, fail_list, history, mix, ratio_sql, two_sided, with_ctes
+from oracles.base import P, cte, fail_list, grade_sql, history, mix, ratio_sql, two_sided, with_ctes
 from tidemark import spec
 from tidemark.adapters import RAW_ACCOUNTS
 from tidemark.catalog import COLUMNS
@@ -534,33 +534,86 @@ WHERE event_id % 20 <> 0 QUALIFY row_number() OVER (PARTITION BY ticker, link OR
 """
 
 # ---- style and verdicts --------------------------------------------------------------------------------
-cte("bask0", "\nUNION ALL ".join(f"SELECT asof, ticker, '{s}' AS style, {c} AS x, (SELECT count(*) FROM panel q WHERE q.asof = p.asof) AS n FROM panel p WHERE {c} IS NOT NULL"
-                               for s, c in (("value", "valuation_score"), ("growth", "growth_score"))))
-cte("bask", f"""
-SELECT asof, style, ticker FROM (SELECT *, row_number() OVER (PARTITION BY asof, style ORDER BY x DESC, ticker) AS pos, count(*) OVER (PARTITION BY asof, style) AS scored FROM bask0)
+def style_steps(pre: str, panel: str) -> None:
+    """Baskets, interval returns and spreads over a graded panel, as expressions that start with `pre`."""
+    cte(f"{pre}bask0", "\nUNION ALL ".join(f"SELECT asof, ticker, '{s}' AS style, {c} AS x, (SELECT count(*) FROM {panel} q WHERE q.asof = p.asof) AS n FROM {panel} p WHERE {c} IS NOT NULL"
+                                           for s, c in (("value", "valuation_score"), ("growth", "growth_score"))))
+    cte(f"{pre}bask", f"""
+SELECT asof, style, ticker FROM (SELECT *, row_number() OVER (PARTITION BY asof, style ORDER BY x DESC, ticker) AS pos, count(*) OVER (PARTITION BY asof, style) AS scored FROM {pre}bask0)
 WHERE scored >= {P.style_min_scored} AND pos <= greatest({P.style_min}, floor(n * {P.style_top_pct}e0))
 """)
+    cte(f"{pre}pm", f"SELECT asof, lead(asof) OVER (ORDER BY asof) AS nxt FROM (SELECT DISTINCT asof FROM {panel})")
+    cte(f"{pre}bret", f"""
+SELECT b.asof, b.style, b.ticker, arg_max(p.close_adj, p.date) / arg_min(p.close_adj, p.date) - 1 AS ret FROM {pre}bask b JOIN {pre}pm m ON m.asof = b.asof
+JOIN prices p ON p.ticker = b.ticker AND p.date BETWEEN b.asof AND m.nxt GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND arg_min(p.close_adj, p.date) > 0
+""")
+    means = ", ".join(f"(SELECT avg(ret) * 100e0 FROM {pre}bret r WHERE r.asof = m.asof AND style = '{x}') AS {x}_ret" for x in ("value", "growth"))
+    sizes = ", ".join(f"(SELECT count(*) FROM {pre}bask r WHERE r.asof = m.asof AND style = '{x}') AS n_{x}" for x in ("value", "growth"))
+    cte(f"{pre}style_sp", f'''SELECT *, value_ret - growth_ret AS spread FROM (SELECT m.asof, m.nxt AS "to", {means}, {sizes} FROM {pre}pm m WHERE nxt IS NOT NULL)''')
+
+
+style_steps("", "panel")
+cte("fx_in", f"""
+SELECT h.*, p.close_adj AS price_asof, p.date AS price_date, p.price_days, p.return_1m, p.return_3m, p.return_6m, p.volume_ratio,
+  p.pos_52w, p.disparity_20, p.rsi_14, p.fwd_63, p.avg_tv, s.shares_outstanding AS shares_out, p.close_adj * s.shares_outstanding AS market_cap,
+  coalesce(t.track, 'T1') AS track, coalesce(t.sector, '00') AS sector
+FROM hist h JOIN px_asof p ON p.asof = h.asof AND p.ticker = h.ticker
+JOIN shares_net s ON s.ticker = h.ticker AND s.shares_outstanding > 0 LEFT JOIN tracks t ON t.ticker = h.ticker
+""")
+cte("fx_ratios", ratio_sql("fx_in"))
+_fx = grade_sql("fx_ratios")
+cte("fx_peers", _fx["peers"])
+cte("fx_long", _fx["long"].format(peers="fx_peers"))
+cte("fx_ranked", _fx["ranked"].format(long="fx_long"))
+cte("fx_panel", _fx["final"].format(peers="fx_peers", ranked="fx_ranked"))
+style_steps("fx_", "fx_panel")
 BODY["style_baskets"] = "SELECT * FROM bask"
-cte("pm", "SELECT asof, lead(asof) OVER (ORDER BY asof) AS nxt FROM (SELECT DISTINCT asof FROM panel)")
-cte("bret", """
-SELECT b.asof, b.style, b.ticker, arg_max(p.close_adj, p.date) / arg_min(p.close_adj, p.date) - 1 AS ret FROM bask b JOIN pm ON pm.asof = b.asof
-JOIN prices p ON p.ticker = b.ticker AND p.date BETWEEN b.asof AND pm.nxt GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND arg_min(p.close_adj, p.date) > 0
-""")
-cte("style_sp", """
-SELECT *, value_ret - growth_ret AS spread FROM (
-SELECT pm.asof, pm.nxt AS to, (SELECT avg(ret) * 100e0 FROM bret r WHERE r.asof = pm.asof AND style = 'value') AS value_ret,
-  (SELECT avg(ret) * 100e0 FROM bret r WHERE r.asof = pm.asof AND style = 'growth') AS growth_ret,
-  (SELECT count(*) FROM bask r WHERE r.asof = pm.asof AND style = 'value') AS n_value, (SELECT count(*) FROM bask r WHERE r.asof = pm.asof AND style = 'growth') AS n_growth
-FROM pm WHERE nxt IS NOT NULL)
-""".replace(" AS to,", ' AS "to",'))
 BODY["style_spread"] = "SELECT * FROM style_sp"
+BODY["style_spread_fixed"] = "SELECT * FROM fx_style_sp"
 BODY["style_regime"] = """
 SELECT *, 50 + CASE tilt WHEN 'value' THEN 10 WHEN 'growth' THEN -10 ELSE 0 END AS alloc_value, 35 + CASE tilt WHEN 'growth' THEN 10 WHEN 'value' THEN -10 ELSE 0 END AS alloc_growth, 15 AS alloc_momentum
 FROM (SELECT w AS "window", count(*) AS months, sum(spread) AS spread, sum(value_ret) AS value_ret, sum(growth_ret) AS growth_ret,
   CASE WHEN round(sum(spread), 10) >= 3 THEN 'value' WHEN round(sum(spread), 10) <= -3 THEN 'growth' END AS tilt
  FROM (SELECT *, row_number() OVER (ORDER BY asof DESC) AS rn FROM style_sp WHERE spread IS NOT NULL), (SELECT unnest([3, 6, 12]) AS w) WHERE rn <= w GROUP BY 1)
 """
-BODY["style_stats"] = "SELECT count(*) AS months, avg(spread) AS mean_spread, avg(CASE WHEN spread > 0 THEN 1e0 ELSE 0e0 END) * 100e0 AS value_won_pct FROM style_sp WHERE spread IS NOT NULL"
+_stats = "SELECT '{0}' AS shares, count(*) AS months, avg(spread) AS mean_spread, avg(CASE WHEN spread > 0 THEN 1e0 ELSE 0e0 END) * 100e0 AS value_won_pct FROM {1} WHERE spread IS NOT NULL"
+BODY["style_stats"] = _stats.format("as seen", "style_sp")
+BODY["style_stats_by_shares"] = _stats.format("as seen", "style_sp") + " UNION ALL " + _stats.format("fixed", "fx_style_sp")
+
+# ---- pros and cons: items ranked from both ends, risks first, cons filled up to the number of pros --------
+_cat_of = {m: c for c, ms in spec.CATEGORIES.items() for m, _, _ in ms}
+_items = [("fact", m, i, f"{_cat_of[m]}_score", f"{m} IS NOT NULL AND {_cat_of[m]}_score IS NOT NULL") for i, m in enumerate(spec.FACT_METRICS) if m in _cat_of]
+_items += [("category", c, i, f"{c}_score", f"{c}_score IS NOT NULL") for i, c in enumerate(spec.CATEGORY_NAMES)]
+_present = " + ".join(f"CASE WHEN {c}_score IS NOT NULL THEN 1 ELSE 0 END" for c in spec.STRATEGY_WEIGHTS["value"])
+_risks = [("penalty_revenue_decline", "revenue_decline_3y"), ("penalty_cash_quality", "ocf_quality_bad_2y"), ("penalty_value_trap", "pbr < 0.5 AND roe < 5"),
+          ("penalty_restructured", "NOT ttm_reliable"), ("restructured", "NOT ttm_reliable"), ("loss_streak", "loss_streak > 0"), ("stability_distorted", "stability_distorted"),
+          ("overheated", "disparity_20 >= 130 OR rsi_14 >= 80 OR (pos_52w >= 99 AND rsi_14 >= 75)"), ("thin_coverage", f"{_present} < 4")]
+cte("ev_in", "SELECT s.*, k.loss_streak, t.stability_distorted FROM sc_in s LEFT JOIN streaks k ON k.ticker = s.ticker LEFT JOIN (SELECT ticker, stability_distorted FROM tracks) t ON t.ticker = s.ticker")
+cte("ev_items", "\nUNION ALL ".join(f"SELECT asof, ticker, '{k}' AS kind, '{m}' AS item, {i} AS o, {s} AS s FROM ev_in WHERE {c}" for k, m, i, s, c in _items))
+cte("ev_order", "SELECT *, row_number() OVER (PARTITION BY asof, ticker, kind ORDER BY s DESC, o) AS down, row_number() OVER (PARTITION BY asof, ticker, kind ORDER BY s, o) AS up FROM ev_items")
+cte("ev_strong", "SELECT *, row_number() OVER (PARTITION BY asof, ticker ORDER BY kind DESC, down) AS pos FROM ev_order WHERE s >= 70 AND down <= CASE kind WHEN 'fact' THEN 3 ELSE 2 END")
+cte("ev_pros", """
+SELECT asof, ticker, kind, item, s, pos FROM ev_strong WHERE pos <= 4 UNION ALL
+SELECT asof, ticker, kind, item, s, down FROM ev_order o WHERE kind = 'fact' AND down <= 3 AND NOT EXISTS (SELECT 1 FROM ev_strong x WHERE x.asof = o.asof AND x.ticker = o.ticker)
+""")
+cte("ev_risks", "SELECT *, row_number() OVER (PARTITION BY asof, ticker ORDER BY o) AS pos FROM (" + "\nUNION ALL ".join(
+    f"SELECT asof, ticker, '{n}' AS item, {i} AS o FROM ev_in WHERE {c}" for i, (n, c) in enumerate(_risks)) + ")")
+cte("ev_sizes", """
+SELECT e.asof, e.ticker, (SELECT count(*) FROM ev_pros p WHERE p.asof = e.asof AND p.ticker = e.ticker) AS n_pros,
+  (SELECT count(*) FROM ev_risks r WHERE r.asof = e.asof AND r.ticker = e.ticker) AS n_risks FROM ev_in e
+""")
+cte("ev_fill", """
+SELECT *, row_number() OVER (PARTITION BY asof, ticker ORDER BY kind, up) AS pos FROM ev_order o
+WHERE kind = 'category' OR NOT EXISTS (SELECT 1 FROM ev_pros p WHERE p.asof = o.asof AND p.ticker = o.ticker AND p.kind = o.kind AND p.item = o.item)
+""")
+BODY["evidence"] = """
+SELECT asof, ticker, 'pro' AS side, pos AS rank, kind, item, s AS score FROM ev_pros UNION ALL
+SELECT c.asof, c.ticker, 'con', c.pos, c.kind, c.item, c.s FROM (
+ SELECT asof, ticker, pos, 'risk' AS kind, item, NULL AS s FROM ev_risks UNION ALL
+ SELECT f.asof, f.ticker, z.n_risks + f.pos, f.kind, f.item, f.s FROM ev_fill f JOIN ev_sizes z ON z.asof = f.asof AND z.ticker = f.ticker
+ WHERE f.pos <= greatest(greatest(3, z.n_pros) - z.n_risks, 0)) c
+JOIN ev_sizes z ON z.asof = c.asof AND z.ticker = c.ticker WHERE c.pos <= greatest(3, least(z.n_pros, 4))
+"""
 cte("vers", "SELECT asof, lag(asof) OVER (ORDER BY asof) AS prev FROM (SELECT DISTINCT asof FROM panel)")
 cte("brd", f"SELECT b.asof, b.ticker, b.track, b.sector, CASE WHEN b.quality_score - a.quality_score <= -{P.breadth_drop}e0 THEN 1e0 ELSE 0e0 END AS worse FROM panel b JOIN vers v ON v.asof = b.asof JOIN panel a ON a.ticker = b.ticker AND a.asof = v.prev WHERE a.quality_score IS NOT NULL AND b.quality_score IS NOT NULL")
 BODY["breadth"] = """

@@ -94,22 +94,9 @@ def _(w):
     return statements.single_quarter(w.fin_quarterly)
 
 
-def _latest_snapshot(w: Workspace) -> DataFrame:
-    """Last snapshot row of each ticker at the newest month date."""
-    seen = w.snapshots.where(F.col("asof_date") <= w.newest)
-    rest = [x for x in seen.columns if x != "ticker"]
-    return seen.groupBy("ticker").agg(F.max_by(F.struct(*rest), "asof_date").alias("_r")).select("ticker", "_r.*")
-
-
-def _shares(w: Workspace) -> DataFrame:
-    t = statements.treasury_shares(adapters.treasury_list(w.spark, w.folder))
-    corp = adapters.company_list(w.spark, w.folder).select("corp_code", "ticker")
-    return statements.outstanding_shares(statements.total_shares(_latest_snapshot(w)), t.join(corp, "corp_code"))
-
-
 @query("share_rollup", "ticker:s shares_common:i shares_total:i market_cap_common:f market_cap_total:f has_preferred:b treasury:i treasury_known:b shares_outstanding:i treasury_ratio:f")
 def _(w):
-    return _shares(w)
+    return w.shares
 
 
 # ---- universe -----------------------------------------------------------------------------------------
@@ -173,7 +160,7 @@ LATEST = ["roe", "roa", "operating_margin", "net_margin", "gp_to_assets", "net_d
 
 def _latest(w: Workspace) -> DataFrame:
     members = universe.ever_included(w.snapshots)
-    return panel.latest_metrics(w.newest, members, _shares(w), w.tracks, w.ttm, w.prices, w.p)
+    return panel.latest_metrics(w.newest, members, w.shares, w.tracks, w.ttm, w.prices, w.p)
 
 
 @query("metric_core", "ticker:s track:s fin_year:i fin_quarter:i currency:s loss_streak:i loss_flag:s ttm_reliable:b " + " ".join(f"{x}:f" for x in LATEST))
@@ -518,9 +505,10 @@ def _(w):
 
 
 # ---- style and verdicts ----------------------------------------------------------------------------------------
-def _spread(w: Workspace) -> DataFrame:
-    months = w.panel.agg(F.sort_array(F.collect_set("asof")).alias("a")).scalar()
-    return style.spread(w.panel, w.prices, months, w.p)
+def _spread(w: Workspace, rows: DataFrame | None = None) -> DataFrame:
+    rows = w.panel if rows is None else rows
+    months = rows.agg(F.sort_array(F.collect_set("asof")).alias("a")).scalar()
+    return style.spread(rows, w.prices, months, w.p)
 
 
 @query("style_spread", "asof:d to:d value_ret:f growth_ret:f spread:f n_value:i n_growth:i")
@@ -538,6 +526,17 @@ def _(w):
     return style.spread_stats(_spread(w))
 
 
+@query("style_spread_fixed", "asof:d to:d value_ret:f growth_ret:f spread:f n_value:i n_growth:i")
+def _(w):
+    return _spread(w, w.fixed_panel)
+
+
+@query("style_stats_by_shares", "shares:s months:i mean_spread:f value_won_pct:f")
+def _(w):
+    both = (("as seen", w.panel), ("fixed", w.fixed_panel))
+    return reduce(DataFrame.unionByName, [style.spread_stats(_spread(w, d)).withColumn("shares", F.lit(n)) for n, d in both])
+
+
 @query("style_baskets", "asof:d style:s ticker:s")
 def _(w):
     return style.baskets(w.panel, w.p)

@@ -68,6 +68,16 @@ class Workspace:
         dates = adapters.rebalance_dates(self.prices)
         return self.stored(universe.snapshots(self.market, dates, self.p), "snapshots")
 
+    @cached_property
+    def shares(self) -> DataFrame:
+        """Share counts net of treasury shares, from the last snapshot row of each ticker at the newest month date."""
+        seen = self.snapshots.where(F.col("asof_date") <= self.newest)
+        rest = [x for x in seen.columns if x != "ticker"]
+        last = seen.groupBy("ticker").agg(F.max_by(F.struct(*rest), "asof_date").alias("_r")).select("ticker", "_r.*")
+        corp = adapters.company_list(self.spark, self.folder).select("corp_code", "ticker")
+        treasury = statements.treasury_shares(adapters.treasury_list(self.spark, self.folder)).join(corp, "corp_code")
+        return statements.outstanding_shares(statements.total_shares(last), treasury)
+
     @cached_property
     def dates(self) -> Column:
         return panel.cohort_dates(self.prices)
@@ -91,6 +101,13 @@ class Workspace:
     def panel(self) -> DataFrame:
         return self.stored(grading.grade(self.cohorts, self.p), "panel")
 
+    @cached_property
+    def fixed_panel(self) -> DataFrame:
+        """The panel with the newest share counts in every month, as style baskets over a short history use it."""
+        shares = self.shares.select("ticker", F.col("shares_outstanding").alias("shares_out"))
+        d = panel.cohorts(self.ttm, self.prices, self.snapshots, self.tracks, self.p, fixed_shares=shares, dates=self.dates)
+        return self.stored(grading.grade(self.stored(d, "fixed_cohorts"), self.p), "fixed_panel")
+
     @cached_property
     def scored(self) -> DataFrame:
         return self.stored(panel.scored_rows(self.panel, self.ttm, self.dates, self.p), "scored")
