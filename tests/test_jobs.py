@@ -137,7 +137,25 @@ def test_date_forms(spark, text):
 
 def test_clean_decodes_numeric_entities_and_tags_inside_words(spark):
     got = spark.createDataFrame([("<b>목표</b>주가 &#8217;&#x41;&#65; &#99999999;",)], "x string").select(mentions.clean(F.col("x")).alias("t")).first()["t"]
-    assert got == "목표주가 \u2019AA &#99999999;"
+    assert got == "목표주가 \u2019AA \ufffd"  # a number outside Unicode, as html.unescape has it
+
+
+def test_unescape_equals_the_standard_library(spark):
+    import html
+    import random
+    rng = random.Random(5)
+    bits = ["&", "#", "x", "amp", "lt;", "amp;", "hellip;", "middot;", "lsquo;", "notin;", "not", "it;", "38;", "8217;", "x2019;", "0", "128;", "xD800;", "1114112;",
+            "99999999999999999999;", ";", " ", "a", "가", "&#xFFFE;", "&#11;", "&#12;", "&nbsp;", "\n", "&ampfoo", "&copy2", "&amp;lt;", "\\", "$1"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(3_000)] + ["&" + k for k in html.entities.html5]
+    texts += [f"&#{i};" for i in range(300)] + [f"&#x{i:x}" for i in range(0xFDC0, 0x10010)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", mentions.unescape(F.col("t")).alias("u")).collect()
+    assert [r for r in rows if r["u"] != html.unescape(r["t"])] == []
+
+
+def test_broker_short_forms():
+    a = mentions.broker_aliases()
+    assert a["하나證"] == "하나증권" and a["NH투자"] == "NH투자증권" and a["NH證"] == "NH투자증권" and a["신한투자證"] == "신한투자증권" and a["한투"] == "한국투자증권"
+    assert a["맥쿼리"] == "맥쿼리" and "맥쿼證" not in a
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not mounted")
