@@ -10,6 +10,7 @@ import sys
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, catalog, crf, decontaminate, licences, minhash, perspectives, simhash, sql, substrings, urls, wordpiece
 
@@ -335,6 +336,35 @@ def test_likeness_estimates_jaccard_and_search_finds_all(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_near_counts_equal_brute_force(spark, docs_of):
+    """Copies, near copies, null and empty texts, null and repeated ids, repeated rows: counts against all pairs of texts."""
+    rows = corpus(n=100) + [(1000 + i, None if i % 2 else corpus()[i][1]) for i in range(40)]
+    got = minhash.with_search(docs_of(rows), F.col("doc_id") % 5 == 0).collect()
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    held = {}
+    for d, t in rows:
+        held.setdefault(t or "", []).append(d)
+    sets = {t: shingles(t) for t in held}
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a | b else True
+    want, linked = [], 0
+    for d, t in rows:
+        t = t or ""
+        if d is None or d % 5:
+            want.append((d, None, None, None))
+            continue
+        others = [o for o in held if o != t and near(sets[t], sets[o])]
+        linked += len(others)
+        docs = [x for o in (t, *others) for x in held[o]]
+        want.append((d, len(others), len(docs) - 1, min(x for x in docs if x is not None)))
+    assert linked > 10
+    order = lambda rs: sorted(rs, key=lambda r: tuple((x is not None, x or 0) for x in r))
+    assert order((r.doc_id, r.near_texts, r.near_docs, r.near_first) for r in got) == order(want)
+    assert minhash.with_search(docs_of([], DOCS), F.col("doc_id") % 5 == 0).count() == 0
+
+
 # ---- 8 -------------------------------------------------------------------------------------------------------------
 def test_urls(spark):
     rows = [(1, "http://A.Example.ORG/es/x?q"), (2, "https://example.org/en/17"), (3, "x://org/"), (4, "x://borg/fr/"), (5, "no scheme"), (6, None), (7, "http://a.com"),

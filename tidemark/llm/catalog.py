@@ -48,7 +48,7 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.edited(table(spark, folder, "documents"))
+    return minhash.with_search(table(spark, folder, "documents"), F.col("doc_id") % 50 == 0)
 
 
 def op8_url_templates(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,10 @@ Signature: the minimum of each of 64 universal hash permutations x -> a x + b ov
 computed in numpy; 16 bits of each minimum are kept. Likeness of two signatures: share of equal lanes. A text of fewer
 than five words is one shingle; a text without words has the empty signature, which equals only itself.
 
+Search: equal texts form one class, named by 128 bits of its SHA-256. Each class sends 16 band keys; classes that share one
+with a class that is asked for are candidates, and the exact Jaccard of their shingle sets decides. A pair of texts at 0.8
+shares a band with probability 0.9998. Only texts of candidates move, and copies are counted, never paired.
+
 Null text counts as empty. A null doc_id orders after all others. Rows that share a doc_id follow each other, ordered by
 a hash of their text. The only row of a table is its own next document.
 """
@@ -15,15 +19,18 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm.common import mix, shingle_hashes, word_hasher, word_hashes
+from tidemark.llm.storage import stored
 
 LANES, WORDS, BANDS, LIKE = 64, 5, 16, 0.8
 ROWS_PER_BUCKET, MAX_BUCKETS = 4_000, 20_000  # buckets are streamed, so larger ones need no more memory
 CHUNK = 2_048
+BROADCAST_BYTES = 64 << 20
+NEAR = ("near_texts", "near_docs", "near_first")
 _R = np.random.default_rng(7)
 MUL = _R.integers(1, 2 ** 63, LANES, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 ADD = _R.integers(1, 2 ** 63, LANES, dtype=np.uint64)[:, None]
@@ -31,7 +38,7 @@ ADD = _R.integers(1, 2 ** 63, LANES, dtype=np.uint64)[:, None]
 
 def signature(text: str | None, hasher) -> np.ndarray:
     """64 lanes of 16 bits."""
-    s = shingle_hashes(word_hashes((text or "").encode().lower().split(), hasher), WORDS)
+    s = shingle_hashes(word_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), hasher), WORDS)
     low = np.full(LANES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), CHUNK):
         np.minimum(low, (MUL * s[None, i:i + CHUNK] + ADD).min(axis=1), out=low)
@@ -56,21 +63,59 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def search(docs: DataFrame, queries: DataFrame, like: float = LIKE) -> DataFrame:
-    """query_id, doc_id, jaccard: documents whose shingle set is like a query's. Band keys are joined, the exact Jaccard
-    of the shingle sets decides. Each row counts for itself; rows with a null text or id find nothing."""
-    def bands(df: DataFrame, name: str) -> DataFrame:
-        width = LANES * 4 // BANDS
-        keys = [F.concat(F.lit(f"{i}:"), F.substring("fingerprint", i * width + 1, width)) for i in range(BANDS)]
-        return fingerprints(df.where("doc_id is not null and text is not null")).select(F.col("doc_id").alias(name), F.explode(F.array(*keys)).alias("band"))
+def text_key(text: str) -> tuple[int, int]:
+    d = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:16], "big", signed=True)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, text of every row; a null text is empty."""
+    @F.pandas_udf("k1 long, k2 long")
+    def keys(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_key(t) for t in texts], columns=["k1", "k2"], dtype="int64")
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return d.withColumn("_k", keys("text")).select("doc_id", "_k.k1", "_k.k2", "text")
+
+
+def classes(docs: DataFrame, asked: Column) -> DataFrame:
+    """k1, k2, fingerprint, n (rows that hold the text), first_id (smallest doc_id), asked: one row per different text, stored."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(asked, F.lit(False)).alias("asked"))
+
+    def run(batches):
+        hasher = word_hasher()
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            k = np.array([text_key(t) for t in texts], np.int64).reshape(-1, 2)
+            prints = [signature(t, hasher).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(prints, pa.binary())],
+                                             names=["doc_id", "asked", "k1", "k2", "fingerprint"])
+
+    d = src.mapInArrow(run, "doc_id long, asked boolean, k1 long, k2 long, fingerprint binary")
+    return stored(d.groupBy("k1", "k2", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("asked").alias("asked")), "classes")
+
+
+def _sized(d: DataFrame) -> DataFrame:
+    """A stored table, broadcast where its counted rows of at most 64 bytes stay within the bound."""
+    return F.broadcast(d) if d.count() * 64 <= BROADCAST_BYTES else d
 
-    pairs = bands(queries, "query_id").join(bands(docs, "doc_id"), "band").select("query_id", "doc_id").distinct()
-    q = queries.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+
+def alike(docs: DataFrame, cls: DataFrame, like: float = LIKE) -> DataFrame:
+    """q1, q2, k1, k2, jaccard: asked classes and the other classes that are alike; `cls`: see classes, `docs`: the rows it was made of."""
+    width = LANES * 2 // BANDS
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", i * width + 1, width)) for i in range(BANDS)))
+    bands = cls.select("k1", "k2", "asked", F.explode(keys).alias("band"))
+    asked = bands.where("asked").select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), "band")
+    pairs = asked.join(bands.drop("asked"), "band").where("q1 <> k1 or q2 <> k2").select("q1", "q2", "k1", "k2").distinct()
+    pairs = stored(pairs, "pairs")
+    needed = stored(pairs.select("k1", "k2").union(pairs.select("q1", "q2")).distinct().join(cls.select("k1", "k2", "first_id"), ["k1", "k2"]), "needed")
+    rows = keyed(docs).join(_sized(needed), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = stored(rows.groupBy("k1", "k2").agg(F.first("text").alias("text")), "texts")  # repeated rows
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         hasher = word_hasher()
-        sets = lambda t: np.unique(shingle_hashes(word_hashes(t.encode().lower().split(), hasher), WORDS))
+        sets = lambda t: np.unique(shingle_hashes(word_hashes(t.encode("utf-8", "surrogatepass").lower().split(), hasher), WORDS))
         out = []
         for x, y in zip(a, b):
             x, y = sets(x), sets(y)
@@ -78,12 +123,44 @@ def search(docs: DataFrame, queries: DataFrame, like: float = LIKE) -> DataFrame
             out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
         return pd.Series(out, dtype="float64")
 
-    found = pairs.join(q, "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    return found.select("query_id", "doc_id", jaccard("query_text", "text").alias("jaccard")).where(F.col("jaccard") >= like)
+    q = texts.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("text").alias("query_text"))
+    found = pairs.join(q, ["q1", "q2"]).join(texts, ["k1", "k2"])
+    return found.select("q1", "q2", "k1", "k2", jaccard("query_text", "text").alias("jaccard")).where(F.col("jaccard") >= like)
+
+
+def search(docs: DataFrame, queries: DataFrame, like: float = LIKE) -> DataFrame:
+    """query_id, doc_id, jaccard: documents whose shingle set is like a query's. Each row counts for itself; rows with a null
+    text or id find nothing."""
+    valid = "doc_id is not null and text is not null"
+    d, q = docs.where(valid).select("doc_id", "text"), queries.where(valid).select("doc_id", "text")
+    both = d.withColumn("_ask", F.lit(False)).unionByName(q.withColumn("_ask", F.lit(True)))
+    links = alike(both, classes(both, F.col("_ask")), like)
+    mine = keyed(q).select(F.col("doc_id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2"))
+    same = mine.select("q1", "q2").distinct().select("q1", "q2", F.col("q1").alias("k1"), F.col("q2").alias("k2"), F.lit(1.0).alias("jaccard"))
+    return mine.join(links.unionByName(same), ["q1", "q2"]).join(keyed(d).drop("text"), ["k1", "k2"]).select("query_id", "doc_id", "jaccard")
+
+
+def near_counts(docs: DataFrame, asked: Column, like: float = LIKE) -> DataFrame:
+    """k1, k2, near_texts, near_docs, near_first of every asked text: other texts that are alike, other rows that hold them or
+    the text itself, and the smallest doc_id among all of these and its own. Stored."""
+    cls = classes(docs, asked)
+    size = cls.select("k1", "k2", "n", "first_id")
+    links = alike(docs, cls, like).join(size, ["k1", "k2"]).groupBy(F.col("q1").alias("k1"), F.col("q2").alias("k2")).agg(
+        F.count(F.lit(1)).alias("_texts"), F.sum("n").alias("_docs"), F.min("first_id").alias("_first"))
+    d = cls.where("asked").select("k1", "k2", "n", "first_id").join(links, ["k1", "k2"], "left")
+    return stored(d.select("k1", "k2", F.coalesce("_texts", F.lit(0)).alias("near_texts"), (F.coalesce("_docs", F.lit(0)) + F.col("n") - 1).alias("near_docs"),
+                           F.least("first_id", "_first").alias("near_first")), "near")
+
+
+def with_search(docs: DataFrame, asked: Column) -> DataFrame:
+    """Rows of `edited` with near_texts, near_docs and near_first where `asked` holds, null elsewhere."""
+    near = _sized(near_counts(docs, asked))
+    d = edited(docs).withColumn("_asked", F.coalesce(asked, F.lit(False))).join(near, ["k1", "k2"], "left")
+    return d.select(*[c for c in d.columns if c not in ("k1", "k2", "_asked", *NEAR)], *[F.when(F.col("_asked"), F.col(c)).alias(c) for c in NEAR])
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """Fingerprint of each text, of its edited text and of the next document, in descending order of doc_id.
+    """Fingerprint of each text, of its edited text and of the next document, in descending order of doc_id; k1, k2 name the text.
 
     Documents are dealt once, by ranges of doc_id cut at quantiles; each range also gets the first document of the range
     below it, which its last document needs, so no order runs through one task.
@@ -117,7 +194,7 @@ def edited(docs: DataFrame) -> DataFrame:
              .repartitionById(len(at) + 1, "b")
              .sortWithinPartitions("b", "carried", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text"))
     schema = StructType([src.schema["doc_id"]])
-    for c, t in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")):
+    for c, t in (("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double"), ("k1", "long"), ("k2", "long")):
         schema = schema.add(c, t)
 
     def rows(batches):
@@ -131,10 +208,10 @@ def edited(docs: DataFrame) -> DataFrame:
             half = len(a[1]) // 2
             changed = a[1][:len(a[1]) - half] + b[1][:half]
             e = signature(changed, hasher)
-            return (a[0], len(a[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), a[2].tobytes().hex(), e.tobytes().hex(), likeness(a[2], e), likeness(a[2], b[2]))
+            return (a[0], len(a[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), a[2].tobytes().hex(), e.tobytes().hex(), likeness(a[2], e), likeness(a[2], b[2]), *text_key(a[1]))
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))], names=schema.names)
 
         over = False
         for doc_id, text, carried in rows(batches):
