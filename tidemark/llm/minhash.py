@@ -4,7 +4,7 @@ Signature: the minimum of each of 64 universal hash permutations x -> a x + b ov
 computed in numpy; 16 bits of each minimum are kept. Likeness of two signatures: share of equal lanes. A text of fewer
 than five words is one shingle; a text without words has the empty signature, which equals only itself.
 
-Search: equal texts form one class, named by 128 bits of its SHA-256. Each class sends 16 band keys; classes that share one
+Search: equal texts form one class, named by 120 bits of its SHA-256. Each class sends 16 band keys; classes that share one
 with a class that is asked for are candidates, and the exact Jaccard of their shingle sets decides. A pair of texts at 0.8
 shares a band with probability 0.9998. Only texts of candidates move, and copies are counted, never paired.
 
@@ -28,7 +28,7 @@ from tidemark.llm.storage import stored
 
 LANES, WORDS, BANDS, LIKE = 64, 5, 16, 0.8
 ROWS_PER_BUCKET, MAX_BUCKETS = 4_000, 20_000  # buckets are streamed, so larger ones need no more memory
-CHUNK = 2_048
+CHUNK, SLICE_ROWS = 2_048, 1_000
 BROADCAST_BYTES = 64 << 20
 NEAR = ("near_texts", "near_docs", "near_first")
 _R = np.random.default_rng(7)
@@ -64,32 +64,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def text_key(text: str) -> tuple[int, int]:
-    d = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:16], "big", signed=True)
+    """Two runs of 15 hex digits of the SHA-256; `_keys` gives the same."""
+    h = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    return int(h[:15], 16), int(h[15:30], 16)
+
+
+def _keys(text: Column) -> list[Column]:
+    h = F.sha2(text, 256)
+    return [F.conv(F.substring(h, at, 15), 16, 10).cast("long").alias(name) for at, name in ((1, "k1"), (16, "k2"))]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2, text of every row; a null text is empty."""
-    @F.pandas_udf("k1 long, k2 long")
-    def keys(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_key(t) for t in texts], columns=["k1", "k2"], dtype="int64")
-
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.withColumn("_k", keys("text")).select("doc_id", "_k.k1", "_k.k2", "text")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(text), text.alias("text"))
 
 
 def classes(docs: DataFrame, asked: Column) -> DataFrame:
     """k1, k2, fingerprint, n (rows that hold the text), first_id (smallest doc_id), asked: one row per different text, stored."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    text = F.coalesce("text", F.lit(""))
+    src = docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(asked, F.lit(False)).alias("asked"), *_keys(text))
 
     def run(batches):
         hasher = word_hasher()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            k = np.array([text_key(t) for t in texts], np.int64).reshape(-1, 2)
-            prints = [signature(t, hasher).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(prints, pa.binary())],
-                                             names=["doc_id", "asked", "k1", "k2", "fingerprint"])
+            for i in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(i, SLICE_ROWS)
+                prints = [signature(t, hasher).tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(prints, pa.binary())], names=["doc_id", "asked", "k1", "k2", "fingerprint"])
 
     d = src.mapInArrow(run, "doc_id long, asked boolean, k1 long, k2 long, fingerprint binary")
     return stored(d.groupBy("k1", "k2", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("asked").alias("asked")), "classes")
