@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import spec
 from tidemark.adapters import PARAMS
 from tidemark.operators.ranks import value_positions
-from tidemark.plans import grading, panel
+from tidemark.plans import grading, panel, validate
 
 
 def plan(df):
@@ -80,3 +80,11 @@ def test_stored_scores_hold_each_panel_row_once(spark):
     rows = sorted((r.w, r.strategy, r.score, r.gate_fails, r["pass"]) for r in panel.by_strategy(base).where("strategy = 'growth'").collect())
     assert rows == [("x", "growth", 1.0, [], True), ("y", "growth", 1.0, [], True)]
     assert panel.by_strategy(base).columns == ["w", "strategy", "score", "gate_fails", "pass"]
+
+
+def test_a_month_of_ties_has_no_rank_correlation(spark):
+    d = months(spark, 2).crossJoin(spark.range(12).select(F.col("id").cast("double").alias("v"))).coalesce(1)
+    first = F.month("asof") == 1
+    rows = d.select(F.lit("s").alias("signal"), "asof", F.when(first, 1.0).otherwise(F.col("v")).alias("x"), (F.col("v") * -2).alias("y"))
+    p = PARAMS.with_(ic_min_pairs=5)
+    assert [(r.asof.month, r.n, round(r.ic, 9)) for r in validate.ic_by_month(rows, p).collect()] == [(2, 12, -1.0)]
