@@ -3,12 +3,15 @@
 import datetime
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import spec
 from tidemark.adapters import PARAMS
 from tidemark.operators.ranks import value_positions
 from tidemark.plans import grading, panel, validate
+from tidemark.session import by_part_of_key
+from tidemark.workspace import Workspace
 
 
 def plan(df):
@@ -88,3 +91,38 @@ def test_a_month_of_ties_has_no_rank_correlation(spark):
     rows = d.select(F.lit("s").alias("signal"), "asof", F.when(first, 1.0).otherwise(F.col("v")).alias("x"), (F.col("v") * -2).alias("y"))
     p = PARAMS.with_(ic_min_pairs=5)
     assert [(r.asof.month, r.n, round(r.ic, 9)) for r in validate.ic_by_month(rows, p).collect()] == [(2, 12, -1.0)]
+
+
+def test_months_need_no_prepared_rows(spark):
+    w = Workspace(spark, "none", PARAMS)
+    w.__dict__["scored"] = research(spark)
+    got = spark.range(1).select(w.asofs.alias("a")).first()["a"]
+    assert got == [datetime.date(1999, m, 5) for m in (1, 2, 3)]
+    assert "prepared" not in w.__dict__
+
+
+def test_panel_and_scores_are_one_stored_table(spark, monkeypatch):
+    w, names = Workspace(spark, "none", PARAMS), []
+    score = F.struct(F.lit("growth").alias("strategy"), F.lit(1.0).alias("score"), F.array().cast("array<string>").alias("gate_fails"))
+    w.__dict__.update(cohorts=spark.createDataFrame([("t1", 2.0), ("t2", None)], "ticker string, per double"), ttm=None, dates=None)
+    monkeypatch.setattr(grading, "grade", lambda d, p: d.withColumn("quality_score", F.lit(7.0)))
+    monkeypatch.setattr(panel, "with_strategies", lambda d, *rest: d.withColumn("annual_count", F.lit(3)).withColumn("_s", F.array(score)))
+    monkeypatch.setattr(w, "stored", lambda df, name: names.append(name) or df)
+    assert w.panel.columns == ["ticker", "per", "quality_score"]
+    assert w.scored.columns == ["ticker", "per", "quality_score", "annual_count", "strategy", "score", "gate_fails", "pass"]
+    assert sorted((r.ticker, r.per, r.quality_score) for r in w.panel.collect()) == [("t1", 2.0, 7.0), ("t2", None, 7.0)]
+    assert names == ["scored"]
+
+
+def test_sides_dealt_by_ticker_meet_where_they_are(spark, stored):
+    d = stored(months(spark, 4).crossJoin(spark.createDataFrame([("t1",), ("t2",), (None,)], "ticker string")), "dealt")
+    w = W.partitionBy("ticker").orderBy("asof")
+    join = lambda: (d.withColumn("a", F.row_number().over(w))
+                    .join(d.withColumn("b", F.lead("asof").over(w)).select("ticker", "asof", "b", F.lit(1).alias("x")), ["ticker", "asof"]))
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before, outside = spark.conf.get(key), plan(join())
+    with by_part_of_key(spark):
+        inside = plan(join())
+    assert "hashpartitioning(ticker" in inside and inside.count("Exchange") < outside.count("Exchange")
+    assert spark.conf.get(key) == before
+    assert sorted((r.ticker, r.a) for r in join().collect()) == [(t, i) for t in ("t1", "t2") for i in (1, 2, 3, 4)]
