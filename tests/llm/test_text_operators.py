@@ -365,6 +365,37 @@ def test_near_counts_equal_brute_force(spark, docs_of):
     assert minhash.with_search(docs_of([], DOCS), F.col("doc_id") % 5 == 0).count() == 0
 
 
+@pytest.mark.parametrize("asked_per_block, rows_per_part", [(128, 512), (7, 11)])
+def test_many_different_near_copies_make_no_row_per_pair(spark, docs_of, asked_per_block, rows_per_part, monkeypatch):
+    monkeypatch.setattr(minhash, "ASKED_PER_BLOCK", asked_per_block, raising=False)
+    monkeypatch.setattr(minhash, "ROWS_PER_PART", rows_per_part, raising=False)
+    rnd, rows, tables = random.Random(3), [], {}
+    words = [f"w{i}" for i in range(200)]
+    for i in range(300):
+        t = list(words)
+        for at in rnd.sample(range(200), 1 + i % 3):
+            t[at] = f"x{rnd.random()}"
+        rows.append((i, " ".join(t)))
+    rows += [(None, rows[7][1] + " end"), (301, ""), (302, " "), (303, None)]
+    kept = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda d, name: tables.setdefault(name, kept(d, name)))
+    got = {r.doc_id: r for r in minhash.with_search(docs_of(rows), F.col("doc_id") % 3 == 0).collect()}
+    held = {}
+    for d, t in rows:
+        held.setdefault(t or "", []).append(d)
+    sets = {t: {tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set() for t in held}
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a | b else True
+    pairs = 0
+    for d, t in rows:
+        if d is not None and d % 3 == 0:
+            others = [o for o in held if o != (t or "") and near(sets[t or ""], sets[o])]
+            docs = [x for o in (t or "", *others) for x in held[o]]
+            pairs += len(others)
+            assert (got[d].near_texts, got[d].near_docs, got[d].near_first) == (len(others), len(docs) - 1, min(x for x in docs if x is not None))
+    if asked_per_block == 128:
+        assert pairs > 5_000 and max(t.count() for t in tables.values()) < 2_000
+
+
 # ---- 8 -------------------------------------------------------------------------------------------------------------
 def test_urls(spark):
     rows = [(1, "http://A.Example.ORG/es/x?q"), (2, "https://example.org/en/17"), (3, "x://org/"), (4, "x://borg/fr/"), (5, "no scheme"), (6, None), (7, "http://a.com"),
