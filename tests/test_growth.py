@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark import spec
+from tidemark import session, spec
 from tidemark.adapters import PARAMS
 from tidemark.operators.ranks import row_ranks, value_positions
 from tidemark.plans import grading, panel, validate
 from tidemark.session import by_part_of_key
-from tidemark.workspace import Workspace
+from tidemark.workspace import Workspace, workspace
 
 
 def plan(df):
@@ -148,3 +148,20 @@ def test_sides_dealt_by_ticker_meet_where_they_are(spark, stored):
     assert "hashpartitioning(ticker" in inside and inside.count("Exchange") < outside.count("Exchange")
     assert spark.conf.get(key) == before
     assert sorted((r.ticker, r.a) for r in join().collect()) == [(t, i) for t in ("t1", "t2") for i in (1, 2, 3, 4)]
+
+
+def test_shuffles_start_with_partitions_by_input_rows(spark, tmp_path, monkeypatch):
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(first, None)
+    spark.range(1000).write.parquet(f"{tmp_path}/in/lineitem.parquet")
+    (tmp_path / "none").mkdir()
+    try:
+        workspace(spark, f"{tmp_path}/in")
+        assert spark.conf.get(first, None) == before  # small inputs keep the number of the session
+        monkeypatch.setattr(session, "ROWS_PER_PARTITION", 10)
+        workspace(spark, f"{tmp_path}/in")
+        assert spark.conf.get(first) == "100"
+        workspace(spark, f"{tmp_path}/none")  # no such table
+        assert spark.conf.get(first) == "100"
+    finally:
+        spark.conf.unset(first) if before is None else spark.conf.set(first, before)
