@@ -685,12 +685,8 @@ def _(w):
     return _selections(w)
 
 
-def _runs_at(w: Workspace) -> DataFrame:
-    return ledger.run_dates(w.scored.select("asof"), w.prices, w.p)
-
-
 def _book(w: Workspace) -> DataFrame:
-    return ledger.book(_selections(w), w.prices, _runs_at(w), w.p)
+    return ledger.book(_selections(w), w.prices, w.runs, w.p)
 
 
 LEDGER = "asof:d rule:s rank:i ticker:s score:f entry_price:f exit_asof:d exit_price:f ret_pct:f"
@@ -703,11 +699,11 @@ def _(w):
 
 @query("run_dates", "asof:d price_date:d lag:i fresh:b next_run:d exit_run:d")
 def _(w):
-    return _runs_at(w)
+    return w.runs
 
 
 def _months(w: Workspace) -> DataFrame:
-    return ledger.months(w.stored(_book(w), "book"), w.prices, _runs_at(w), w.panel.select("asof", "ticker", "market_cap"), _diffusion(w))
+    return ledger.months(w.stored(_book(w), "book"), w.prices, w.runs, w.panel.select("asof", "ticker", "market_cap"), _diffusion(w))
 
 
 @query("month_close", "asof:d exit_asof:d days:i bench_eq:f bench_cap:f diffusion:f n_universe:i " + " ".join(f"{r}:f" for r in ledger.RULES))

@@ -19,6 +19,19 @@ def day_slots(spark: SparkSession, dates: Column) -> Column:
     return days.scalar()
 
 
+def slot_of(obs: DataFrame, ts: str, dates: Column) -> Column:
+    """Number of the first calendar date on or after the day of `ts`; NULL after the last one."""
+    first = obs.sparkSession.range(1).select(F.get(dates, F.lit(0))).scalar()
+    after = F.datediff(F.col(ts), first)
+    return F.when(after <= 0, F.lit(0)).otherwise(F.get(day_slots(obs.sparkSession, dates), after - 1))
+
+
+def _over_slots(last: DataFrame, columns: list[str], dates: Column, out: str) -> DataFrame:
+    """Rows of a slot repeated for its date and those of the empty slots before `_next`."""
+    span = F.slice("_cal", F.col("_slot") + 1, F.coalesce("_next", F.size("_cal")) - F.col("_slot"))
+    return last.withColumn("_cal", dates).select(*[F.col(f"`{c}`") for c in columns], F.explode(span).alias(out))
+
+
 def on_dates(obs: DataFrame, key: str, ts: str, dates: Column, out: str = "asof") -> DataFrame:
     """Last observation at or before each date of a calendar (a sorted array column). (key, ts) is unique.
 
@@ -26,15 +39,18 @@ def on_dates(obs: DataFrame, key: str, ts: str, dates: Column, out: str = "asof"
     aggregate that is combined before the shuffle; only those few rows are then filled forward over empty slots.
     """
     rest = [c for c in obs.columns if c not in (key, ts)]
-    first = obs.sparkSession.range(1).select(F.get(dates, F.lit(0))).scalar()
-    after = F.datediff(F.col(ts), first)
-    slot = F.when(after <= 0, F.lit(0)).otherwise(F.get(day_slots(obs.sparkSession, dates), after - 1))
-    per = (obs.withColumn("_slot", slot).where("_slot IS NOT NULL").groupBy(key, "_slot")
+    per = (obs.withColumn("_slot", slot_of(obs, ts, dates)).where("_slot IS NOT NULL").groupBy(key, "_slot")
            .agg(F.max(ts).alias(ts), *[F.max_by(F.col(f"`{c}`"), F.col(ts)).alias(c) for c in rest]))
     nxt = F.lead("_slot").over(W.partitionBy(key).orderBy("_slot"))
-    filled = per.withColumn("_next", nxt).withColumn("_cal", dates)
-    span = F.slice("_cal", F.col("_slot") + 1, F.coalesce("_next", F.size("_cal")) - F.col("_slot"))
-    return filled.select(*[F.col(f"`{c}`") for c in obs.columns], F.explode(span).alias(out))
+    return _over_slots(per.withColumn("_next", nxt), obs.columns, dates, out)
+
+
+def ordered_on_dates(obs: DataFrame, key: str, ts: str, dates: Column, out: str = "asof") -> DataFrame:
+    """`on_dates` for observations that windows over (key, ts) have already dealt by key and sorted: the last row of a slot is the one
+    before the next slot, so nothing is gathered."""
+    nxt = F.lead("_slot").over(W.partitionBy(key).orderBy(ts))
+    seen = obs.withColumn("_slot", slot_of(obs, ts, dates)).where("_slot IS NOT NULL").withColumn("_next", nxt)
+    return _over_slots(seen.where("_next IS NULL OR _next > _slot"), obs.columns, dates, out)
 
 
 def _explode_validity(obs: DataFrame, nxt: Column, ts: str, dates: Column, out: str) -> DataFrame:

@@ -55,19 +55,20 @@ def value_positions(df: DataFrame, keys: list[str], value: str, per_fold: float
 
 
 def row_ranks(df: DataFrame, keys: list[str], value: str, size: str, per_fold: float = BUCKETS_PER_E_FOLD,
-              whole: int = WHOLE_GROUP) -> DataFrame:
+              whole: int = WHOLE_GROUP, counted: DataFrame | None = None) -> DataFrame:
     """Every row with a value, with n_below, n_equal and n_ranked of its group; keys are not NULL.
 
     `size` is a bound of the rows of a group, the same on all its rows. Groups of at most `whole` rows are ranked where their
     rows meet; larger ones are spread over value buckets, and only their rows are read again for the bucket offsets. The rows
-    move once, as values are not counted first.
+    move once, as values are not counted first. `counted` has the same rows from a shorter plan, to be read for the offsets.
     """
     spread = F.col(size) > whole
-    rows = df.where(ranked(df, value)).withColumn(
+    placed_in = lambda d: d.where(ranked(d, value)).withColumn(
         "_bucket", F.when(spread, F.coalesce(value_bucket(value, per_fold), F.lit(0))).otherwise(0))
+    rows, again = placed_in(df), placed_in(df if counted is None else counted)
     bucket, group = W.partitionBy(*keys, "_bucket"), W.partitionBy(*keys)
     lower = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = rows.where(spread).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+    offsets = again.where(spread).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
         *keys, "_bucket", F.sum("_n").over(lower).alias("_lower"), F.sum("_n").over(group).alias("_in_group"))
     order = bucket.orderBy(value)
     placed = rows.withColumns({"_inside": F.rank().over(order) - 1, "_upto": F.count(F.lit(1)).over(order),

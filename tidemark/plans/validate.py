@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark import spec
 from tidemark.functions.exprs import finite, rank_correlation, t_stat, two_sided_p, weighted
-from tidemark.operators.ranks import (average_rank, exact_quantiles, quantile_bucket, row_positions,
-                                      top_n, value_positions)
+from tidemark.operators.ranks import (exact_quantiles, quantile_bucket, ranked, row_positions,
+                                      row_ranks, top_n)
 from tidemark.params import Params
 from tidemark.plans.strategies import gate_conditions
 
@@ -34,13 +34,23 @@ def mix_signals() -> dict[str, Column]:
 
 
 def ic_by_month(rows: DataFrame, p: Params) -> DataFrame:
-    """Spearman correlation per (signal, month): Pearson of average ranks of complete pairs."""
+    """Spearman correlation per (signal, month): Pearson of average ranks of complete pairs.
+
+    A pair moves to its rank by x and from there to its rank by y, as three numbers beside its group; values are not counted first.
+    """
     keys = ["signal", "asof"]
-    rx = value_positions(rows, keys, "x").select(*keys, "x", average_rank().alias("_rx"))
-    ry = value_positions(rows, keys, "y").select(*keys, "y", average_rank().alias("_ry"))
-    d = rows.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
-    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rank_correlation("_rx", "_ry").alias("ic"))
-    return g.where(F.col("n") >= p.ic_min_pairs).withColumn("ic", finite("ic")).where("ic IS NOT NULL")
+    # as a number a signal is shorter than its name; a month has at most as many pairs of a signal as it has rows of all signals
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    group = W.orderBy(*keys)  # one row per (signal, month)
+    sizes = sizes.withColumn("_group", F.row_number().over(group))
+    d = rows.select(*keys, "x", "y").join(F.broadcast(sizes), keys).select("_group", "_size", "x", "y")
+    twice = F.col("n_below") * 2 + F.col("n_equal") + 1
+    pairs = d.where(ranked(d, "x"))
+    d = row_ranks(d, ["_group"], "x", "_size").select("_group", "_size", "y", (twice / 2.0).alias("_rx"))
+    d = row_ranks(d, ["_group"], "y", "_size", counted=pairs).select("_group", "_rx", (twice / 2.0).alias("_ry"))
+    g = d.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), rank_correlation("_rx", "_ry").alias("ic"))
+    g = g.where(F.col("n") >= p.ic_min_pairs).withColumn("ic", finite("ic")).where("ic IS NOT NULL")
+    return g.join(F.broadcast(sizes), "_group").select(*keys, "n", "ic")
 
 
 def ic_summary(monthly: DataFrame, by: list[str] | None = None) -> DataFrame:
